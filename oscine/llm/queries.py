@@ -6,17 +6,44 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
 from oscine.llm import common as C
-from oscine.llm import quality
+from oscine.llm import decontamination, line_dedup, mixing, quality, resharding
+
+#: Production parameters of the mixing query: shares of the tokens of all documents.
+MIX_TARGETS = {"clean": 0.97, "low": 0.02, "toxic": 0.01}
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(C.load(spark, sf_dir, "documents"))
 
 
+def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(C.load(spark, sf_dir, "documents"), C.load(spark, sf_dir, "labels"), MIX_TARGETS)
+    shares = [F.round(F.element_at("p", i + 1), 6).alias(f"p_{x}") for i, x in enumerate(mixing.DOMAINS)]
+    return mixed.select("doc_id", "tokens", *shares, F.round("rate", 6).alias("rate"), "copies")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.line_dedup(C.load(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.md5(F.encode("kept_text", "UTF-8")).alias("kept_md5"))
+
+
+def op8_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = resharding.reshard(C.load(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.load(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.with_overlaps(docs, C.load(spark, sf_dir, "benchmark"), "item_ids")
+    return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_quality_rules": op10_quality_rules}
+    return {f.__name__: f for f in (op5_mixing_sources, op7_line_dedup, op8_resharding, op9_decontamination, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_line_dedup": line_dedup.ORACLE}
