@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oscine.llm import common as C
-from oscine.llm import decontamination, line_dedup, mixing, quality, resharding
+from oscine.llm import decontamination, html_text, jaccard_join, line_dedup, mixing, quality, resharding, token_counts
 
 #: Production parameters of the mixing query: shares of the tokens of all documents.
 MIX_TARGETS = {"clean": 0.97, "low": 0.02, "toxic": 0.01}
@@ -19,12 +19,24 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(C.load(spark, sf_dir, "documents"))
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(C.load(spark, sf_dir, "pages"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(C.load(spark, sf_dir, "documents"), token_counts.read_pieces(token_counts.MODEL))
+
+
 def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(C.load(spark, sf_dir, "documents"), C.load(spark, sf_dir, "labels"), MIX_TARGETS)
     shares = [F.round(F.element_at("p", i + 1), 6).alias(f"p_{x}") for i, x in enumerate(mixing.DOMAINS)]
     return mixed.select("doc_id", "tokens", *shares, F.round("rate", 6).alias("rate"), "copies")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(C.load(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.line_dedup(C.load(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_removed", F.md5(F.encode("kept_text", "UTF-8")).alias("kept_md5"))
@@ -42,7 +54,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_mixing_sources, op7_line_dedup, op8_resharding, op9_decontamination, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_html_text, op4_token_counts, op5_mixing_sources, op6_jaccard_join, op7_line_dedup, op8_resharding, op9_decontamination, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
