@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oscine.llm import common as C
-from oscine.llm import decontamination, html_text, jaccard_join, line_dedup, mixing, quality, resharding, token_counts
+from oscine.llm import decontamination, html_text, jaccard_join, line_dedup, mixing, quality, resharding, substring_dedup, suffix_dedup, token_counts
 
 #: Production parameters of the mixing query: shares of the tokens of all documents.
 MIX_TARGETS = {"clean": 0.97, "low": 0.02, "toxic": 0.01}
@@ -23,6 +23,14 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(C.load(spark, sf_dir, "pages"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(C.load(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(C.load(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(C.load(spark, sf_dir, "documents"), token_counts.read_pieces(token_counts.MODEL))
 
@@ -54,7 +62,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_text, op4_token_counts, op5_mixing_sources, op6_jaccard_join, op7_line_dedup, op8_resharding, op9_decontamination, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_html_text, op2_suffix_dedup, op3_substring_dedup, op4_token_counts, op5_mixing_sources, op6_jaccard_join, op7_line_dedup, op8_resharding, op9_decontamination, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
