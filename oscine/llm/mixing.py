@@ -14,105 +14,125 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from oscine.llm import common as C
 
 DOMAINS = ("clean", "low", "toxic")
 LABELLED_ROWS = 12_000
-FEATURES = 1 << 13
+FEATURES, LEAST_SEEN = 1000, 5
 PREFIX = 5
-TOLERANCE, ROUNDS = 1e-4, 60
+PASSES = 2  # partitions of the labelled rows while the classifier is fitted
+TOLERANCE, ROUNDS = 1e-4, 24
 
 
-def _features(docs: DataFrame) -> DataFrame:
-    """tokens: the number of words; features: hashed beginnings of the words, present or not, and shares of some characters."""
+def _described(docs: DataFrame) -> DataFrame:
+    """tokens: the number of words; heads: the distinct beginnings of the words; and shares of some characters."""
     clean = F.coalesce(F.col("text"), F.lit(""))
     listed = F.filter(F.split(clean, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     df = docs.withColumn("words", listed).withColumn("tokens", F.size("words").cast("long"))
-    heads = F.transform("words", lambda w: F.substring(w, 1, PREFIX))
-    df = df.withColumn("heads", F.array_distinct(heads)).drop("words")
+    df = df.withColumn("heads", F.array_distinct(F.transform("words", lambda w: F.substring(w, 1, PREFIX)))).drop("words")
     long = F.greatest(F.length(clean), F.lit(1)).cast("double")
 
     def share(gone: str) -> F.Column:
         return (long - F.length(F.translate(clean, gone, ""))) / long
 
-    df = (
+    return (
         df.withColumn("variety", F.size("heads") / F.greatest("tokens", F.lit(1)))
-        .withColumn("symbols", share("#*$%&|<>!")).withColumn("capitals", share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+        .withColumn("symbols", share("#*$%&|<>!")).withColumn("capitals", share("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).drop("text")
     )
-    hashed = HashingTF(inputCol="heads", outputCol="hashed", numFeatures=FEATURES, binary=True).transform(df)
-    joined = VectorAssembler(inputCols=["hashed", "variety", "symbols", "capitals"], outputCol="features").transform(hashed)
-    return joined.drop("heads", "hashed", "variety", "symbols", "capitals", "text")
+
+
+def _telling(train: DataFrame) -> list[str]:
+    """The word beginnings that tell the labels apart best: at most FEATURES, by how far their counts are from independence."""
+    sizes = train.groupBy("label").agg(F.count("*").alias("rows"))
+    total = F.sum("rows").over(Window.partitionBy())
+    counts = train.select("label", F.explode("heads").alias("head")).groupBy("head", "label").agg(F.count("*").alias("n"))
+    seen = counts.groupBy("head").agg(F.sum("n").alias("all")).where(F.col("all") >= LEAST_SEEN)
+    cells = seen.crossJoin(F.broadcast(sizes.withColumn("share", F.col("rows") / total))).join(counts, ["head", "label"], "left")
+    expected = F.col("all") * F.col("share")
+    apart = F.sum((F.coalesce("n", F.lit(0)) - expected) ** 2 / expected)
+    return [r["head"] for r in cells.groupBy("head").agg(apart.alias("apart")).orderBy(F.desc("apart"), "head").limit(FEATURES).collect()]
+
+
+def _features(described: DataFrame, heads: list[str]) -> DataFrame:
+    model = CountVectorizerModel.from_vocabulary(heads or [""], inputCol="heads", outputCol="seen", minTF=1.0)
+    seen = model.setBinary(True).transform(described)
+    joined = VectorAssembler(inputCols=["seen", "variety", "symbols", "capitals"], outputCol="features").transform(seen)
+    return joined.drop("heads", "seen", "variety", "symbols", "capitals")
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", labelled_rows: int = LABELLED_ROWS) -> DataFrame:
-    """doc_id, own (a hash of the text), tokens and p, the posteriors in the order of DOMAINS."""
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("own", F.xxhash64("text"))
+    """doc_id, row and own (hashes of id and text, and of the text), tokens, and p, the posteriors in the order of DOMAINS."""
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    texts = texts.withColumns({"row": F.xxhash64("doc_id", "text"), "own": F.xxhash64("text")})
     domain = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0)
     known = labels.select("doc_id", "quality", "toxic").dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
     sample = known.select("doc_id", domain.cast("double").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled_rows)
-    train = C.materialize(_features(texts.join(F.broadcast(sample), "doc_id")).select("label", "features"), "labelled")
+    train = C.materialize(_described(texts.join(F.broadcast(sample), "doc_id")), "labelled")
     seen = sorted(int(r[0]) for r in train.select("label").distinct().collect())
-    scored = _features(texts)
+    scored = _described(texts)
     if len(seen) < 2:
         only = seen[0] if seen else 0
         p = F.array(*[F.lit(float(k == only)) for k in range(len(DOMAINS))])
-        return C.materialize(scored.select("doc_id", "own", "tokens", p.alias("p")), "posteriors")
-    model = LogisticRegression(maxIter=25, regParam=0.001, family="multinomial", probabilityCol="p").fit(train)
+        return C.materialize(scored.select("doc_id", "row", "own", "tokens", p.alias("p")), "posteriors")
+    heads = _telling(train)
+    known = _features(train, heads).select("label", "features").repartition(PASSES).cache()
+    model = LogisticRegression(maxIter=30, regParam=0.002, family="multinomial", probabilityCol="p").fit(known)
+    known.unpersist()
     p = vector_to_array("p")
     p = F.array(*[F.coalesce(F.try_element_at(p, F.lit(k + 1)), F.lit(0.0)) for k in range(len(DOMAINS))])
-    return C.materialize(model.transform(scored).select("doc_id", "own", "tokens", p.alias("p")), "posteriors")
+    return C.materialize(model.transform(_features(scored, heads)).select("doc_id", "row", "own", "tokens", p.alias("p")), "posteriors")
 
 
 def _rate(steps: list[list[float]], most: float | None) -> F.Column:
-    """The rate after the given steps: from 1 on, down each step's gradient, kept between 0 and most."""
+    """The rate after the given steps: from 1 on, down each step, kept between 0 and most."""
     rate = F.lit(1.0)
-    if not steps:
-        return rate
-    listed = F.array(*[F.array(*[F.lit(float(x)) for x in g]) for g in steps])
-
-    def down(r: F.Column, g: F.Column) -> F.Column:
-        moved = r - sum((F.element_at("p", k + 1) * F.element_at(g, k + 1) for k in range(len(DOMAINS))), F.lit(0.0))
-        return F.greatest(F.lit(0.0), moved if most is None else F.least(F.lit(float(most)), moved))
-
-    return F.aggregate(listed, rate, down)
+    for step in steps:
+        rate = rate - sum((F.col(f"p{k}") * float(x) for k, x in enumerate(step)), F.lit(0.0))
+        rate = F.greatest(F.lit(0.0), rate if most is None else F.least(F.lit(float(most)), rate))
+    return rate
 
 
 def rates(scored: DataFrame, targets: dict[str, float], budget: float | None = None, most: float | None = None) -> DataFrame:
     """Adds rate. targets: weights of the domains; budget: tokens in all, those of the table if None.
 
-    Each round is one aggregation to as many sums as there are domains. A document's rate after a round follows from the
-    gradients so far, which are a few numbers each, so that no round writes or shuffles documents."""
+    Each round is one aggregation, to the domains' expected tokens and to the curvature over the documents of positive rate,
+    which scales the gradient; a step that doesn't bring the totals closer is halved. A document's rate after a round follows
+    from the steps so far, which are a few numbers each, so that no round writes or shuffles documents."""
     k = len(DOMAINS)
-    cross = [F.coalesce(F.sum(F.col("tokens") * F.element_at("p", i + 1) * F.element_at("p", j + 1)), F.lit(0.0)) for i in range(k) for j in range(k)]
-    *m, total = scored.agg(*[x.alias(f"m{i}") for i, x in enumerate(cross)], F.coalesce(F.sum("tokens"), F.lit(0)).alias("total")).first()
+    split = scored.withColumns({f"p{i}": F.element_at("p", i + 1) for i in range(k)})
+    total = scored.agg(F.sum("tokens")).first()[0]
     if not total:
         return scored.withColumn("rate", F.lit(1.0))
-    gram = np.array(m, float).reshape(k, k)
     weights = np.array([targets.get(x, 0.0) for x in DOMAINS], float)
     goal = weights / weights.sum() * (total if budget is None else budget)
-    scale = np.where(np.diag(gram) > 0, 1 / np.maximum(np.diag(gram), 1e-12), 0)
-    root = np.sqrt(scale)
-    step = 1 / max(np.linalg.eigvalsh(gram * root[:, None] * root[None, :]).max(), 1e-12)
     steps: list[list[float]] = []
-    before = None
+    best: tuple[float, list[list[float]]] | None = None
     for _ in range(ROUNDS):
-        rate = _rate(steps, most)
-        got = scored.agg(*[F.sum(F.col("tokens") * F.element_at("p", i + 1) * rate).alias(f"e{i}") for i in range(k)]).first()
-        have = np.array([x or 0.0 for x in got])
-        if np.abs(have - goal).max() <= TOLERANCE * goal.sum() or before is not None and np.abs(have - before).max() <= TOLERANCE / 20 * goal.sum():
-            break
-        before = have
-        steps.append([float(x) for x in step * scale * (have - goal)])
-    return scored.withColumn("rate", _rate(steps, most))
+        at = split.withColumn("rate", _rate(steps, most)).withColumn("free", F.when(F.col("rate") > 0, F.col("tokens")).otherwise(0))
+        sums = [F.sum(F.col("tokens") * F.col("rate") * F.col(f"p{i}")) for i in range(k)]
+        sums += [F.sum(F.col("free") * F.col(f"p{i}") * F.col(f"p{j}")) for i in range(k) for j in range(k)]
+        got = np.array([x or 0.0 for x in at.agg(*[x.alias(f"s{i}") for i, x in enumerate(sums)]).first()], float)
+        gap, curve = got[:k] - goal, got[k:].reshape(k, k)
+        size = float(np.linalg.norm(gap) / goal.sum())
+        if best is None or size < best[0]:
+            done = best is not None and best[0] - size < TOLERANCE * 1e-2
+            best = (size, steps)
+            if size <= TOLERANCE or done:
+                break
+            ridge = np.eye(k) * max(curve.trace(), 1.0) * 1e-6
+            steps = [*steps, np.linalg.solve(curve + ridge, gap).tolist()]
+        else:
+            steps = [*steps[:-1], [x / 2 for x in steps[-1]]]
+    return split.withColumn("rate", _rate(best[1], most)).drop(*[f"p{i}" for i in range(k)])
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], budget: float | None = None, most: float | None = None, **columns: str) -> DataFrame:
-    """doc_id, own, tokens, p, rate, copies of each row. copies is the whole number of times that the row is taken; its
+    """doc_id, row, own, tokens, p, rate, copies of each row. copies is the whole number of times that the row is taken; its
     expectation over the hash of the row is the rate."""
     mixed = rates(posteriors(docs, labels, **columns), targets, budget, most)
     chance = F.pmod(F.xxhash64(F.lit("mix"), "doc_id", "own"), F.lit(1 << 30)) / float(1 << 30)
