@@ -149,6 +149,23 @@ def fit(counts: dict[int, int], rounds: int = 200) -> dict[int, float]:
     return {int(c): float(p) for c, p in zip(codes, posterior)}
 
 
+def _votes_of(column: pa.Array) -> pa.Array:
+    out = [np.zeros(0, np.int64)]
+    for _, _, buffer, offsets in C.text_slices(column):
+        found = measure(buffer, offsets)
+        out.append(votes(found) * 2 + found["base_failed"])
+    return pa.array(np.concatenate(out), pa.int32())
+
+
+def keep_good(docs: DataFrame, threshold: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows that the rules keep, with all their columns. The texts are measured twice rather than written once more."""
+    voted = docs.withColumn("__votes", F.arrow_udf(_votes_of, "int")(F.col(text)))
+    pattern = F.expr("__votes div 2").cast("int").alias("pattern")
+    counts = {r["pattern"]: r["n"] for r in voted.groupBy(pattern).agg(F.count("*").alias("n")).collect()}
+    good = [2 * k for k, p in fit(counts).items() if p >= threshold]
+    return voted.where(F.col("__votes").isin(good)).drop("__votes")
+
+
 def quality_rules(docs: DataFrame, threshold: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The counts, base verdict, posterior and verdict of each row. At most 3 ** len(RULES) patterns of votes exist, which
     bounds what the driver fits and what is broadcast."""

@@ -61,8 +61,15 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_text, op2_suffix_dedup, op3_substring_dedup, op4_token_counts, op5_mixing_sources, op6_jaccard_join, op7_line_dedup, op8_resharding, op9_decontamination, op10_quality_rules)}
+    found = (pipeline, op1_html_text, op2_suffix_dedup, op3_substring_dedup, op4_token_counts, op5_mixing_sources, op6_jaccard_join, op7_line_dedup, op8_resharding, op9_decontamination, op10_quality_rules)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -102,21 +102,21 @@ def plan_transfers(blocks: list[tuple[int, int, int]], loads: list[int], n_new:
     return begins, cuts
 
 
-def measured(docs: DataFrame, n_old: int, doc_id: str = "doc_id", text: str = "text", old: F.Column | None = None) -> DataFrame:
+def measured(docs: DataFrame, n_old: int, doc_id: str = "doc_id", text: str = "text", old: F.Column | None = None, also: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, crc and old shard of each row; the old shard is the id's hash unless a column gives it."""
     data = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
     return docs.select(
         F.col(doc_id).alias("doc_id"), (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"),
         (F.pmod(F.xxhash64(doc_id), F.lit(n_old)).cast("int") if old is None else old.cast("int")).alias("old_shard"),
-        F.xxhash64(F.lit("block"), doc_id).alias("spread"),
+        F.xxhash64(F.lit("block"), doc_id).alias("spread"), *also,
     )
 
 
-def reshard(docs: DataFrame, n_new: int = NEW_SHARDS, n_old: int = OLD_SHARDS, doc_id: str = "doc_id", text: str = "text", old: F.Column | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, old_shard, shard, slot of each row. The driver holds the sizes of at most MOST_BLOCKS blocks
+def reshard(docs: DataFrame, n_new: int = NEW_SHARDS, n_old: int = OLD_SHARDS, doc_id: str = "doc_id", text: str = "text", old: F.Column | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, text_crc32, old_shard, shard, slot, and also columns of the input if named, of each row. The driver holds the sizes of at most MOST_BLOCKS blocks
     and of at most LARGE_PARTS * n_new large documents, whatever the input's size."""
     spark = docs.sparkSession
-    rows = C.materialize(measured(docs, n_old, doc_id, text, old), "sizes")
+    rows = C.materialize(measured(docs, n_old, doc_id, text, old, also), "sizes")
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     per_shard = int(min(max(1, n / ROWS_PER_BLOCK / n_old), MOST_BLOCKS // n_old))
     block = F.pmod("spread", F.lit(per_shard)).cast("int")
@@ -144,7 +144,7 @@ def reshard(docs: DataFrame, n_new: int = NEW_SHARDS, n_old: int = OLD_SHARDS, d
     fixed = F.broadcast(spark.createDataFrame([(None if k[0] else k[1], k[2], k[3], j) for k, j in placed.items()] or [(None, -1, -1, 0)], "d long, c long, copy int, shard int"))
     alone = rows.where("block < 0").withColumn("copy", F.row_number().over(same))
     alone = alone.join(fixed, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_crc32") == F.col("c")) & (alone["copy"] == fixed["copy"]))
-    columns = ["doc_id", "size", "text_crc32", "old_shard", "block", "shard"]
+    columns = ["doc_id", "size", "text_crc32", "old_shard", "block", "shard", *also]
     dealt = C.materialize(spread.select(columns).unionByName(alone.select(columns)), "dealt")
 
     pieces = dealt.groupBy("shard", "old_shard", "block").agg(F.count("*").alias("n"))
@@ -152,7 +152,7 @@ def reshard(docs: DataFrame, n_new: int = NEW_SHARDS, n_old: int = OLD_SHARDS, d
     pieces = pieces.select("shard", "old_shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     rank = Window.partitionBy("shard", "old_shard", "block").orderBy("doc_id", "text_crc32", "size")
     return dealt.join(F.broadcast(pieces), ["shard", "old_shard", "block"]).select(
-        "doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("base") + F.row_number().over(rank) - 1).alias("slot")
+        "doc_id", "size", "text_crc32", "old_shard", "shard", *also, (F.col("base") + F.row_number().over(rank) - 1).alias("slot")
     )
 
 
