@@ -92,7 +92,7 @@ def trial_file(session: Column, trial: Column, kind: Column, level: Column) -> C
 
 def status_bits(raw: Column) -> dict[str, Column]:
     """The flags of a status byte. The bit of each flag, high to low, and the reserved mask."""
-    names = {"adc_overrange": 7, "fifo_overflow": 6, "aux_valid": 5, "crc_error": 4, "sync_lost": 3, "frame_drop": 2}
+    names = {"drop_since_last": 7, "fifo_half_full": 6, "fifo_near_full": 5, "spi_crc_err": 4, "spi_timeout": 3, "overflow_sticky": 2}
     return {k: F.shiftright(raw, bit).bitwiseAND(F.lit(1)) == 1 for k, bit in names.items()} | {"reserved_clean": raw.bitwiseAND(F.lit(0b00011011)) == 0}
 
 

@@ -62,7 +62,7 @@ SQL = {
         p AS (SELECT vec_id, i, exp((x - max(x) OVER w) / 1.5) / sum(exp(x / 1.5)) OVER w * exp(max(x) OVER w / 1.5) AS p FROM e WINDOW w AS (PARTITION BY vec_id))
         SELECT vec_id, min_by(i, (-p, i)) AS label, round(max(p), 5) AS confidence FROM p GROUP BY 1""",
     "status_bits": """WITH r AS (SELECT CAST(event_id % 256 AS INTEGER) AS b FROM events)
-        SELECT b >> 7 & 1 = 1 AS adc_overrange, b >> 6 & 1 = 1 AS fifo_overflow, b >> 5 & 1 = 1 AS aux_valid, b >> 4 & 1 = 1 AS crc_error, b >> 3 & 1 = 1 AS sync_lost, b >> 2 & 1 = 1 AS frame_drop, b & 27 = 0 AS reserved_clean, count(*) AS n FROM r GROUP BY ALL""",
+        SELECT b >> 7 & 1 = 1 AS drop_since_last, b >> 6 & 1 = 1 AS fifo_half_full, b >> 5 & 1 = 1 AS fifo_near_full, b >> 4 & 1 = 1 AS spi_crc_err, b >> 3 & 1 = 1 AS spi_timeout, b >> 2 & 1 = 1 AS overflow_sticky, b & 27 = 0 AS reserved_clean, count(*) AS n FROM r GROUP BY ALL""",
     "frame_crc": """WITH RECURSIVE b AS (SELECT c_custkey, [ascii(substr(c_name, i, 1)) FOR i IN range(1, 13)] AS bytes FROM customer WHERE c_custkey < 300),
         s AS (SELECT c_custkey, bytes, 0 AS i, 65535 AS crc FROM b UNION ALL
           SELECT c_custkey, bytes, i + 1, CASE WHEN x >= 32768 THEN xor((x * 2) & 65535, 4129) ELSE (x * 2) & 65535 END

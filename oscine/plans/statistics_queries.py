@@ -176,8 +176,8 @@ SQL = {
     "best_f1": f"""WITH {_SC}, g AS (SELECT 0.1::DOUBLE + i * (0.85::DOUBLE / 49) AS threshold FROM range(50) t(i)),
         c AS (SELECT threshold, round(2.0 * sum(CASE WHEN p >= threshold THEN quality ELSE 0 END) / (sum(CASE WHEN p >= threshold THEN 1 ELSE 0 END) + sum(quality)), 9) AS f1 FROM scores, g GROUP BY 1)
         SELECT round(threshold, 6) AS threshold, round(f1, 6) AS f1 FROM c ORDER BY c.f1 DESC, c.threshold LIMIT 1""",
-    "auroc": f"""WITH {_SC} SELECT a.lang, round(coalesce(avg(CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0.0 END), 0.5), 6) AS auroc
-        FROM scores a JOIN scores b ON a.lang = b.lang AND a.quality = 1 AND b.quality = 0 GROUP BY 1""",
+    "auroc": f"""WITH {_SC} SELECT l.lang, round(coalesce(avg(CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 WHEN a.p < b.p THEN 0.0 END), 0.5), 6) AS auroc
+        FROM (SELECT DISTINCT lang FROM scores) l LEFT JOIN scores a ON a.lang = l.lang AND a.quality = 1 LEFT JOIN scores b ON b.lang = l.lang AND b.quality = 0 GROUP BY 1""",
     "roc_points": f"WITH {_SC}, {_OP.format(k='', part='')} SELECT score, round(tp / all_pos, 6) AS tpr, round(fp / all_neg, 6) AS fpr FROM op",
     "fpr_at_tpr": f"WITH {_SC}, {_OP.format(k='', part='')} SELECT round(coalesce(min(fp / all_neg), 1.0), 6) AS fpr FROM op WHERE tp >= 0.9 * all_pos",
     "confusion": f"""WITH {_SC}, l(x) AS (VALUES (0), (1), (2)), c AS (SELECT quality AS truth, CAST(p > 0.5 AS INTEGER) AS said, count(*) AS n FROM scores GROUP BY ALL)
