@@ -14,16 +14,17 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the least label among a node's neighbours, hooks it to the node's own root too, and then jumps from a
     label to the label's label. All grouping is by minimum, so that a node with very many edges is summed up before it is
     shuffled. Rounds are written to the shared folder."""
-    both = edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = C.materialize(both, "edges")
+    apart = edges.where("a <> b").select("a", "b").distinct()
+    both = C.materialize(apart.union(apart.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     labels = C.materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).select(F.col("a").alias("node"), "label"), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("there")), "b").groupBy("a").agg(F.min("there").alias("there"))
-        seen = labels.join(near, labels["node"] == near["a"]).select("node", "label", F.least("label", "there").alias("least"))
-        hooked = seen.select("node", "least").union(seen.select(F.col("label").alias("node"), "least")).groupBy("node").agg(F.min("least").alias("label"))
+        seen = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("before"), F.least("label", "there").alias("least"))
+        to_root = seen.select(F.col("before").alias("node"), F.lit(None).cast("long").alias("before"), "least")
+        hooked = seen.union(to_root).groupBy("node").agg(F.max("before").alias("before"), F.min("least").alias("label"))
         above = hooked.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        new = C.materialize(hooked.join(above, "label").select("node", F.col("top").alias("label")), "labels")
-        old = labels.select("node", F.col("label").alias("before"))
-        if new.join(old, "node").where("label <> before").isEmpty():
-            return new
-        labels = new
+        new = hooked.join(above, "label").select("node", F.col("top").alias("label"), (F.col("top") != F.col("before")).alias("changed"))
+        new = C.materialize(new, "labels")
+        if new.where("changed").isEmpty():
+            return new.select("node", "label")
+        labels = new.select("node", "label")

@@ -122,6 +122,9 @@ def _first_level(runs: int, similarity: float):
                 while not n:  # a tree whose root chose nothing would find nothing
                     row, child = _chosen(np.repeat(root, len(keys)), values, similarity)
                     n, root = len(row) or not len(keys), C.mix(root)
+                # two levels at once: sets that share a common passage, and little else, mostly part at the second
+                again, child = _chosen(child, values[row], similarity)
+                row = row[again]
                 yield pa.RecordBatch.from_pydict({"node": pa.array(child.view(np.int64)), "key": pa.array(keys[row])})
 
     return split
@@ -198,6 +201,15 @@ def _compared(least: float):
     return compare
 
 
+def _far(least: float):
+    def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = (_rows(batch.column(3), np.uint8, SKETCH) == _rows(batch.column(4), np.uint8, SKETCH)).sum(1)
+            yield pa.RecordBatch.from_pydict({k: batch.column(k) for k in ("node", "key", "head")} | {"far": pa.array((alike < least * SKETCH).astype(np.int64))})
+
+    return far
+
+
 def candidates(sets: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, small: int = SMALL_NODE, depth: int = DEPTH) -> DataFrame:
     """sets: key, sketch, short. Edges a, b that connect all sets which the trees bring together."""
     least = similarity - 4 * math.sqrt(similarity * (1 - similarity) / SKETCH)
@@ -206,17 +218,26 @@ def candidates(sets: DataFrame, similarity: float = SIMILARITY, recall: float =
     for level in range(1, depth + 1):
         nodes = C.materialize(nodes, "nodes")
         counted = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("key").alias("head")).where("n > 1")
-        shared = C.materialize(nodes.join(counted, "node"), "shared-nodes")
-        bucket = shared.where(F.col("n") <= small).join(sets.select("key", "short"), "key").select("node", "key", "short")
+        shared = C.materialize(nodes.join(counted, "node").join(sets.select("key", "short"), "key"), "shared-nodes")
+        bucket = shared.where(F.col("n") <= small).select("node", "key", "short")
         bucket = bucket.repartition("node").sortWithinPartitions("node")
-        edges.append(C.materialize(bucket.mapInArrow(_compared(least), "a long, b long").distinct(), "met"))
+        edges.append(C.materialize(bucket.mapInArrow(_compared(least), "a long, b long"), "met"))
         large = shared.where(F.col("n") > small)
         if large.isEmpty():
             break
-        if level == depth:  # too large to the last: all of it is verified
-            edges.append(large.where("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b")).distinct())
-        else:
-            nodes = large.join(sets.select("key", "sketch"), "key").select("node", "key", "sketch").mapInArrow(_next_level(similarity), "node long, key long")
+        # a large node nearly all of which is like its head needs no splitting: all of it goes to the same verification
+        pivot = sets.select(F.col("key").alias("head"), F.col("short").alias("head_short"))
+        against = large.join(pivot, "head").select("node", "key", "head", "short", "head_short")
+        against = C.materialize(against.mapInArrow(_far(least), "node long, key long, head long, far long"), "large-nodes")
+        split = against.groupBy("node").agg(F.sum("far").alias("far")).where((F.col("far") > small) & F.lit(level < depth))
+        split = C.materialize(split.select("node"), "split")
+        if split.isEmpty():
+            edges.append(against.where("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b")))
+            break
+        whole = against.join(split, "node", "left_anti")
+        edges.append(whole.where("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b")))
+        large = against.join(split, "node")
+        nodes = large.join(sets.select("key", "sketch"), "key").select("node", "key", "sketch").mapInArrow(_next_level(similarity), "node long, key long")
     out = edges[0]
     for more in edges[1:]:
         out = out.union(more)
@@ -278,8 +299,9 @@ def _verified(similarity: float):
     return verify
 
 
-def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, class_id, n_links, copy_of (the least doc_id of the row's copies) of each row."""
+def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, doc_id: str = "doc_id", text: str = "text", with_rows: bool = False) -> DataFrame:
+    """doc_id, class_id, n_links, copy_of (the least doc_id of the row's copies) of each row; with_rows: also row and own,
+    the hashes of id and text and of the text."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     # a row's own numbers, as an id may be null or stand in several rows
     rows = rows.withColumns({"row": F.xxhash64("doc_id", "text"), "own": F.xxhash64("text")})
@@ -298,7 +320,8 @@ def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, recall: float
     weights = members.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / GROUP_SETS), F.ceil(F.sum("size") / GROUP_SHINGLES)).cast("int").alias("parts"))
     # groups that are too large for a task are cut into parts, and each pair of parts meets in a task
     parted = members.join(weights, "label").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-    texts = rows.drop("doc_id").join(parted, ["row", "own"]).dropDuplicates(["key"])
+    # both sides grow with the input; a plan that changed with the size would surprise on the day of the large run
+    texts = rows.drop("doc_id").hint("shuffle_merge").join(parted, ["row", "own"]).dropDuplicates(["key"])
     met = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     met = met.select("label", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "key", "copies", "text")
     met = met.repartition(shards, "label", "i", "j").sortWithinPartitions("label", "i", "j")
@@ -309,4 +332,4 @@ def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, recall: float
     named = classes.join(classed.withColumnRenamed("node", "key"), "key", "left").select("key", "rep", "copies", F.coalesce("label", "key").alias("label"))
     named = named.join(named.groupBy("label").agg(F.min("rep").alias("class_id")), "label").join(links, "key", "left")
     named = C.materialize(named.select("key", "class_id", F.col("rep").alias("copy_of"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
-    return described.select("doc_id", "key").join(named, "key").select("doc_id", "class_id", "n_links", "copy_of")
+    return described.select("doc_id", "key", "row", "own").join(named, "key").select("doc_id", "class_id", "n_links", "copy_of", *(["row", "own"] if with_rows else []))
