@@ -68,5 +68,5 @@ def test_sinks(spark, tmp_path):
     sinks.frames_csv(frames.decode(rows), str(tmp_path / "csv"))
     line = spark.read.option("header", True).csv(str(tmp_path / "csv")).first()
     assert (line.frame_id, line.ch01, line.ch02, line.crc_valid) == ("1", "3", "-4", "true")
-    sinks.results_csv(spark.createDataFrame([(1.0, [1]), (float("nan"), [2])], "x double, y array<int>"), str(tmp_path / "res"))
+    sinks.results_csv(spark.createDataFrame([(1, 1.0, [1]), (2, float("nan"), [2])], "i int, x double, y array<int>"), str(tmp_path / "res"))
     assert sorted(str(r.x) for r in spark.read.option("header", True).csv(str(tmp_path / "res")).collect()) == ["1.0", "None"]
