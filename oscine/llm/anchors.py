@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from oscine.llm import common as C
 
-BATCH_BYTES, BUCKET_BYTES, SHARD_BYTES = 6 << 20, 32 << 20, 6 << 20
+BATCH_BYTES, BUCKET_BYTES, SHARD_BYTES, SLICE_BYTES = 4 << 20, 24 << 20, 6 << 20, 1 << 20
 FREQUENT = 4096
-CHUNK_UNITS = 1 << 19
+CHUNK_UNITS = 1 << 17
 _STEP, _PLACE = 1 << 21, C.U64((1 << 22) - 1)
 _LOW16 = C.U64(0xFFFF)
 _RUN = np.dtype([("h", "u8"), ("c", "u8"), ("lo", "i4"), ("hi", "i4")])
@@ -82,7 +82,8 @@ def segments(codes: np.ndarray, first: np.ndarray, length: int, k: int) -> tuple
         new = np.ones(len(at), bool)
         new[1:] = (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)
         begin = np.flatnonzero(new)
-        out.append((lo + at[begin], np.diff(np.append(begin, len(at))), grams[place[begin]]))
+        # the least of many hashes are small numbers; spread anew, they deal out evenly
+        out.append((lo + at[begin], np.diff(np.append(begin, len(at))), C.mix(grams[place[begin]] + C.U64(1))))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, C.U64)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -90,17 +91,19 @@ def segments(codes: np.ndarray, first: np.ndarray, length: int, k: int) -> tuple
 
 @dataclass
 class Found:
-    """Segments of a batch: text and unit in it at which each begins, windows, anchor and content hashes; data, if asked for."""
+    """Segments of a batch: text and unit in it at which each begins, windows, anchor and content hashes, and the place in
+    source, which is all units of the batch."""
 
     text: np.ndarray
     start: np.ndarray
     windows: np.ndarray
     h: np.ndarray
     c: np.ndarray
-    data: list[np.ndarray]
+    at: np.ndarray
+    source: np.ndarray
 
     def pick(self, at: np.ndarray) -> Found:
-        return Found(self.text[at], self.start[at], self.windows[at], self.h[at], self.c[at], [self.data[i] for i in at] if self.data else [])
+        return Found(self.text[at], self.start[at], self.windows[at], self.h[at], self.c[at], self.at[at], self.source)
 
 
 def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -109,11 +112,11 @@ def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(start - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def find(rule: Rule, column: pa.ChunkedArray, frequent: np.ndarray, wanted: Callable[[np.ndarray], np.ndarray] | None = None, data: bool = False) -> Found:
+def find(rule: Rule, column: pa.ChunkedArray, frequent: np.ndarray, wanted: Callable[[np.ndarray], np.ndarray] | None = None) -> Found:
     """The segments of a batch's texts; of frequent anchors (upper 48 bits, in order), the single windows. wanted: which to
     keep, by the upper 48 bits of the anchors that aren't frequent."""
-    out = []
-    for lo, _, buffer, offsets in C.text_slices(column):
+    out, before = [], 0
+    for lo, _, buffer, offsets in C.text_slices(column, SLICE_BYTES):
         codes, first = rule.units(buffer, offsets)
         start, windows, h = segments(codes, first, rule.length, rule.k)
         often = _in(h >> C.U64(16), frequent)
@@ -125,12 +128,12 @@ def find(rule: Rule, column: pa.ChunkedArray, frequent: np.ndarray, wanted: Call
         h = np.concatenate([h[keep], C.mix(c[len(c) - len(single) :])])
         owner = np.searchsorted(first, start, "right") - 1
         source = codes if rule.words else buffer
-        found = [source[s:e] for s, e in zip(start, end, strict=True)] if data else []
-        out.append(Found(owner + lo, start - first[owner], windows, h, c, found))
+        out.append(Found(owner + lo, start - first[owner], windows, h, c, start + before, source))
+        before += len(source)
     if not out:
         empty = np.zeros(0, np.int64)
-        return Found(empty, empty, empty, empty.view(C.U64), empty.view(C.U64), [])
-    return Found(*[np.concatenate([getattr(x, k) for x in out]) for k in ("text", "start", "windows", "h", "c")], [y for x in out for y in x.data])
+        return Found(empty, empty, empty, empty.view(C.U64), empty.view(C.U64), empty, np.zeros(0, np.uint8))
+    return Found(*[np.concatenate([getattr(x, k) for x in out]) for k in ("text", "start", "windows", "h", "c", "at", "source")])
 
 
 def _in(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -192,7 +195,21 @@ def _again(table: pa.Table) -> pa.Table:
     return pa.table({"batch": table.column("batch").take(pa.array(some, pa.int64())), "data": pa.array([kept[i] for i in some], pa.binary())})
 
 
-_SENT = "shard int, batch int, h binary, c binary, place binary, start binary, windows binary, data binary, frequent binary"
+_SENT = "shard int, batch int, h binary, place binary, start binary, windows binary, data binary, frequent binary"
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Bytes of an array, compressed, after its size; an array of numbers that rise slowly is given by its steps."""
+    if values.dtype == np.int64:
+        values = np.diff(values, prepend=0)
+    data = np.ascontiguousarray(values).tobytes()
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unpack(blob: pa.Scalar, dtype: type) -> np.ndarray:
+    data = blob.as_py()
+    values = np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True), dtype)
+    return np.cumsum(values, dtype=np.int64) if dtype is np.int64 else values
 
 
 def _send(rule: Rule, shards: int):
@@ -203,18 +220,20 @@ def _send(rule: Rule, shards: int):
         names = [x.split()[0] for x in _SENT.split(", ")]
         rows: dict[str, list] = {k: [] for k in names}
         if len(known) or len(frequent):
-            found = find(rule, table.column("text"), frequent, lambda h48: _in(h48, known), data=True)
+            found = find(rule, table.column("text"), frequent, lambda h48: _in(h48, known))
             place = _ids(table)[found.text]
             order, new = _group(found.h, found.c, place, found.start)
             found, place = found.pick(order[new]), place[order[new]]
             part = _part(found.h >> C.U64(16), shards)
+            order = np.lexsort((found.start, place, part))  # by place within a shard, which packs well
+            found, place, part = found.pick(order), place[order], part[order]
             edges = np.flatnonzero(np.diff(part, prepend=-1))
             for lo, hi in zip(edges, [*edges[1:], len(part)], strict=True):
-                for k, v in (("h", found.h), ("c", found.c), ("place", place), ("start", found.start), ("windows", found.windows.astype(np.int32))):
-                    rows[k].append(v[lo:hi].tobytes())
+                for k, v in (("h", found.h), ("place", place), ("start", found.start), ("windows", found.windows.astype(np.int32))):
+                    rows[k].append(_pack(v[lo:hi]))
                 rows["shard"].append(int(part[lo]))
                 rows["batch"].append(key[0].as_py())
-                rows["data"].append(np.concatenate(found.data[lo:hi]).tobytes())
+                rows["data"].append(_pack(found.source[_spread(found.at[lo:hi], found.windows[lo:hi] + rule.length - 1)]))
                 rows["frequent"].append(frequent.tobytes() if not lo else b"")
         return pa.table({k: pa.array(v, pa.int32() if k in ("shard", "batch") else pa.binary()) for k, v in rows.items()})
 
@@ -223,11 +242,13 @@ def _send(rule: Rule, shards: int):
 
 def _judge(rule: Rule):
     def judge(table: pa.Table) -> pa.Table:
-        column = lambda k, dtype: _arrays(table.column(k), dtype)
-        each = column("h", np.uint64)
-        counts = np.array([len(x) for x in each])
-        h, c, place, start, windows = np.concatenate(each), *(np.concatenate(column(k, t)) for k, t in (("c", np.uint64), ("place", np.int64), ("start", np.int64), ("windows", np.int32)))
-        units = np.concatenate(column("data", np.uint64 if rule.words else np.uint8))
+        h, place, start, windows, parts = ([_unpack(x, t) for x in table.column(k)] for k, t in (("h", np.uint64), ("place", np.int64), ("start", np.int64), ("windows", np.int32), ("data", np.uint64 if rule.words else np.uint8)))
+        counts = np.array([len(x) for x in h])
+        c = []
+        for own, part in zip(windows, parts, strict=True):
+            own_ends = np.cumsum(own.astype(np.int64) + rule.length - 1)
+            c.append(C.span_hashes(part if rule.words else C.byte_codes(part), own_ends - own - rule.length + 1, own_ends))
+        h, c, place, start, windows, units = map(np.concatenate, (h, c, place, start, windows, parts))
         ends = np.cumsum(windows.astype(np.int64) + rule.length - 1)
         begins = ends - windows - rule.length + 1
         order, new = _group(h, c, place, start)
@@ -368,21 +389,42 @@ def union_mask(spans: np.ndarray, size: int) -> np.ndarray:
     return np.cumsum(steps[:-1]) > 0
 
 
-def suffix_order(codes: np.ndarray, offsets: np.ndarray, packed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Ranks (from 1) of the suffixes of each string up to its end, equal suffixes ranked alike, and the sorted suffixes,
-    equal ones by place. codes: one for each unit, or for the packed units that begin there, 0 beyond the string's end.
-    By doubling the compared length."""
+def suffix_order(codes: np.ndarray, offsets: np.ndarray, packed: int = 1) -> np.ndarray:
+    """The sorted suffixes of strings, each suffix up to its string's end, equal ones by place. codes: one for each unit, or
+    for the packed units that begin there, 0 beyond the string's end. By doubling the compared length; suffixes that nothing
+    equals any more are left alone. A rank is the number of suffixes before the first equal one, plus one."""
     n = len(codes)
-    rank = np.unique(codes, return_inverse=True)[1] + 1
     end = np.repeat(offsets[1:], np.diff(offsets))
     longest = int(np.diff(offsets).max(initial=0))
-    have, place = packed, np.arange(n)
-    while have < longest:
-        after = place + have
-        there = after < end
-        key = rank.astype(C.U64) << C.U64(32)
-        key[there] |= rank[after[there]].astype(C.U64)
-        rank = np.unique(key, return_inverse=True)[1] + 1
-        have *= 2
-    return rank, np.argsort(rank.astype(C.U64) << C.U64(32) | place.astype(C.U64))
-
+    rank = np.zeros(n, np.int64)
+    tied, keys, have = np.arange(n), codes.astype(C.U64), 0
+    while len(tied):
+        order = np.argsort(keys)
+        tied, keys = tied[order], keys[order]
+        before = rank[tied]
+        starts = np.ones(len(tied), bool)
+        starts[1:] = before[1:] != before[:-1]
+        head = np.flatnonzero(starts)
+        place = np.maximum(before, 1) + np.arange(len(tied)) - np.repeat(head, np.diff(np.append(head, len(tied))))
+        new = starts.copy()
+        new[1:] |= keys[1:] != keys[:-1]
+        rank[tied] = place[new][np.cumsum(new) - 1]
+        have = have * 2 or packed
+        alone = new & np.append(new[1:], True)
+        tied = tied[~alone]
+        if have >= longest:
+            break
+        after = tied + have
+        there = after < end[tied]
+        keys = rank[tied].astype(C.U64) << C.U64(32)
+        keys[there] |= rank[after[there]].astype(C.U64)
+    out = np.empty(n, np.int64)
+    out[rank - 1] = np.arange(n)
+    if len(tied):  # equal to their ends
+        tied = tied[np.argsort(rank[tied] << 32 | tied)]
+        before = rank[tied]
+        starts = np.ones(len(tied), bool)
+        starts[1:] = before[1:] != before[:-1]
+        head = np.flatnonzero(starts)
+        out[before - 1 + np.arange(len(tied)) - np.repeat(head, np.diff(np.append(head, len(tied))))] = tied
+    return out

@@ -111,6 +111,11 @@ def gram_hashes(codes: np.ndarray, k: int) -> np.ndarray:
     n = len(codes) - k + 1
     if n <= 0:
         return np.zeros(0, U64)
+    if k > 6:  # differences of one running sum
+        up, down = _power_table(len(codes) + 1)
+        sums = np.zeros(len(codes) + 1, U64)
+        np.cumsum(codes * up[: len(codes)], dtype=U64, out=sums[1:])
+        return mix((sums[k:] - sums[:-k]) * down[:n])
     out = codes[:n].copy()
     for j in range(1, k):
         out *= U64(_MULTIPLIER)

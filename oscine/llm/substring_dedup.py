@@ -54,7 +54,7 @@ class FMIndex:
         marked = offsets + np.arange(len(offsets))
         whole = np.zeros(len(symbols) + len(sizes), np.int64)
         whole[np.arange(len(symbols)) + np.repeat(np.arange(len(sizes)), sizes)] = symbols
-        _, order = A.suffix_order(whole, marked)
+        order = A.suffix_order(whole, marked)
         starts = np.zeros(len(whole), bool)
         starts[marked[:-1]] = True
         transform = np.where(starts[order], 0, whole[order - 1])
@@ -108,7 +108,7 @@ SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept st
 def _finish(with_text: bool):
     def finish(table: pa.Table, spans: list[np.ndarray]) -> pa.Table:
         out: dict[str, list] = {k: [] for k in ("n_words", "n_removed", "kept_sha256", "kept")}
-        for lo, hi, buffer, offsets in C.text_slices(table.column("text")):
+        for lo, hi, buffer, offsets in C.text_slices(table.column("text"), A.SLICE_BYTES):
             starts, ends, first = C.words(buffer, offsets)
             for i in range(lo, hi):
                 a, b = first[i - lo], first[i - lo + 1]

@@ -34,7 +34,7 @@ def burrows_wheeler(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     for k in range(_PACKED):
         there = place + k < end
         packed[there] |= symbols[place[there] + k].astype(C.U64) << C.U64(_BITS * (_PACKED - 1 - k))
-    _, order = A.suffix_order(packed, marked, _PACKED)
+    order = A.suffix_order(packed, marked, _PACKED)
     before = symbols[np.maximum(order - 1, 0)].copy()
     starts = np.zeros(len(symbols), bool)
     starts[marked[:-1]] = True
@@ -54,12 +54,15 @@ def intervals(symbols: np.ndarray, order: np.ndarray, transform: np.ndarray, len
     border[1:] = (head[1:] != head[:-1]) | (head[1:] == 0)
     source = np.argsort(transform, kind="stable")  # the row that each row was extended from
     joined = np.flatnonzero(~border)
+    number = np.arange(len(order))  # an interval's number is its first row
     for _ in range(1, length):
-        number = np.cumsum(border)
+        runs = np.flatnonzero(np.diff(joined, prepend=-2) > 1)
+        number[joined] = np.repeat(joined[runs] - 1, np.diff(np.append(runs, len(joined))))
         apart = number[source[joined]] != number[source[joined - 1]]
         if not apart.any():
             break
-        border[joined[apart]] = True
+        new = joined[apart]
+        border[new], number[new] = True, new
         joined = joined[~apart]
     return np.cumsum(border)
 
@@ -75,7 +78,7 @@ def equal_windows(data: np.ndarray, offsets: np.ndarray, length: int) -> np.ndar
 
 
 def rule(total: int, length: int = LENGTH) -> A.Rule:
-    return A.Rule(length, False, False, equal_windows, A.gram_units(total, length, 2.5, 12))
+    return A.Rule(length, False, False, equal_windows, A.gram_units(total, length, 2.0, 12))
 
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
@@ -84,7 +87,7 @@ SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 def _finish(with_text: bool):
     def finish(table: pa.Table, spans: list[np.ndarray]) -> pa.Table:
         out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
-        for lo, hi, buffer, offsets in C.text_slices(table.column("text")):
+        for lo, hi, buffer, offsets in C.text_slices(table.column("text"), A.SLICE_BYTES):
             for i in range(lo, hi):
                 data = buffer[offsets[i - lo] : offsets[i - lo + 1]]
                 size, spans_left = len(data), 0
