@@ -1,6 +1,7 @@
 """Every query against its SQL, on the smallest tables."""
 
 import math
+import re
 
 import pytest
 
@@ -46,3 +47,17 @@ def test_contract():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_report_blocks_all(spark, tmp_path):
+    texts = ["Alpha one.\nplain\nBeta two.\ntail", "low first\nGamma.\n", "", "no head", None, "Delta.\nEpsilon.", "Zeta"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {}
+    for i, t in enumerate(texts):
+        block = 0
+        for line in t.split("\n") if t is not None else ():
+            block += bool(re.search(r"^[A-Z][a-z]+.*[.]$", line))
+            lines, chars = want.get((i, block), (0, 0))
+            want[i, block] = (lines + 1, chars + len(line))
+    found = catalog.queries()["report_blocks_all"](spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.block): (r.lines, r.chars) for r in found} == want and len(found) == len(want)
