@@ -96,9 +96,12 @@ def status_bits(raw: Column) -> dict[str, Column]:
     return {k: F.shiftright(raw, bit).bitwiseAND(F.lit(1)) == 1 for k, bit in names.items()} | {"reserved_clean": raw.bitwiseAND(F.lit(0b00011011)) == 0}
 
 
-def crc16(data: Column, length: int) -> Column:
-    """CRC-16/CCITT of the first bytes of a binary column: polynomial 0x1021, from 0xFFFF, no final exclusive or."""
+def crc16(data: Column, length: int | None = None) -> Column:
+    """CRC-16/CCITT of the first bytes of a binary column, or of all of them: polynomial 0x1021, from 0xFFFF, no final
+    exclusive or."""
     hexed = F.hex(data)
+    last = F.octet_length(data) - 1 if length is None else F.lit(length - 1)
+    places = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).when(last < 0, F.array().cast("array<int>"))
 
     def byte(i: Column) -> Column:
         return F.conv(F.substring(hexed, (2 * i + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
@@ -110,4 +113,4 @@ def crc16(data: Column, length: int) -> Column:
     def step(crc: Column, i: Column) -> Column:
         return F.aggregate(F.sequence(F.lit(1), F.lit(8)), crc.bitwiseXOR(F.shiftleft(byte(i), 8)), bit)
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(length - 1)), F.lit(0xFFFF), step)
+    return F.aggregate(places, F.lit(0xFFFF), step)

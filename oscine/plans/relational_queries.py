@@ -231,11 +231,16 @@ def status_bits(spark, sf_dir):
 
 
 def frame_crc(spark, sf_dir):
-    """CRC-16 of the first bytes of a text."""
+    """CRC-16 of the first bytes of a text. As its SQL twin, of 12 bytes of the first 300 customers; frame_crc_all has all of both."""
     head = F.substring(F.encode(F.col("c_name"), "UTF-8"), 1, 12)
     return table(spark, sf_dir, "customer").where("c_custkey < 300").select("c_custkey", S.crc16(head, 12).alias("crc"))
 
 
+def frame_crc_all(spark, sf_dir):
+    """CRC-16 of all bytes of every customer's name."""
+    return table(spark, sf_dir, "customer").select("c_custkey", S.crc16(F.encode(F.col("c_name"), "UTF-8")).alias("crc"))
+
+
 def nt_xent_pairs(spark, sf_dir):
     """Mean cosine of vectors with the mean of each class."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
@@ -255,4 +260,4 @@ def recovery_ratio(spark, sf_dir):
 
 from oscine.plans.relational_sql import SQL  # noqa: E402
 
-QUERIES = {k: globals()[k] for k in SQL} | {f.__name__: f for f in (report_blocks_all,)}
+QUERIES = {k: globals()[k] for k in SQL} | {f.__name__: f for f in (report_blocks_all, frame_crc_all)}

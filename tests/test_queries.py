@@ -1,5 +1,6 @@
 """Every query against its SQL, on the smallest tables."""
 
+import binascii
 import math
 import re
 
@@ -61,3 +62,11 @@ def test_report_blocks_all(spark, tmp_path):
             want[i, block] = (lines + 1, chars + len(line))
     found = catalog.queries()["report_blocks_all"](spark, str(tmp_path)).collect()
     assert {(r.doc_id, r.block): (r.lines, r.chars) for r in found} == want and len(found) == len(want)
+
+
+def test_frame_crc_all(spark, tmp_path):
+    names = ["Customer#000000001", "Customer#000000002", "Customer#000000300", "", "a", "é ß 漢", None, "long " * 60]
+    rows = [(250 + 25 * k, x) for k, x in enumerate(names)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string").write.parquet(str(tmp_path / "customer.parquet"))
+    found = {r.c_custkey: r.crc for r in catalog.queries()["frame_crc_all"](spark, str(tmp_path)).collect()}
+    assert found == {k: None if x is None else binascii.crc_hqx(x.encode(), 0xFFFF) for k, x in rows}
