@@ -17,8 +17,13 @@ from pyspark.sql import functions as F
 
 from oscine.llm import common as C
 
-#: Fixed masks: 1 counts, 0 is left out.
-MASKS = ("1111111", "1101100111", "1110011011", "1010111011")
+#: Fixed masks: 1 counts, 0 is left out. Of VERIFY tokens, however the tolerated ones are placed, one mask at least is hit.
+MASKS = ("1111111", "1101100111", "1110011011", "1010111011", "111101011")
+#: The same for items of fewer tokens, by their number.
+SHORT_MASKS = {
+    5: ("1111", "11101", "11011", "10111"), 6: ("1111", "11011"), 7: ("11111", "111011", "110111"), 8: ("111011", "11111"), 9: ("1111011", "1101111"),
+    10: ("1111011", "11001111", "110110011", "11110101", "10101111"), 11: ("1110111", "111001011", "1011111", "111111"), 12: ("11101011", "101100111", "111111"),
+}
 LEAST_ITEM = 5
 VERIFY, TOLERATED = 13, 0.2
 BLOCK_TOKENS = 1 << 20
@@ -58,17 +63,17 @@ class Seeds:
         self.ids = np.array(ids, np.int64)
         self.tokens, self.first = tokens(np.frombuffer(b"".join(data), np.uint8), offsets)
         sizes, owner = np.diff(self.first), C.owners(self.first)
-        longest = max(map(len, MASKS))
-        # items too short for a mask are looked for as a whole
-        self.masks = [*MASKS, *("1" * int(n) for n in np.unique(sizes[(sizes >= LEAST_ITEM) & (sizes < longest)]))]
+        used: dict[str, list[int]] = {}  # the sizes, at most VERIFY, of the items that a mask is for
+        for n in np.unique(np.minimum(sizes[sizes >= LEAST_ITEM], VERIFY)).tolist():
+            for mask in SHORT_MASKS.get(n, MASKS):
+                used.setdefault(mask, []).append(n)
+        self.masks = list(used)
         self.sorted, self.places = [], []
         self.slots = np.zeros(_SLOTS, bool)
-        for k, mask in enumerate(self.masks):
+        for mask in self.masks:
             found = _masked(self.tokens, mask)
             at = np.flatnonzero(owner[: len(found)] == owner[len(mask) - 1 :]) if len(found) else np.zeros(0, np.int64)
-            if k >= len(MASKS):
-                at = at[sizes[owner[at]] == len(mask)]
-            at = at[sizes[owner[at]] >= LEAST_ITEM]
+            at = at[np.isin(np.minimum(sizes[owner[at]], VERIFY), used[mask])]
             order = np.argsort(found[at], kind="stable")
             self.sorted.append(found[at][order])
             self.places.append(at[order])
@@ -83,8 +88,10 @@ class Seeds:
             at = np.flatnonzero(self.slots[(found & C.U64(_SLOTS - 1)).astype(np.int64)])
             at = at[owner[at] == owner[at + len(mask) - 1]]
             lo, hi = np.searchsorted(known, found[at], "left"), np.searchsorted(known, found[at], "right")
-            for p, a, b in zip(at[hi > lo], lo[hi > lo], hi[hi > lo], strict=True):
-                hits.append(np.stack([np.full(b - a, p), places[a:b]]))
+            n = hi - lo
+            if n.any():
+                which = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+                hits.append(np.stack([np.repeat(at, n), places[which]]))
         if not hits:
             return {}
         at, place = np.concatenate(hits, 1)

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -313,6 +314,21 @@ def test_decontamination(spark, docs, rows, empty):
     assert decontamination.with_overlaps(empty, benchmark, "hit").count() == 0
 
 
+@pytest.mark.parametrize("size", [*range(5, 16), 60])
+def test_decontamination_meets_all_accepted(size):
+    """Each pattern of substitutions that verification accepts is found: up to three of them, and those of whole periods."""
+    window = min(size, 13)
+    patterns = {frozenset(x) for n in range(4) for x in combinations(range(size), n)} if size < 16 else set()
+    patterns |= {frozenset(range(phase, size, period)) for period in range(1, size + 1) for phase in range(period)}
+    accepted = [x for x in patterns if min(sum(a <= k < a + window for k in x) for a in range(size - window + 1)) <= window // 5]
+    item = [f"w{k}" for k in range(size)]
+    texts = ["before it " + " ".join(f"x{k}" if k in x else w for k, w in enumerate(item)) + " after it" for x in accepted]
+    data = [t.encode() for t in texts]
+    found = decontamination.Seeds([0], [" ".join(item)]).overlaps(*decontamination.tokens(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])))
+    assert [sorted(accepted[k]) for k in range(len(accepted)) if found.get(k) != {0}] == []
+    assert len(accepted) > size
+
+
 def test_mixing(spark, docs, rows, empty):
     rng = random.Random(8)
     vocabulary = _vocabulary(rng, 400)
