@@ -31,13 +31,22 @@ GROUP_SETS, GROUP_SHINGLES = 1024, 400_000
 _MASK48 = C.U64((1 << 48) - 1)
 
 
-def runs_for(recall: float, similarity: float) -> int:
-    """Trees for which a pair at the threshold is met in one at least with the given probability: at each node the number
-    of chosen coordinates on which such a pair agrees is about Poisson with mean 1, and two levels are counted on."""
+def _apart(levels: int) -> float:
+    """The probability that a pair at the threshold parts within the levels of a tree: at each node the number of chosen
+    coordinates on which such a pair agrees is about Poisson with mean 1."""
     meet = 1.0
-    for _ in range(2):
+    for _ in range(levels):
         meet = 1 - math.exp(-meet)
-    return math.ceil(math.log(1 - recall) / math.log(1 - meet))
+    return 1 - meet
+
+
+def runs_for(recall: float, depth: int = DEPTH) -> tuple[int, int]:
+    """Trees over all sets, and more over the sets of nodes that were split, for which a pair at the threshold is met in one at
+    least with the given probability. Two levels are counted on where no node is split, depth + 1 where all are; what misses
+    at two levels and what misses at the deepest count against the recall together."""
+    runs = math.ceil(math.log(1 - recall) / math.log(_apart(2))) + 1
+    left = 1 - recall - _apart(2) ** runs
+    return runs, max(0, math.ceil(math.log(left) / math.log(_apart(depth + 1))) - runs)
 
 
 def shingle_sets(buffer: np.ndarray, offsets: np.ndarray, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -113,11 +122,11 @@ def _chosen(nodes: np.ndarray, values: np.ndarray, similarity: float) -> tuple[n
     return np.concatenate(row), np.concatenate(child)
 
 
-def _first_level(runs: int, similarity: float):
+def _first_level(runs: range, similarity: float):
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, values = batch.column(0).to_numpy(), _rows(batch.column(1), np.uint32, SKETCH)
-            for run in range(runs):
+            for run in runs:
                 root, n = C.mix(np.array([run + 1], C.U64)), 0
                 while not n:  # a tree whose root chose nothing would find nothing
                     row, child = _chosen(np.repeat(root, len(keys)), values, similarity)
@@ -210,11 +219,12 @@ def _far(least: float):
     return far
 
 
-def candidates(sets: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, small: int = SMALL_NODE, depth: int = DEPTH) -> DataFrame:
-    """sets: key, sketch, short. Edges a, b that connect all sets which the trees bring together."""
+def _met(sets: DataFrame, runs: range, similarity: float, small: int, depth: int) -> tuple[list[DataFrame], DataFrame | None]:
+    """Edges that connect the sets which the trees of the given numbers bring together, and the keys of the sets in nodes that
+    were split, if any were."""
     least = similarity - 4 * math.sqrt(similarity * (1 - similarity) / SKETCH)
-    nodes = sets.select("key", "sketch").mapInArrow(_first_level(runs_for(recall, similarity), similarity), "node long, key long")
-    edges = []
+    nodes = sets.select("key", "sketch").mapInArrow(_first_level(runs, similarity), "node long, key long")
+    edges, parted = [], None
     for level in range(1, depth + 1):
         nodes = C.materialize(nodes, "nodes")
         counted = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("key").alias("head")).where("n > 1")
@@ -237,7 +247,20 @@ def candidates(sets: DataFrame, similarity: float = SIMILARITY, recall: float =
         whole = against.join(split, "node", "left_anti")
         edges.append(whole.where("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b")))
         large = against.join(split, "node")
+        if parted is None:  # the nodes below hold no others
+            parted = C.materialize(large.select("key").distinct(), "parted")
         nodes = large.join(sets.select("key", "sketch"), "key").select("node", "key", "sketch").mapInArrow(_next_level(similarity), "node long, key long")
+    return edges, parted
+
+
+def candidates(sets: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, small: int = SMALL_NODE, depth: int = DEPTH) -> DataFrame:
+    """sets: key, sketch, short. Edges a, b that connect all sets which the trees bring together. A pair in a node that is
+    split may part below it; both its sets are then in further trees, which make up for that."""
+    runs, more_runs = runs_for(recall, depth)
+    edges, parted = _met(sets, range(runs), similarity, small, depth)
+    if parted is not None and more_runs:
+        again = C.materialize(sets.join(parted, "key", "left_semi"), "sets-again")
+        edges += _met(again, range(runs, runs + more_runs), similarity, small, depth)[0]
     out = edges[0]
     for more in edges[1:]:
         out = out.union(more)

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -177,6 +178,47 @@ def test_jaccard_join_recall(spark):
     assert sum(found[a] == found[b] for a, b in near) >= 0.999 * len(near)
 
 
+def _met_share(runs, levels, n=6000):
+    """The share of pairs at the threshold that a tree of the given numbers brings together after the levels, each node split."""
+    rng, k = np.random.default_rng(6), jaccard_join.SKETCH
+    left = rng.integers(0, 1 << 32, (n, k), dtype=np.uint32)
+    changed = np.argsort(rng.random((n, k)), 1) >= round(jaccard_join.SIMILARITY * k)
+    sketch = np.concatenate([left, np.where(changed, rng.integers(0, 1 << 32, (n, k), dtype=np.uint32), left)])
+    keys, met = np.arange(2 * n), np.zeros(n, bool)
+    batch = pa.RecordBatch.from_pydict({"key": pa.array(keys), "sketch": jaccard_join._binary(sketch)})
+    for out in jaccard_join._first_level(runs, jaccard_join.SIMILARITY)([batch]):
+        for _ in range(levels - 2):
+            own = out.column("key").to_numpy()
+            deeper = pa.RecordBatch.from_pydict({"node": out.column("node"), "key": out.column("key"), "sketch": jaccard_join._binary(sketch[own])})
+            out = next(jaccard_join._next_level(jaccard_join.SIMILARITY)([deeper]))
+        nodes, own = out.column("node").to_numpy(), out.column("key").to_numpy()
+        both = set(zip(nodes[own < n].tolist(), own[own < n].tolist(), strict=True)) & set(zip(nodes[own >= n].tolist(), (own[own >= n] - n).tolist(), strict=True))
+        met[[x for _, x in both]] = True
+    return met.mean()
+
+
+def test_jaccard_join_runs_reach_the_recall_at_every_depth():
+    runs, more = jaccard_join.runs_for(jaccard_join.RECALL)
+    assert _met_share(range(runs), 2) >= jaccard_join.RECALL
+    for depth in range(2, jaccard_join.DEPTH + 1):
+        assert _met_share(range(runs + more), depth + 1) >= jaccard_join.RECALL
+
+
+def test_jaccard_join_recall_of_crowded_sets(spark):
+    """Sets that share most of a passage with a hundred others, and are near duplicates of one only, so that nodes are split
+    again and again. A pair counts as met if an edge joins it, since other edges may join it by chance."""
+    rng, n, k = np.random.default_rng(6), 1000, jaccard_join.SKETCH
+    passage = np.repeat(rng.integers(0, 1 << 32, (n // 50, k), dtype=np.uint32), 50, 0)
+    first = np.where(rng.random((n, k)) < 0.65, passage, rng.integers(0, 1 << 32, (n, k), dtype=np.uint32))
+    changed = np.argsort(rng.random((n, k)), 1) < round(0.2 * k)
+    sketch = np.concatenate([first, np.where(changed, rng.integers(0, 1 << 32, (n, k), dtype=np.uint32), first)])
+    rows = [(i, bytearray(x.tobytes()), bytearray(x.astype(np.uint8).tobytes())) for i, x in enumerate(sketch)]
+    sets = spark.createDataFrame(rows, "key long, sketch binary, short binary").cache()
+    assert jaccard_join._met(sets, range(2), jaccard_join.SIMILARITY, 8, 2)[1].count() > n  # most are in nodes that are split
+    met = {(min(r.a, r.b), max(r.a, r.b)) for r in jaccard_join.candidates(sets, small=8).collect()}
+    assert sum((i, i + n) not in met for i in range(n)) <= (1 - jaccard_join.RECALL) * n
+
+
 def test_jaccard_join_large_nodes(spark):
     rng = random.Random(4)
     base = _vocabulary(rng, 150)
