@@ -178,18 +178,23 @@ def test_jaccard_join_recall(spark):
     assert sum(found[a] == found[b] for a, b in near) >= 0.999 * len(near)
 
 
+def _threshold_pairs(rng, n, first=None):
+    """Sketches of n sets and of n more, each at the threshold to one of the first."""
+    k = jaccard_join.SKETCH
+    first = rng.integers(0, 1 << 32, (n, k), dtype=np.uint32) if first is None else first
+    changed = np.argsort(rng.random((n, k)), 1) >= round(jaccard_join.SIMILARITY * k)
+    return np.concatenate([first, np.where(changed, rng.integers(0, 1 << 32, (n, k), dtype=np.uint32), first)])
+
+
 def _met_share(runs, levels, n=6000):
     """The share of pairs at the threshold that a tree of the given numbers brings together after the levels, each node split."""
-    rng, k = np.random.default_rng(6), jaccard_join.SKETCH
-    left = rng.integers(0, 1 << 32, (n, k), dtype=np.uint32)
-    changed = np.argsort(rng.random((n, k)), 1) >= round(jaccard_join.SIMILARITY * k)
-    sketch = np.concatenate([left, np.where(changed, rng.integers(0, 1 << 32, (n, k), dtype=np.uint32), left)])
+    sketch = _threshold_pairs(np.random.default_rng(6), n)
     keys, met = np.arange(2 * n), np.zeros(n, bool)
-    batch = pa.RecordBatch.from_pydict({"key": pa.array(keys), "sketch": jaccard_join._binary(sketch)})
-    for out in jaccard_join._first_level(runs, jaccard_join.SIMILARITY)([batch]):
+    whole, short = jaccard_join._binary(sketch), jaccard_join.shortened(sketch)
+    for out in jaccard_join._first_level(runs, jaccard_join.SIMILARITY)([pa.RecordBatch.from_arrays([pa.array(keys), whole, jaccard_join._binary(short)], ["key", "sketch", "short"])]):
         for _ in range(levels - 2):
             own = out.column("key").to_numpy()
-            deeper = pa.RecordBatch.from_pydict({"node": out.column("node"), "key": out.column("key"), "sketch": jaccard_join._binary(sketch[own])})
+            deeper = pa.RecordBatch.from_arrays([out.column("node"), out.column("key"), jaccard_join._binary(sketch[own]), out.column("short")], ["node", "key", "sketch", "short"])
             out = next(jaccard_join._next_level(jaccard_join.SIMILARITY)([deeper]))
         nodes, own = out.column("node").to_numpy(), out.column("key").to_numpy()
         both = set(zip(nodes[own < n].tolist(), own[own < n].tolist(), strict=True)) & set(zip(nodes[own >= n].tolist(), (own[own >= n] - n).tolist(), strict=True))
@@ -197,11 +202,14 @@ def _met_share(runs, levels, n=6000):
     return met.mean()
 
 
-def test_jaccard_join_runs_reach_the_recall_at_every_depth():
-    runs, more = jaccard_join.runs_for(jaccard_join.RECALL)
-    assert _met_share(range(runs), 2) >= jaccard_join.RECALL
-    for depth in range(2, jaccard_join.DEPTH + 1):
-        assert _met_share(range(runs + more), depth + 1) >= jaccard_join.RECALL
+@pytest.mark.parametrize("depth", [2, 3, 4, 5, 6])
+def test_jaccard_join_runs_reach_the_recall_at_every_depth(depth):
+    assert _met_share(range(jaccard_join.runs_for(jaccard_join.RECALL, depth)), depth) >= jaccard_join.RECALL
+
+
+def _sets(spark, sketch):
+    rows = [(i, bytearray(x.tobytes()), bytearray(y.tobytes())) for i, (x, y) in enumerate(zip(sketch, jaccard_join.shortened(sketch), strict=True))]
+    return spark.createDataFrame(rows, "key long, sketch binary, short binary").cache()
 
 
 def test_jaccard_join_recall_of_crowded_sets(spark):
@@ -210,13 +218,40 @@ def test_jaccard_join_recall_of_crowded_sets(spark):
     rng, n, k = np.random.default_rng(6), 1000, jaccard_join.SKETCH
     passage = np.repeat(rng.integers(0, 1 << 32, (n // 50, k), dtype=np.uint32), 50, 0)
     first = np.where(rng.random((n, k)) < 0.65, passage, rng.integers(0, 1 << 32, (n, k), dtype=np.uint32))
-    changed = np.argsort(rng.random((n, k)), 1) < round(0.2 * k)
-    sketch = np.concatenate([first, np.where(changed, rng.integers(0, 1 << 32, (n, k), dtype=np.uint32), first)])
-    rows = [(i, bytearray(x.tobytes()), bytearray(x.astype(np.uint8).tobytes())) for i, x in enumerate(sketch)]
-    sets = spark.createDataFrame(rows, "key long, sketch binary, short binary").cache()
-    assert jaccard_join._met(sets, range(2), jaccard_join.SIMILARITY, 8, 2)[1].count() > n  # most are in nodes that are split
-    met = {(min(r.a, r.b), max(r.a, r.b)) for r in jaccard_join.candidates(sets, small=8).collect()}
-    assert sum((i, i + n) not in met for i in range(n)) <= (1 - jaccard_join.RECALL) * n
+    sets = _sets(spark, _threshold_pairs(rng, n, first))
+    assert jaccard_join._met(sets, range(2), jaccard_join.SIMILARITY, 8, 2, 4)[1].count() > n  # most are in nodes that are split
+    edges = {(min(r.a, r.b), max(r.a, r.b)) for r in jaccard_join.candidates(sets, small=8).collect()}
+    assert sum((i, i + n) not in edges for i in range(n)) <= (1 - jaccard_join.RECALL) * n
+
+
+@pytest.mark.parametrize("m", [500, 1000, 2000])
+def test_jaccard_join_large_groups_are_absorbed(spark, m):
+    """One group of near copies over several tasks, and pairs at the threshold to some of them: all are joined, each set by a
+    number of edges that doesn't grow with the group, and none goes down."""
+    rng, k = np.random.default_rng(m), jaccard_join.SKETCH
+    base = rng.integers(0, 1 << 32, (1, k), dtype=np.uint32)
+    near = np.where(rng.random((m, k)) < 0.04, rng.integers(0, 1 << 32, (m, k), dtype=np.uint32), base)
+    sketch = _threshold_pairs(rng, m, near)[: m + 20]
+    edges, deeper = jaccard_join._met(_sets(spark, sketch), range(8), jaccard_join.SIMILARITY, 64, 2, 4)
+    found = [r for x in edges for r in x.collect()]
+    assert len(found) <= 8 * 4 * len(sketch)
+    root = {r.node: r.label for r in components.components(jaccard_join._union(edges)).collect()}
+    assert len(root) == len(sketch) and set(root.values()) == {0}
+    assert deeper is None or deeper.count() < 40
+
+
+def test_large_node_loses_no_candidate():
+    rng, k = np.random.default_rng(2), jaccard_join.SKETCH
+    centres = rng.integers(0, 1 << 32, (6, k), dtype=np.uint32)
+    sketch = np.where(rng.random((600, k)) < rng.choice([0.05, 0.15, 0.4], (600, 1)), rng.integers(0, 1 << 32, (600, k), dtype=np.uint32), centres[rng.integers(0, 6, 600)])
+    short, keys = jaccard_join.shortened(sketch), np.arange(600)
+    edges, down = jaccard_join._large_node(keys, short, 20, jaccard_join.SIMILARITY)
+    a, b = (np.concatenate(x) for x in zip(*edges, strict=True))
+    root = jaccard_join._roots(600, a, b)
+    alike = jaccard_join.equal_numbers(short[:, None], short[None]) >= jaccard_join.limits(jaccard_join.SIMILARITY)[0]
+    below = np.isin(keys, down)
+    assert all(root[i] == root[j] or below[i] and below[j] for i, j in np.argwhere(alike))
+    assert len(a) < 600 * 4 and len(down) < 600
 
 
 def test_jaccard_join_large_nodes(spark):
