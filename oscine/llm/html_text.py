@@ -1,28 +1,33 @@
-"""HTML extraction (operator 1): two passes over the blocks of a page. The first decides a block from where it stands, its
-share of text in links, its length and its share of stop words; the second gives blocks that stayed open the label of the
-nearest decided block.
+"""HTML extraction (operator 1): two passes over the blocks of a page. The first decides blocks by their share of text in
+links, their length and their share of stop words; short blocks stay open, and so do those of few stop words next to good ones.
+The second gives an open block the label of the nearest decided block of its container, or, if it has none, of the page.
 
-Blocks in menus, page headers, footers, sidebars, notices, adverts, forms and reader comments are decided as bad by where they
-stand. Where a page marks its article (article, main, or the role), only blocks in it can be good, and an open block takes its
-label from decided blocks of the article; if it has none, all of them are good. Character references are decoded, white space
-within a block becomes one space, blocks are trimmed and joined by one space in page order. Unclosed comments, scripts and
-tags reach to the end of the page. A null page, an empty one and one without good blocks give an empty text. Each row is read
-whole and by itself, repeated rows alike; extra columns are not looked at."""
+Menus, page headers, footers, sidebars, notices, adverts, forms and reader comments that say what they are by element, class,
+id or role are bad from the start. Where a page marks its article (article, main, or the role), blocks outside it are bad too;
+in it, and in pages without a mark, the two passes decide. A container with more open text without links than there is good text on
+the page is good too: a page may have no stop word of a known language.
+
+Character references are decoded, white space within a block becomes one space, blocks are trimmed and joined by one space in
+page order. Unclosed comments, scripts and tags reach to the end of the page. A null page, an empty one and one without good
+blocks give an empty text. Each row is read whole and by itself, repeated rows alike; extra columns are not looked at."""
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_LINKED = 0.5
+MOST_LINKED, SOME_LINKED = 0.5, 0.2
 SHORT = 70
 LONG = 200
-STOP_LOW, STOP_HIGH = 0.15, 0.3
+STOP_LOW, STOP_HIGH = 0.1, 0.2
 
 #: Frequent words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
@@ -70,29 +75,43 @@ def _marks(attributes: str) -> tuple[bool, bool]:
     return off, main
 
 
-class _Block:
-    __slots__ = ("heading", "linked", "main", "off", "text")
+@dataclass(slots=True)
+class Block:
+    """A block of text: where it stands, the place of its container, whether it is a heading, its share of characters in links."""
+
+    aside: bool
+    article: bool
+    container: int
+    heading: bool
+    text: str = ""
+    linked: float = 0.0
+
 
-    def __init__(self, off: bool, main: bool, heading: bool):
-        self.text: list[tuple[str, bool]] = []
-        self.off, self.main, self.heading, self.linked = off, main, heading, 0.0
+#: Elements that belong to the container which they stand in.
+_PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd pre blockquote figure figcaption table td th tr tbody thead tfoot summary legend center header section hr".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
-def blocks(page: str) -> list[tuple[str, bool, bool, bool, float]]:
-    """text, stands aside, stands in the article, is a heading, share of its characters in links: of each block that has text."""
-    found: list[_Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, aside, article
-    links, block, at = 0, None, 0
+def blocks(page: str) -> list[Block]:
+    """The blocks of a page that have text, in order."""
+    found: list[tuple[Block, list[tuple[str, bool]]]] = []
+    stack: list[tuple[str, bool, bool, int]] = []  # element, aside, article, container
+    open_names: Counter[str] = Counter()
+    links, block, at, containers = 0, None, 0, 0
 
     def put(text: str) -> None:
         nonlocal block
         if not text:
             return
         if block is None:
-            top = stack[-1] if stack else ("", False, False)
-            block = _Block(top[1], top[2], any(x[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for x in stack[-3:]))
+            _, off, main, own = stack[-1] if stack else ("", False, False, 0)
+            block = (Block(off, main, own, any(x[0] in _HEADINGS for x in stack[-3:])), [])
             found.append(block)
-        block.text.append((text, links > 0))
+        block[1].append((text, links > 0))
+
+    def leave(k: int) -> None:
+        open_names.subtract(x[0] for x in stack[k:])
+        del stack[k:]
 
     while at < len(page):
         m = _TAG.search(page, at)
@@ -125,32 +144,36 @@ def blocks(page: str) -> list[tuple[str, bool, bool, bool, float]]:
         if name in VOID:
             continue
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    if stack[k][1] != (stack[k - 1][1] if k else False):
-                        block = None
-                    del stack[k:]
-                    break
+            if open_names[name] > 0:
+                k = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name)
+                if stack[k][1] != (stack[k - 1][1] if k else False):
+                    block = None
+                leave(k)
             continue
         if name in BLOCKS and stack and stack[-1][0] == "p":
-            stack.pop()
+            leave(len(stack) - 1)
         if name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
-            stack.pop()
+            leave(len(stack) - 1)
         off, main = _marks(attributes) if attributes.strip() else (False, False)
-        above = stack[-1] if stack else ("", False, False)
-        article = above[2] or main or name in ("article", "main")
+        _, above_off, above_main, container = stack[-1] if stack else ("", False, False, 0)
+        article = above_main or main or name in ("article", "main")
         if name in ("body", "html", "article", "main"):
             off = False
-        off |= name in ASIDE or name == "header" and not article or article and above[2] and name == "article" and above[1]
-        if off and not above[1]:
+        off |= name in ASIDE or name == "header" and not article
+        if off and not above_off:
             block = None
-        stack.append((name, above[1] or off, article))
+        if name in BLOCKS and name not in _PLAIN:
+            containers += 1
+            container = containers
+        stack.append((name, above_off or off, article, container))
+        open_names[name] += 1
     out = []
-    for b in found:
-        text = " ".join(html.unescape("".join(t for t, _ in b.text)).split())
-        if text:
-            chars = [(len(t.strip()), linked) for t, linked in b.text]
-            out.append((text, b.off, b.main, b.heading, sum(n for n, linked in chars if linked) / max(1, sum(n for n, _ in chars))))
+    for b, parts in found:
+        b.text = " ".join(html.unescape("".join(t for t, _ in parts)).split())
+        if b.text:
+            chars = [(len(t.strip()), linked) for t, linked in parts]
+            b.linked = sum(n for n, linked in chars if linked) / max(1, sum(n for n, _ in chars))
+            out.append(b)
     return out
 
 
@@ -159,42 +182,63 @@ def _stop_share(text: str) -> float:
     return sum(w.strip(_EDGES) in STOP_WORDS for w in own) / max(1, len(own))
 
 
-def labels(found: list[tuple[str, bool, bool, bool, float]]) -> list[bool]:
+def _decided(block: Block) -> bool | None:
+    """The first pass: good, bad or open."""
+    if block.linked > MOST_LINKED:
+        return None if block.heading else False
+    if block.heading or len(block.text) < SHORT or block.linked > SOME_LINKED:
+        return None
+    share = _stop_share(block.text)
+    return True if share >= STOP_HIGH or share >= STOP_LOW and len(block.text) >= LONG else None
+
+
+def _nearest(known: list[int], k: int) -> list[int]:
+    """The known places next to k, which is none of them, on either side."""
+    at = bisect_left(known, k)
+    return known[max(0, at - 1) : at + 1]
+
+
+def labels(found: list[Block]) -> list[bool]:
     """Whether each block is part of the main text."""
-    has_article = any(main and not off for _, off, main, _, _ in found)
-    decided: list[bool | None] = []
-    for text, off, main, heading, linked in found:
-        if off or has_article and not main:
-            decided.append(False)
-        elif linked > MOST_LINKED:
-            decided.append(None if heading else False)
-        elif heading or len(text) < SHORT:
-            decided.append(None if not linked or main else False)
+    has_article = any(b.article and not b.aside for b in found)
+    inside = [not b.aside and (b.article or not has_article) for b in found]
+    decided = [_decided(b) if own else False for b, own in zip(found, inside, strict=True)]
+    # free text that no rule has decided: more of it in one container than good text on the page is the text too
+    free = [own and x is None and not b.linked for b, own, x in zip(found, inside, decided, strict=True)]
+    sizes: Counter[int] = Counter()
+    for b, x in zip(found, free, strict=True):
+        sizes[b.container] += len(b.text) * x
+    largest = max(sizes, key=lambda k: (sizes[k], -k), default=0)
+    good = sum(len(b.text) for b, x in zip(found, decided, strict=True) if x)
+    if sizes[largest] > good:
+        decided = [True if x and (b.container == largest or b.article and not good) else y for b, x, y in zip(found, free, decided, strict=True)]
+    # a long block of few stop words is bad, unless its container or the article's mark speaks for it
+    trusted = {b.container for b, x in zip(found, decided, strict=True) if x}
+    for k, b in enumerate(found):
+        if decided[k] is None and len(b.text) >= LONG and not b.article and b.container not in trusted and _stop_share(b.text) < STOP_LOW:
+            decided[k] = False
+    out = [x is True for x in decided]
+    known, by_container = [], defaultdict(list)
+    for k, x in enumerate(decided):
+        if x is not None:
+            known.append(k)
+            if inside[k]:
+                by_container[found[k].container].append(k)
+    for k in (k for k, x in enumerate(decided) if x is None):
+        # within a container a tie is good; between containers it is bad, and so is what lies beyond the page's ends
+        near = [(abs(x - k), not decided[x]) for x in _nearest(by_container[found[k].container], k)]
+        if not near:
+            around = [(abs(x - k), decided[x]) for x in _nearest(known, k)] + [(k + 1, False), (len(found) - k, False)]
+            out[k] = min(around)[1]
         else:
-            share = _stop_share(text)
-            decided.append(True if share >= STOP_HIGH or share >= STOP_LOW and len(text) > LONG else None if has_article or share >= STOP_LOW else False)
-    # nearest decided block on either side; blocks outside the article don't count inside it
-    out = list(decided)
-    inside = [k for k, b in enumerate(found) if not has_article or b[2] and not b[1]]
-    known = [k for k in inside if decided[k] is not None]
-    place, at = {k: i for i, k in enumerate(inside)}, 0
-    for k in inside:
-        if decided[k] is not None:
-            continue
-        while at < len(known) and known[at] < k:
-            at += 1
-        near = [(place[x] - place[k] if x > k else place[k] - place[x], not decided[x]) for x in known[max(0, at - 1) : at + 1]]
-        out[k] = not min(near)[1] if near else has_article
-    if has_article and not any(out[k] for k in inside):  # an article of nothing but links and short blocks
-        for k in inside:
-            out[k] = decided[k] is None
-    return [bool(x) for x in out]
+            out[k] = not min(near)[1]
+    return out
 
 
 def main_text(page: str | None) -> tuple[str, int, int]:
     """The main text of a page, its number of blocks, and how many of them were kept."""
     found = blocks(page or "")
-    kept = [b[0] for b, good in zip(found, labels(found), strict=True) if good]
+    kept = [b.text for b, good in zip(found, labels(found), strict=True) if good]
     return " ".join(kept), len(found), len(kept)
 
 

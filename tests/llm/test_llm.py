@@ -4,8 +4,10 @@ columns of clashing names; and on empty tables."""
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 from itertools import combinations
 
 import numpy as np
@@ -456,6 +458,69 @@ def test_html_text(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+class _Article(HTMLParser):
+    """What stands in article, by a parser that knows no rules: blocks end at p, h1 and article."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.parts = 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        if tag == "br":
+            self.parts[-1] += " "
+        elif tag in ("p", "h1", "article"):
+            self.parts.append("")
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        if tag in ("p", "h1", "article"):
+            self.parts.append("")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.parts[-1] += data
+
+
+def _renamed(page, names, more=()):
+    page = re.sub(rf"<(/?)({'|'.join(names)})\b", r"<\1div", page)
+    for x in more:
+        page = page.replace(x, "")
+    return page
+
+
+def test_html_text_on_pages(spark):
+    """Every page of the table equals its article, as a parser reads it; also where the article has no mark. Without any marks,
+    rules alone find all of the articles, and little else."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    sizes = Counter()
+    for page in pages:
+        plain = _Article()
+        plain.feed(page)
+        want = " ".join(y for y in (" ".join(x.split()) for x in plain.parts) if y)
+        assert html_text.main_text(page)[0] == want
+        assert html_text.main_text(_renamed(page, ["article"]))[0] == want
+        bare = html_text.main_text(_renamed(page, ["article", "nav", "footer"], [' class="ad"']))[0]
+        sizes.update(article=len(want), bare=len(bare), found=len(want) * (want in bare))
+    assert sizes["found"] >= 0.95 * sizes["article"] and sizes["bare"] <= 1.05 * sizes["article"]
+
+
+def test_html_text_stop_words_decide(monkeypatch):
+    prose = "It is the first of the things that we had to see in the town, and so it was with all of them. " * 3
+    names = "Mulder Ferrante Oquist Bandarim Tolkas Verrick Sandoval Pirelka Monteggi Hartwick Lindqvist Barros " * 3
+    page = f"<div><p>{prose}</p><p>Short one.</p></div><div>{names}</div><div><p>{prose}</p></div>"
+    assert html_text.main_text(page)[0] == f"{prose}Short one. {prose}".strip()
+    monkeypatch.setattr(html_text, "_stop_share", lambda text: 1.0)
+    assert "Mulder" in html_text.main_text(page)[0]
+
+
+@pytest.mark.parametrize("page", ["<b>" * 100_000 + "</i>" * 100_000, "<div>" * 100_000 + "</p>" * 100_000, '<a "' * 50_000, "<p>x" * 50_000])
+def test_html_text_unclosed_tags(page):
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 10
+
+
 def test_token_counts(docs, rows, empty):
     letters = [*"abcdefghijklmnopqrstuvwxyz", "▁", "é"]
     rng = random.Random(6)
