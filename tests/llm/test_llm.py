@@ -384,28 +384,42 @@ def test_decontamination(spark, docs, rows, empty):
         changed[k] = "else"
     texts = [inside(items[0]), inside(changed), inside([x.upper() + "," for x in items[1]]), inside(items[2]), inside(items[3]), inside(items[4]), inside(items[0][8:23]), inside(items[0][:6]), inside([]), None, ""]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    want = {0: [0], 1: [0], 2: [1], 3: [2], 4: [3], 5: [], 6: [0], 7: [], 8: [], 9: [], 10: []}
+    want = {0: [0], 1: [0], 2: [1], 3: [2], 4: [3], 5: [4], 6: [0], 7: [], 8: [], 9: [], 10: []}
     assert {r.doc_id: r.hit for r in decontamination.with_overlaps(df, benchmark, "hit").collect()} == want
-    assert {r.doc_id: r.hit for r in decontamination.with_overlaps(df, benchmark, "hit", block_tokens=20).collect()} == want
+    assert {r.doc_id: r.hit for r in decontamination.with_overlaps(df, benchmark, "hit", least_tokens=5).collect()} == want | {5: []}
     own = decontamination.with_overlaps(docs, benchmark, "hit")
     assert own.columns == [*docs.columns, "hit"] and own.count() == len(rows)
     assert decontamination.with_overlaps(docs, benchmark.limit(0), "hit").where("size(hit) > 0").count() == 0
     assert decontamination.with_overlaps(empty, benchmark, "hit").count() == 0
 
 
-@pytest.mark.parametrize("size", [*range(5, 16), 60])
-def test_decontamination_meets_all_accepted(size):
+def test_decontamination_meets_all_accepted(spark):
     """Each pattern of substitutions that verification accepts is found: up to three of them, and those of whole periods."""
-    window = min(size, 13)
-    patterns = {frozenset(x) for n in range(4) for x in combinations(range(size), n)} if size < 16 else set()
-    patterns |= {frozenset(range(phase, size, period)) for period in range(1, size + 1) for phase in range(period)}
-    accepted = [x for x in patterns if min(sum(a <= k < a + window for k in x) for a in range(size - window + 1)) <= window // 5]
-    item = [f"w{k}" for k in range(size)]
-    texts = ["before it " + " ".join(f"x{k}" if k in x else w for k, w in enumerate(item)) + " after it" for x in accepted]
-    data = [t.encode() for t in texts]
-    found = decontamination.Seeds([0], [" ".join(item)]).overlaps(*decontamination.tokens(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])))
-    assert [sorted(accepted[k]) for k in range(len(accepted)) if found.get(k) != {0}] == []
-    assert len(accepted) > size
+    rows, want = [], set()
+    sizes = [*range(1, 16), 60]
+    for size in sizes:
+        window = min(size, 13)
+        patterns = {frozenset(x) for n in range(4) for x in combinations(range(size), n)} if size < 16 else set()
+        patterns |= {frozenset(range(phase, size, period)) for period in range(1, size + 1) for phase in range(period)}
+        accepted = [x for x in patterns if min(sum(a <= k < a + window for k in x) for a in range(size - window + 1)) <= window // 5]
+        for x in patterns:
+            want |= {(len(rows), size)} if x in accepted else set()
+            rows.append((len(rows), "before it " + " ".join(f"x{k}" if k in x else f"w{size}v{k}" for k in range(size)) + " after it"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(n, " ".join(f"w{n}v{k}" for k in range(n))) for n in sizes], "item_id long, text string")
+    found = decontamination.with_overlaps(df, benchmark, "hit").collect()
+    assert {(r.doc_id, x) for r in found for x in r.hit} == want and len(want) > 1000
+
+
+def test_decontamination_long_items(spark):
+    """Items of several chunks, found at their ends and across the borders of chunks."""
+    item = [f"w{k}" for k in range(3 * decontamination.CHUNK + 5)]
+    places = [0, 500, decontamination.CHUNK - 13, decontamination.CHUNK - 7, decontamination.CHUNK, 2 * decontamination.CHUNK - 1, len(item) - 13]
+    texts = ["a b " + " ".join(item[k : k + 13]) + " c" for k in places] + [" ".join(item[k : k + 12]) for k in places] + [" ".join(item)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    found = {r.doc_id: r.hit for r in decontamination.with_overlaps(df, benchmark, "hit").collect()}
+    assert found == {k: [1] if k < len(places) or k == len(texts) - 1 else [] for k in range(len(texts))}
 
 
 def test_mixing(spark, docs, rows, empty):
