@@ -31,7 +31,9 @@ SKETCH = 64
 SMALL_NODE, PLANNED = 512, 2
 GROUP_SETS, GROUP_SHINGLES = 2048, 400_000
 NODE_PAIRS, VAIN_PIVOTS = 1 << 24, 4
-PARTITION_BYTES, PARTITION_ROWS = 16 << 20, 20_000
+PARTITION_BYTES, PARTITION_ROWS = 16 << 20, 50_000
+#: Sets, the first by a hash, among which pivots of very large groups are looked for; how many of them such a group has at least.
+SAMPLE, SAMPLE_LIKE = 4096, 16
 _MASK48 = C.U64((1 << 48) - 1)
 #: What a row is that a node gives: a candidate edge, a set that goes down, a set of a node at a task's border.
 _EDGE, _DOWN, _BORDER = 0, 1, 2
@@ -382,13 +384,16 @@ def _met(sets: DataFrame, runs: range, similarity: float, small: int, planned: i
     were split more often than planned, if any were.
 
     The members of a level's nodes are sorted by node over all tasks, so that a node of any size is spread evenly and most are
-    whole in one task, where they are met in one pass. Nodes are split until they are small."""
+    whole in one task, where they are met in one pass; a level of at most PARTITION_ROWS members is one task. Nodes are split
+    until they are small."""
     nodes = sets.select("key", "sketch", "short").mapInArrow(_first_level(runs, similarity), "node long, key long, short binary")
     edges, deeper, level = [], None, 2
     while True:
-        ordered = nodes.repartitionByRange(partitions, "node", "key").sortWithinPartitions("node", "key")
-        found = [C.materialize(ordered.mapInArrow(_at_nodes(similarity, small, False), _FOUND), "met")]
-        found += _border_nodes(found[0].where(F.col("kind") == _BORDER), similarity, small)
+        whole = partitions == 1
+        ordered = nodes.coalesce(1).sortWithinPartitions("node", "key") if whole else nodes.repartitionByRange(partitions, "node", "key").sortWithinPartitions("node", "key")
+        found = [C.materialize(ordered.mapInArrow(_at_nodes(similarity, small, whole), _FOUND), "met")]
+        if not whole:
+            found += _border_nodes(found[0].where(F.col("kind") == _BORDER), similarity, small)
         edges += [x.where(F.col("kind") == _EDGE).select(F.col("key").alias("a"), F.col("other").alias("b")) for x in found]
         down = _union([x.where(F.col("kind") == _DOWN).select("node", "key") for x in found])
         rows = down.count()
@@ -397,7 +402,48 @@ def _met(sets: DataFrame, runs: range, similarity: float, small: int, planned: i
         if level == planned:  # the nodes below hold no others
             deeper = C.materialize(down.select("key").distinct(), "deeper")
         nodes = down.join(sets, "key").select("node", "key", "sketch", "short").mapInArrow(_next_level(similarity), "node long, key long, short binary")
-        level, partitions = level + 1, max(1, min(partitions, rows // PARTITION_ROWS))
+        level, partitions = level + 1, 1 if rows <= PARTITION_ROWS else max(12, min(partitions, rows // PARTITION_ROWS))
+
+
+def _pivots(sets: DataFrame, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and short sketches of sets that stand for very large groups of near copies, found in a sample of bounded size. They
+    only save work: what they absorb is no part of the trees, and what may be like it is joined to them."""
+    rows = sets.select("key", "short").orderBy(F.xxhash64("key"), "key").limit(SAMPLE).collect()
+    keys = np.array([r["key"] for r in rows], np.int64)
+    short = np.frombuffer(b"".join(bytes(r["short"]) for r in rows), C.U64).reshape(len(rows), SKETCH // 16)
+    absorb = limits(similarity)[1]
+    left, chosen = np.ones(len(rows), bool), []
+    like = [equal_numbers(x, short) >= absorb for x in short]
+    for k in sorted(range(len(rows)), key=lambda k: (-like[k].sum(), keys[k])):
+        if left[k] and (like[k] & left).sum() >= SAMPLE_LIKE:
+            chosen.append(k)
+            left &= ~like[k]
+    return keys[chosen], short[chosen]
+
+
+def _near_pivots(shared, similarity: float):
+    """Edges from sets to the pivots in whose ring they are."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots, short = shared.value
+        for batch in batches:
+            keys, own = batch.column(0).to_numpy(), _short_of(batch.column(1))
+            for pivot, x in zip(pivots, short, strict=True):
+                some = (equal_numbers(own, x) >= limits(similarity)[2]) & (keys != pivot)
+                yield pa.RecordBatch.from_pydict({"a": pa.array(keys[some]), "b": pa.array(np.full(some.sum(), pivot))})
+
+    return near
+
+
+def _not_absorbed(shared, similarity: float):
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, stays = _short_of(batch.column(2)), np.ones(batch.num_rows, bool)
+            for x in shared.value[1]:
+                stays &= equal_numbers(own, x) < limits(similarity)[1]
+            yield batch.filter(pa.array(stays))
+
+    return rest
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -410,8 +456,14 @@ def _union(tables: list[DataFrame]) -> DataFrame:
 def candidates(sets: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, small: int = SMALL_NODE, partitions: int = 12) -> DataFrame:
     """sets: key, sketch, short. Edges a, b that connect all sets which the trees bring together. A pair whose nodes are split
     on may part below; both its sets are then in further trees, as many as the depth calls for, until no set goes deeper than
-    was planned. The misses of all rounds together stay within the recall."""
+    was planned. The misses of all rounds together stay within the recall. Very large groups are absorbed before, each by a
+    pivot."""
     edges, done, depth, missed = [], 0, PLANNED, 1 - recall
+    pivots = _pivots(sets, similarity)
+    if len(pivots[0]):
+        shared = sets.sparkSession.sparkContext.broadcast(pivots)
+        edges.append(C.materialize(sets.select("key", "short").mapInArrow(_near_pivots(shared, similarity), "a long, b long"), "near-pivots"))
+        sets = C.materialize(sets.select("key", "sketch", "short").mapInArrow(_not_absorbed(shared, similarity), "key long, sketch binary, short binary"), "not-absorbed")
     while sets is not None:
         missed /= 2
         runs = runs_for(1 - missed, depth)
