@@ -3,7 +3,7 @@ found over all texts, and the lines of every later occurrence go.
 
 Lines are what stands between newlines; lines without a word are no part of a window and always stay. A window is three
 consecutive lines that have words. The first occurrence, by doc_id, then by the text's own hash, then by place, stays whole.
-A null text counts as empty. Rows that share doc_id and text are one document to the rule and get the same result. Texts of
+A null id comes before all others. A null text counts as empty. Rows that share doc_id and text are one document to the rule and get the same result. Texts of
 fewer than three lines with words have no window and stay as they are. Extra columns of the input are not looked at."""
 
 from __future__ import annotations
@@ -31,27 +31,30 @@ def _windows(lines: F.Column, size: int) -> F.Column:
 
 def line_dedup(docs: DataFrame, size: int = LINES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of the input: doc_id, n_lines, n_removed, kept_text."""
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    texts = texts.withColumn("own", F.xxhash64("text"))
-    split = F.split("text", "\n", -1)
-    lines = F.filter(F.transform(split, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: s["x"].rlike(C.WORD_PATTERN))
+    # a null id comes first; the join below needs it as a value
+    identity = {"known": F.col(doc_id).isNotNull(), "id": F.coalesce(F.col(doc_id), F.lit(0))}
+    text = F.coalesce(F.col(text), F.lit(""))
+    texts = docs.select(F.col(doc_id).alias("doc_id"), *[v.alias(k) for k, v in identity.items()], F.xxhash64(text).alias("own"), F.split(text, "\n", -1).alias("split"))
+    lines = F.filter(F.transform("split", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: s["x"].rlike(C.WORD_PATTERN))
     hashed = F.transform(lines, lambda s: F.struct(s["i"].alias("i"), F.xxhash64(s["x"]).alias("h"), F.length(s["x"]).alias("n")))
     windows = (
-        texts.select("doc_id", "own", hashed.alias("lines")).where(F.size("lines") >= size)
-        .select("doc_id", "own", F.explode(_windows(F.col("lines"), size)).alias("w"))
-        .select("doc_id", "own", "w.at", "w.h1", "w.h2")
+        texts.select("known", "id", "own", hashed.alias("lines")).where(F.size("lines") >= size)
+        .select("known", "id", "own", F.explode(_windows(F.col("lines"), size)).alias("w"))
+        .select("known", "id", "own", "w.at", "w.h1", "w.h2")
     )
     windows = C.materialize(windows, "line-windows")
-    place = F.struct("doc_id", "own", "at")
+    place = F.struct("known", "id", "own", "at")
     repeated = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = windows.join(repeated, ["h1", "h2"]).where(place > F.col("first"))
-    covered = later.groupBy("doc_id", "own").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("gone"))
-    kept = F.filter(F.transform(split, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: ~F.array_contains("gone", s["i"]))
-    return texts.join(covered, ["doc_id", "own"], "left").select(
+    covered = later.groupBy("known", "id", "own").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("gone"))
+    # the lines are split before the join, so that each kept one is looked up once
+    stay = F.array_except(F.sequence(F.lit(0), F.size("split") - 1), "gone")
+    kept = F.transform(stay, lambda i: F.element_at("split", i + 1))
+    return texts.join(covered, ["known", "id", "own"], "left").select(
         "doc_id",
-        F.size(split).cast("long").alias("n_lines"),
+        F.size("split").cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.concat_ws("\n", F.transform(kept, lambda s: s["x"]))).alias("kept_text"),
+        F.concat_ws("\n", F.when(F.col("gone").isNull(), F.col("split")).otherwise(kept)).alias("kept_text"),
     )
 
 
