@@ -32,7 +32,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(C.load(spark, sf_dir, "documents"), token_counts.read_pieces(token_counts.MODEL))
+    return token_counts.token_counts(C.load(spark, sf_dir, "documents"), token_counts.read_pieces(token_counts.public_path()))
 
 
 def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

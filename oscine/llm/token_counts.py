@@ -3,8 +3,9 @@ go into a trie; the forward scores of the best segmentation are computed once fo
 words share; the count at a word's last node is the word's.
 
 Words are what stands between white space; each begins with the vocabulary's word mark. The vocabulary gives pieces in order
-of rank; a piece's probability follows from its rank by Zipf's law, as the file has no unigram probabilities. A character that
-is no piece counts one token for each of its UTF-8 bytes. Of equally good segmentations the one with fewer tokens counts.
+of rank; a piece's probability follows from its rank by Zipf's law, as the file has ranks and no unigram probabilities, and no
+tokenizer is fitted here. The counts are those of this model, and not of the tokenizer that the vocabulary was made for; scores
+of a unigram vocabulary may be given instead. A character that is no piece counts one token for each of its UTF-8 bytes. Of equally good segmentations the one with fewer tokens counts.
 Null and empty texts have no words and no tokens. Texts are read whole, each row by itself, repeated rows alike; an empty
 table gives an empty result; extra columns are not looked at."""
 
@@ -20,11 +21,19 @@ from pyspark.sql import functions as F
 from oscine.llm import common as C
 
 WORD_MARK = "▁"
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+MODEL = "piece_bpe_32k.model"
 MOST_PIECES = 1 << 20
+BLOCK_NODES = 1 << 16
 UNKNOWN_PENALTY = 10.0
 
 
+def public_path(name: str = MODEL) -> str:
+    """Where the package of public vocabularies keeps a file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def read_pieces(path: str) -> list[str]:
     """The ordinary pieces of a sentencepiece file, best rank first."""
     import sentencepiece
@@ -85,31 +94,38 @@ class Pieces:
         last = points[first]
         as_bytes = 1 + (last > 0x7F).astype(np.int64) + (last > 0x7FF) + (last > 0xFFFF)
         edges = np.searchsorted(depth, np.arange(1, (depth[-1] if len(depth) else 0) + 2))
-        for d in range(1, len(edges)):
-            lo, hi = edges[d - 1], edges[d]
-            ends, ancestor = first[lo:hi], np.arange(lo, hi) + 1
-            own, own_tokens = np.full(hi - lo, -np.inf), np.zeros(hi - lo, np.int64)
-            for size in range(1, min(self.longest, d) + 1):
-                ancestor = parent[ancestor - 1]
-                piece = self.score(self._spans(codes, ends, size))
-                more = np.ones(hi - lo, np.int64)
-                if size == 1:
-                    missing = np.isneginf(piece)
-                    piece, more = np.where(missing, self.unknown, piece), np.where(missing, as_bytes[lo:hi], 1)
-                total, many = best[ancestor] + piece, tokens[ancestor] + more
-                better = (total > own) | (total == own) & (many < own_tokens)
-                own, own_tokens = np.where(better, total, own), np.where(better, many, own_tokens)
-            best[lo + 1 : hi + 1], tokens[lo + 1 : hi + 1] = own, own_tokens
+        level = 0
+        while level < len(edges) - 1:
+            until = max(level + 1, int(np.searchsorted(edges, edges[level] + BLOCK_NODES, "right")) - 1)
+            lo = edges[level]
+            ancestor, score, more = self._last_pieces(codes, first[lo : edges[until]], depth[lo : edges[until]], parent, as_bytes, lo)
+            for a, b in zip(edges[level:until], edges[level + 1 : until + 1], strict=True):
+                above = ancestor[a - lo : b - lo]
+                total = best[above] + score[a - lo : b - lo]
+                own = total.max(1)
+                best[a + 1 : b + 1] = own
+                tokens[a + 1 : b + 1] = np.where(total == own[:, None], tokens[above] + more[a - lo : b - lo], 1 << 62).min(1)
+            level = until
         terminal = node[begins + sizes - 1]
         return tokens[terminal], best[terminal]
 
-    @staticmethod
-    def _spans(codes: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
-        up, down = C._power_table(size + 1)
-        total = np.zeros(len(ends), C.U64)
-        for k in range(size):
-            total += codes[ends - size + 1 + k] * up[k]
-        return C.mix(total + C.U64(size))
+    def _last_pieces(self, codes: np.ndarray, ends: np.ndarray, depth: np.ndarray, parent: np.ndarray, as_bytes: np.ndarray, lo: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For nodes lo, lo + 1, ...: the node before a last piece of each size, the piece's score, and its tokens."""
+        longest = int(min(self.longest, depth[-1]))
+        ancestor, score = np.zeros((len(ends), longest), np.int64), np.full((len(ends), longest), -np.inf)
+        more = np.ones((len(ends), longest), np.int64)
+        at, total = np.arange(lo, lo + len(ends)) + 1, np.zeros(len(ends), C.U64)
+        for size in range(1, longest + 1):
+            some = depth >= size
+            at = np.where(some, parent[np.maximum(at, 1) - 1], 0)
+            # one character more in front of the span
+            total = total * C.U64(C._MULTIPLIER) + codes[np.maximum(ends - size + 1, 0)]
+            piece = np.where(some, self.score(C.mix(total + C.U64(size))), -np.inf)
+            if size == 1:
+                missing = np.isneginf(piece)
+                piece, more[:, 0] = np.where(missing, self.unknown, piece), np.where(missing, as_bytes[lo : lo + len(ends)], 1)
+            ancestor[:, size - 1], score[:, size - 1] = at, piece
+        return ancestor, score, more
 
 
 def _counter(shared):
