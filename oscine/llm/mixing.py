@@ -7,8 +7,11 @@ fewer than two domains among the labels, or no labels, all documents belong to t
 null are left out. A null or empty text has no tokens: it changes no total, and its rate follows from its posterior alone.
 Repeated rows each get a rate. An empty table gives an empty result. Extra columns of either table are not looked at.
 
-The classifier is fitted on at most LABELLED_ROWS labelled rows, the first by a hash of doc_id; that number bounds what is
-broadcast too. Every row is scored, and every row counts in the totals."""
+The classifier sees which of at most FEATURES word beginnings (the first PREFIX letters, lower case) a document has, and its
+variety of words, share of symbols and share of capitals. A beginning counts if it depends on the label: its chi-square over
+the labelled rows is at least LEAST_APART. A fifth of the labelled rows is held out to choose the weight of the penalty and
+the temperature of the posteriors. At most LABELLED_ROWS labelled documents are used, the first by a hash of doc_id; that
+number bounds what is broadcast too. Every row is scored, and every row counts in the totals."""
 
 from __future__ import annotations
 
@@ -23,10 +26,12 @@ from oscine.llm import common as C
 
 DOMAINS = ("clean", "low", "toxic")
 LABELLED_ROWS = 12_000
-FEATURES, LEAST_SEEN = 1000, 5
+FEATURES, LEAST_SEEN, LEAST_APART = 1000, 2, 20.0
 PREFIX = 5
 PASSES = 2  # partitions of the labelled rows while the classifier is fitted
-TOLERANCE, ROUNDS = 1e-4, 24
+PENALTIES, TEMPERATURES = (0.002, 0.02), (0.5, 0.7, 1.0, 1.5, 2.0, 3.0)
+#: The gap to the goal, as a share of it, that counts as none; the least that a step must bring; rounds until it is an error.
+TOLERANCE, LEAST_GAIN, ROUNDS = 1e-4, 1e-5, 100
 
 
 def _described(docs: DataFrame) -> DataFrame:
@@ -34,7 +39,7 @@ def _described(docs: DataFrame) -> DataFrame:
     clean = F.coalesce(F.col("text"), F.lit(""))
     listed = F.filter(F.split(clean, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     df = docs.withColumn("words", listed).withColumn("tokens", F.size("words").cast("long"))
-    df = df.withColumn("heads", F.array_distinct(F.transform("words", lambda w: F.substring(w, 1, PREFIX)))).drop("words")
+    df = df.withColumn("heads", F.array_distinct(F.transform("words", lambda w: F.lower(F.substring(w, 1, PREFIX))))).drop("words")
     long = F.greatest(F.length(clean), F.lit(1)).cast("double")
 
     def share(gone: str) -> F.Column:
@@ -55,7 +60,8 @@ def _telling(train: DataFrame) -> list[str]:
     cells = seen.crossJoin(F.broadcast(sizes.withColumn("share", F.col("rows") / total))).join(counts, ["head", "label"], "left")
     expected = F.col("all") * F.col("share")
     apart = F.sum((F.coalesce("n", F.lit(0)) - expected) ** 2 / expected)
-    return [r["head"] for r in cells.groupBy("head").agg(apart.alias("apart")).orderBy(F.desc("apart"), "head").limit(FEATURES).collect()]
+    found = cells.groupBy("head").agg(apart.alias("apart")).where(F.col("apart") >= LEAST_APART)
+    return [r["head"] for r in found.orderBy(F.desc("apart"), "head").limit(FEATURES).collect()]
 
 
 def _features(described: DataFrame, heads: list[str]) -> DataFrame:
@@ -65,27 +71,70 @@ def _features(described: DataFrame, heads: list[str]) -> DataFrame:
     return joined.drop("heads", "seen", "variety", "symbols", "capitals")
 
 
+def _labelled(texts: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """The described labelled documents: at most so many, one text for each doc_id."""
+    domain = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0)
+    known = labels.select("doc_id", "quality", "toxic").dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    sample = known.select("doc_id", domain.cast("double").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    one = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min_by("text", "own").alias("text"))
+    return C.materialize(_described(one), "labelled")
+
+
+def _fitted(train: DataFrame, heads: list[str], penalty: float):
+    known = _features(train, heads).select("label", "features").repartition(PASSES).cache()
+    model = LogisticRegression(maxIter=30, regParam=penalty, family="multinomial", probabilityCol="p").fit(known)
+    known.unpersist()
+    return model
+
+
+def _tempered(temperature: float) -> F.Column:
+    """The posteriors of all domains from a model's probabilities, flattened by the temperature."""
+    p = vector_to_array("p")
+    flat = [F.pow(F.coalesce(F.try_element_at(p, F.lit(k + 1)), F.lit(0.0)), F.lit(1 / temperature)) for k in range(len(DOMAINS))]
+    return F.transform(F.array(*flat), lambda x: x / sum(flat))
+
+
+def _chosen(train: DataFrame) -> tuple[float, float, dict[str, float]]:
+    """The penalty and temperature under which the labels of a held-out fifth are most likely, and the figures there: log loss,
+    accuracy, and the share of the toxic documents that are called toxic."""
+    held = F.pmod(F.xxhash64(F.lit("held out"), "doc_id"), F.lit(5)) == 0
+    part, rest = train.where(~held), train.where(held)
+    if rest.isEmpty() or part.select("label").distinct().count() < 2:
+        return PENALTIES[-1], 1.0, {}
+    heads, best = _telling(part), None
+    for penalty in PENALTIES:
+        scored = _fitted(part, heads, penalty).transform(_features(rest, heads))
+        right, toxic = F.col("label") + 1, F.col("label") == DOMAINS.index("toxic")
+        tempered = scored.select("label", *[_tempered(t).alias(f"p{i}") for i, t in enumerate(TEMPERATURES)])
+        losses = [F.avg(-F.log(F.greatest(F.element_at(f"p{i}", right.cast("int")), F.lit(1e-6)))) for i in range(len(TEMPERATURES))]
+        called = F.array_position("p0", F.array_max("p0")) == right
+        *losses, accuracy, found = tempered.agg(*losses, F.avg(called.cast("double")), F.avg(F.when(toxic, called.cast("double")))).first()
+        i = min(range(len(losses)), key=losses.__getitem__)
+        if best is None or losses[i] < best[2]["log_loss"]:
+            best = (penalty, TEMPERATURES[i], {"log_loss": losses[i], "accuracy": accuracy, "toxic_found": found})
+    return best
+
+
+def held_out(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS) -> dict[str, float]:
+    """How well the classifier does on labelled documents that it didn't see."""
+    return _chosen(_labelled(docs.select("doc_id", "text", F.xxhash64("text").alias("own")), labels, labelled_rows))[2]
+
+
 def posteriors(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", labelled_rows: int = LABELLED_ROWS) -> DataFrame:
     """doc_id, row and own (hashes of id and text, and of the text), tokens, and p, the posteriors in the order of DOMAINS."""
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     texts = texts.withColumns({"row": F.xxhash64("doc_id", "text"), "own": F.xxhash64("text")})
-    domain = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0)
-    known = labels.select("doc_id", "quality", "toxic").dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
-    sample = known.select("doc_id", domain.cast("double").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled_rows)
-    train = C.materialize(_described(texts.join(F.broadcast(sample), "doc_id")), "labelled")
+    train = _labelled(texts.select("doc_id", "own", "text"), labels, labelled_rows)
     seen = sorted(int(r[0]) for r in train.select("label").distinct().collect())
     scored = _described(texts)
     if len(seen) < 2:
         only = seen[0] if seen else 0
         p = F.array(*[F.lit(float(k == only)) for k in range(len(DOMAINS))])
         return C.materialize(scored.select("doc_id", "row", "own", "tokens", p.alias("p")), "posteriors")
+    penalty, temperature, _ = _chosen(train)
     heads = _telling(train)
-    known = _features(train, heads).select("label", "features").repartition(PASSES).cache()
-    model = LogisticRegression(maxIter=30, regParam=0.002, family="multinomial", probabilityCol="p").fit(known)
-    known.unpersist()
-    p = vector_to_array("p")
-    p = F.array(*[F.coalesce(F.try_element_at(p, F.lit(k + 1)), F.lit(0.0)) for k in range(len(DOMAINS))])
-    return C.materialize(model.transform(_features(scored, heads)).select("doc_id", "row", "own", "tokens", p.alias("p")), "posteriors")
+    model = _fitted(train, heads, penalty)
+    return C.materialize(model.transform(_features(scored, heads)).select("doc_id", "row", "own", "tokens", _tempered(temperature).alias("p")), "posteriors")
 
 
 def _rate(steps: list[list[float]], most: float | None) -> F.Column:
@@ -97,43 +146,69 @@ def _rate(steps: list[list[float]], most: float | None) -> F.Column:
     return rate
 
 
-def rates(scored: DataFrame, targets: dict[str, float], budget: float | None = None, most: float | None = None) -> DataFrame:
-    """Adds rate. targets: weights of the domains; budget: tokens in all, those of the table if None.
+def totals(scored: DataFrame) -> dict[str, float]:
+    """The expected tokens of each domain."""
+    sums = scored.agg(*[F.sum(F.col("tokens") * F.element_at("p", i + 1)) for i in range(len(DOMAINS))]).first()
+    return dict(zip(DOMAINS, (x or 0.0 for x in sums), strict=True))
 
-    Each round is one aggregation, to the domains' expected tokens and to the curvature over the documents of positive rate,
-    which scales the gradient; a step that doesn't bring the totals closer is halved. A document's rate after a round follows
-    from the steps so far, which are a few numbers each, so that no round writes or shuffles documents."""
+
+def rates(scored: DataFrame, goal: dict[str, float], most: float | None = None) -> DataFrame:
+    """Adds rate, and gap: how far the expected tokens are from the goal, as a share of it. goal: tokens of each domain.
+
+    Each round is one aggregation, to the domains' expected tokens and to the curvature over the documents whose rate is free to
+    move, which scales the gradient; a step that doesn't bring the totals closer is halved. A document's rate after a round
+    follows from the steps so far, which are a few numbers each, so that no round writes or shuffles documents. The rounds end
+    at the goal, or where no step brings the totals closer to it, which is as close as the rates' bounds allow."""
     k = len(DOMAINS)
     split = scored.withColumns({f"p{i}": F.element_at("p", i + 1) for i in range(k)})
-    total = scored.agg(F.sum("tokens")).first()[0]
-    if not total:
-        return scored.withColumn("rate", F.lit(1.0))
-    weights = np.array([targets.get(x, 0.0) for x in DOMAINS], float)
-    goal = weights / weights.sum() * (total if budget is None else budget)
+    aim = np.array([goal.get(x, 0.0) for x in DOMAINS], float)
+    if not aim.sum():
+        return scored.withColumns({"rate": F.lit(0.0), "gap": F.lit(0.0)})
     steps: list[list[float]] = []
-    best: tuple[float, list[list[float]]] | None = None
+    best: tuple[float, list[list[float]], np.ndarray] | None = None
+    tried, last = 1.0, None
     for _ in range(ROUNDS):
-        at = split.withColumn("rate", _rate(steps, most)).withColumn("free", F.when(F.col("rate") > 0, F.col("tokens")).otherwise(0))
+        free = (F.col("rate") > 0) if most is None else (F.col("rate") > 0) & (F.col("rate") < most)
+        at = split.withColumn("rate", _rate(steps, most)).withColumn("free", F.when(free, F.col("tokens")).otherwise(0))
         sums = [F.sum(F.col("tokens") * F.col("rate") * F.col(f"p{i}")) for i in range(k)]
         sums += [F.sum(F.col("free") * F.col(f"p{i}") * F.col(f"p{j}")) for i in range(k) for j in range(k)]
+        sums += [F.sum(F.col("tokens") * F.col(f"p{i}") * F.col(f"p{j}")) for i in range(k) for j in range(k)]
         got = np.array([x or 0.0 for x in at.agg(*[x.alias(f"s{i}") for i, x in enumerate(sums)]).first()], float)
-        gap, curve = got[:k] - goal, got[k:].reshape(k, k)
-        size = float(np.linalg.norm(gap) / goal.sum())
+        gap, curve, whole = got[:k] - aim, got[k : k + k * k].reshape(k, k), got[k + k * k :].reshape(k, k)
+        size = float(np.linalg.norm(gap) / aim.sum())
         if best is None or size < best[0]:
-            done = best is not None and best[0] - size < TOLERANCE * 1e-2
-            best = (size, steps)
-            if size <= TOLERANCE or done:
+            gained = best[0] - size if best is not None else 1.0
+            best, tried = (size, steps, gap), 1.0
+            if size <= TOLERANCE or gained < LEAST_GAIN * size:
                 break
-            ridge = np.eye(k) * max(curve.trace(), 1.0) * 1e-6
-            steps = [*steps, np.linalg.solve(curve + ridge, gap).tolist()]
+            # documents at a bound may have to leave it, so that they keep a part in the curvature
+            curve = curve + whole * 0.01 + np.eye(k) * max(whole.trace(), 1.0) * 1e-6
+            last = np.linalg.solve(curve, gap)
         else:
-            steps = [*steps[:-1], [x / 2 for x in steps[-1]]]
-    return split.withColumn("rate", _rate(best[1], most)).drop(*[f"p{i}" for i in range(k)])
-
-
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], budget: float | None = None, most: float | None = None, **columns: str) -> DataFrame:
-    """doc_id, row, own, tokens, p, rate, copies of each row. copies is the whole number of times that the row is taken; its
-    expectation over the hash of the row is the rate."""
-    mixed = rates(posteriors(docs, labels, **columns), targets, budget, most)
+            tried /= 2
+            if tried < 1e-3:
+                break
+        steps = [*best[1], (last * tried).tolist()]
+    else:
+        raise RuntimeError(f"no rates after {ROUNDS} rounds: {best[0]} of the goal is left")
+    return split.withColumns({"rate": _rate(best[1], most), "gap": F.lit(best[0])}).drop(*[f"p{i}" for i in range(k)])
+
+
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], budget: float | None = None, most: float | None = None, keep: str | None = None, **columns: str) -> DataFrame:
+    """doc_id, row, own, tokens, p, rate, gap, copies of each row. copies is the whole number of times that the row is taken; its
+    expectation over the hash of the row is the rate.
+
+    targets: weights of the domains. budget: tokens in all, those of the table if None. keep: a domain whose confident documents
+    are to stay as they are; the goal is then what they hold, with more of the other domains up to the weights' share."""
+    scored = posteriors(docs, labels, **columns)
+    have = totals(scored)
+    if keep is None:
+        whole = sum(have.values()) if budget is None else budget
+        goal = {x: targets.get(x, 0.0) / sum(targets.values()) * whole for x in DOMAINS}
+    else:
+        confident = totals(scored.where(F.element_at("p", DOMAINS.index(keep) + 1) >= 0.5))
+        goal = {x: max(confident[x], min(have[x], confident[keep] * targets.get(x, 0.0) / targets[keep])) for x in DOMAINS}
+        goal[keep] = confident[keep]
+    mixed = rates(scored, goal, most)
     chance = F.pmod(F.xxhash64(F.lit("mix"), "doc_id", "own"), F.lit(1 << 30)) / float(1 << 30)
     return mixed.withColumn("copies", F.floor(F.col("rate") + chance).cast("int"))
