@@ -334,6 +334,23 @@ def test_line_dedup(docs, rows, empty):
     assert {r[0]: (r[1], r[2], r[3]) for r in c.execute(line_dedup.ORACLE).fetchall()} == {k: (a, b, hashlib.md5(t.encode()).hexdigest()) for k, (a, b, t) in got.items()}
 
 
+def test_line_dedup_null_ids(spark):
+    df = spark.createDataFrame([(None, "a\nb\nc\nd"), (None, "x\na\nb\nc"), (1, "a\nb\nc"), (None, None)], "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_lines, r.n_removed, r.kept_text) for r in line_dedup.line_dedup(df).collect())
+    first = Counter([(None, 4, 0, "a\nb\nc\nd"), (None, 4, 3, "x")])
+    other = Counter([(None, 4, 3, "d"), (None, 4, 0, "x\na\nb\nc")])
+    assert got in (first + Counter([(1, 3, 3, ""), (None, 1, 0, "")]), other + Counter([(1, 3, 3, ""), (None, 1, 0, "")]))
+
+
+def test_line_dedup_long_documents(spark):
+    lines = [f"line {k} of the text" for k in range(60_000)]
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, "new\n" + "\n".join(lines)), (3, "\n".join(lines[::-1]))], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: (r.n_removed, r.kept_text) for r in line_dedup.line_dedup(df).collect()}
+    assert got[2] == (60_000, "new") and got[1][0] == 0 and got[3] == (0, "\n".join(lines[::-1]))
+    assert time.time() - began < 60
+
+
 def test_resharding(docs, rows, empty):
     found = resharding.reshard(docs, 4, 3).collect()
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in found) == Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows)
@@ -345,9 +362,56 @@ def test_resharding(docs, rows, empty):
     largest = max(r.size for r in found)
     sizes = [sum(r.size for r in loads[k]) for k in range(4)]
     assert max(sizes) - min(sizes) <= largest
+    total, groups = sum(sizes), defaultdict(list)
+    for r in found:
+        groups[r.text_crc32, r.size].append(r)
+    for own in groups.values():
+        assert len({r.shard for r in own}) == 1 or sum(r.size for r in own) > total / 4
     assert resharding.reshard(empty).count() == 0
 
 
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_resharding_follows_the_flow(spark, folder):
+    """On whole tables: sizes near equal, equal texts together, and hardly more bytes moved than the optimum for the sizes."""
+    docs = spark.read.parquet(f"/root/testdata/{folder}/documents.parquet")
+    found = resharding.reshard(docs).collect()
+    old, new = Counter(), Counter()
+    for r in found:
+        old[r.old_shard] += r.size
+        new[r.shard] += r.size
+    total = sum(new.values())
+    assert max(new.values()) - min(new.values()) <= 0.05 * total / 16
+    least = total - sum(min(old[k], total // 16) for k in range(12))
+    moved = sum(r.size for r in found if r.shard != r.old_shard)
+    own = defaultdict(list)
+    for r in found:
+        own[r.text_crc32, r.size].append(r)
+    assert all(len({r.shard for r in x}) == 1 for x in own.values())
+    copies = sum(r.size for x in own.values() for r in x if r.old_shard != min(x, key=lambda r: r.doc_id).old_shard)
+    assert least - 0.01 * total <= moved <= 1.05 * least + copies
+
+
+def test_place_large():
+    """Every large unit takes a piece of its old shard's flow while there is one; else the emptiest shard."""
+    rng = random.Random(7)
+    for _ in range(20):
+        n_old, n_new = rng.randint(1, 6), rng.randint(2, 8)
+        units = [(k, rng.randrange(n_old), rng.randint(1, 100)) for k in range(300)]
+        sizes = Counter()
+        for _, old, size in units:
+            sizes[old] += size
+        total = sum(sizes.values())
+        capacities = [total // n_new + (k < total % n_new) for k in range(n_new)]
+        flow = resharding.least_moves([sizes[k] for k in range(n_old)], capacities)
+        placed = resharding.place_large(units, flow, n_new, total / n_new)
+        loads, moved = Counter(), 0
+        for key, old, size in units:
+            loads[placed[key]] += size
+            moved += size * (placed[key] != old)
+        assert len(placed) == len(units) and max(loads.values()) - min(loads.values()) <= 200
+        assert moved <= sum(v for (i, j), v in flow.items() if i != j) + 100 * n_new
+
+
 def test_least_moves_is_optimal():
     rng = random.Random(2)
     for _ in range(30):
@@ -367,7 +431,10 @@ def test_rewrite(spark, docs, tmp_path):
     placed = resharding.reshard(one, 4, 3).cache()
     touched = resharding.rewrite(one, placed, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
-    assert {r.doc_id: r.shard for r in back.collect()} == {r.doc_id: r.shard for r in placed.collect() if r.shard in touched}
+    want = {r.doc_id: r.shard for r in placed.collect() if r.shard in touched}
+    assert {r.doc_id: r.shard for r in back.collect()} == want
+    resharding.rewrite(one, placed, str(tmp_path / "out"))  # again, as after a failure
+    assert Counter(r.doc_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == Counter(list(want))
 
 
 def test_decontamination(spark, docs, rows, empty):
@@ -441,13 +508,50 @@ def test_mixing(spark, docs, rows, empty):
     for d, share in enumerate((0.9, 0.06, 0.04)):
         assert abs(sum(r.tokens * r.p[d] * r.rate for r in found) - share * total) < 1e-3 * total
     assert min(r.rate for r in found) >= 0
-    capped = mixing.mix(df, labels, {"clean": 1.0}, most=1.0).collect()
+    capped = mixing.mix(df, labels, {"clean": 0.95, "low": 0.05}, most=1.0, keep="clean").collect()
     assert max(r.rate for r in capped) <= 1 and sum(r.copies for r in capped if kinds[r.doc_id] == 0) >= 0.97 * kinds.count(0)
+    assert sum(r.copies for r in capped if kinds[r.doc_id] == 2) <= 0.05 * kinds.count(2)
+    assert max(r.gap for r in capped) <= 0.01
     assert mixing.mix(docs, labels, {"clean": 1.0}).count() == len(rows)
     assert mixing.mix(docs, labels.limit(0), {"clean": 1.0}).count() == len(rows)
     assert mixing.mix(empty, labels, {"clean": 1.0}).count() == 0
 
 
+def _scored(spark, p, tokens):
+    return spark.createDataFrame([(i, int(t), [float(x) for x in q]) for i, (q, t) in enumerate(zip(p, tokens, strict=True))], "doc_id long, tokens long, p array<double>")
+
+
+def test_rates_reach_the_optimum(spark):
+    """Against plain projected gradient descent with small steps, where the goal can and can't be reached."""
+    rng = np.random.default_rng(4)
+    p = rng.dirichlet([2, 0.5, 0.3], 200)
+    tokens = rng.integers(1, 400, 200)
+    mass = p * tokens[:, None]
+    for goal, most in (([0.9, 0.06, 0.04], None), ([1.0, 0.0, 0.0], None), ([0.2, 0.2, 0.6], 1.0), ([0.6, 0.02, 0.0], 1.0)):
+        aim = np.array(goal) * tokens.sum()
+        rate = np.ones(200)
+        for _ in range(40_000):
+            rate = np.clip(rate - 2e-6 * mass @ (mass.T @ rate - aim), 0, most)
+        want = np.linalg.norm(mass.T @ rate - aim) / aim.sum()
+        found = mixing.rates(_scored(spark, p, tokens), dict(zip(mixing.DOMAINS, aim.tolist(), strict=True)), most).orderBy("doc_id").collect()
+        own = np.array([r.rate for r in found])
+        assert own.min() >= 0 and (most is None or own.max() <= most)
+        assert np.linalg.norm(mass.T @ own - aim) / aim.sum() == pytest.approx(found[0].gap, abs=1e-9)
+        assert found[0].gap <= want + 5e-3
+
+
+def test_rates_remove_the_toxic_though_unsure(spark):
+    """With posteriors of 0.5 to 0.8 for the toxic documents, and rates of at most 1, these go and the clean ones stay."""
+    rng = np.random.default_rng(5)
+    toxic = rng.random(1000) < 0.11
+    bad = np.where(toxic, rng.uniform(0.5, 0.8, 1000), rng.uniform(0.0, 0.05, 1000))
+    p, tokens = np.stack([(1 - bad) * 0.95, (1 - bad) * 0.05, bad], 1), rng.integers(20, 400, 1000)
+    scored = _scored(spark, p, tokens)
+    confident = mixing.totals(scored.where("p[0] >= 0.5"))
+    own = np.array([r.rate for r in mixing.rates(scored, confident, 1.0).orderBy("doc_id").collect()])
+    assert own[toxic].mean() <= 0.1 and own[~toxic].mean() >= 0.97
+
+
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body><header><h1>Site</h1></header>
 <nav><ul><li><a href="/a">Home</a></li></ul></nav><div class="cookie-notice">We use cookies and the like to make it all better.</div>
 <article><header><h1>Main  title</h1></header><p>The first of the <b>para</b>graphs &amp; it is about the things that we saw on the way to the town.
