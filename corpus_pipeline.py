@@ -15,8 +15,9 @@ from oscine.llm import decontamination, jaccard_join, mixing, quality, reshardin
 
 ORACLE_SQL = None
 
-#: The stage may only lower rates, from 1: clean documents stay, toxic and low ones go as far as the weights say.
-MIX_TARGETS = {"clean": 1.0, "low": 0.0, "toxic": 0.0}
+#: Weights of the domains' tokens. The stage only lowers rates, from 1: what is confidently clean stays, and of the rest as much
+#: as the weights allow.
+MIX_TARGETS = {"clean": 0.95, "low": 0.05, "toxic": 0.0}
 
 
 def _join_rows(docs: DataFrame, verdicts: DataFrame, how: str) -> DataFrame:
@@ -48,7 +49,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents stay with their rate as probability, by hash."""
-    mixed = mixing.mix(docs, C.load(spark, sf_dir, "labels"), MIX_TARGETS, most=1.0)
+    mixed = mixing.mix(docs, C.load(spark, sf_dir, "labels"), MIX_TARGETS, most=1.0, keep="clean")
     stay = mixed.where("copies > 0").select(F.col("row").alias("__row"), F.col("own").alias("__own"))
     return _join_rows(docs, stay, "left_semi")
 
