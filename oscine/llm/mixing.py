@@ -31,7 +31,7 @@ PREFIX = 5
 PASSES = 2  # partitions of the labelled rows while the classifier is fitted
 PENALTIES, TEMPERATURES = (0.002, 0.02), (0.5, 0.7, 1.0, 1.5, 2.0, 3.0)
 #: The gap to the goal, as a share of it, that counts as none; the least that a step must bring; rounds until it is an error.
-TOLERANCE, LEAST_GAIN, ROUNDS = 1e-4, 1e-5, 100
+TOLERANCE, LEAST_GAIN, ROUNDS = 1e-4, 3e-3, 100
 
 
 def _described(docs: DataFrame) -> DataFrame:
@@ -186,7 +186,7 @@ def rates(scored: DataFrame, goal: dict[str, float], most: float | None = None)
             last = np.linalg.solve(curve, gap)
         else:
             tried /= 2
-            if tried < 1e-3:
+            if tried < 0.05:
                 break
         steps = [*best[1], (last * tried).tolist()]
     else:
