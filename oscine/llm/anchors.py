@@ -13,7 +13,9 @@ in a row that share an anchor form a segment. The steps:
 5. Batches mark the units of those windows.
 
 All of it is one plan; the texts are shuffled once and that shuffle is read three times. What goes to a bucket or a shard is
-summed up within each batch first. Hashes only route; a false meeting of two anchors costs time and changes nothing."""
+summed up within each batch first. Anchors only route; a false meeting of two of them costs time and changes nothing. Whole
+segments of an anchor that are equal are told by a pair of hashes of 64 bits, so that copies are settled before the index; the
+index decides between different segments."""
 
 from __future__ import annotations
 
@@ -372,12 +374,12 @@ def marked(docs: DataFrame, make: Callable[[int], Rule], finish: Callable[[pa.Ta
     rule, batches = make(total), C.parts(total, BATCH_BYTES)
     buckets, shards = C.parts(total, BUCKET_BYTES), C.parts(total, SHARD_BYTES)
     rows = rows.withColumns({"place": F.coalesce("doc_id", F.lit(-(1 << 63))), "batch": F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(batches)).cast("int")})
-    dealt = rows.repartition(batches, "batch")
+    dealt = rows.repartitionById(batches, "batch")
     by_batch = dealt.groupBy("batch")
-    counted = by_batch.applyInArrow(_count(rule, buckets), "bucket int, batch int, data binary").repartition(buckets, "bucket")
-    again = counted.groupBy("bucket").applyInArrow(_again, "batch int, data binary").repartition(batches, "batch")
-    sent = by_batch.cogroup(again.groupBy("batch")).applyInArrow(_send(rule, shards), _SENT).repartition(shards, "shard")
-    told = sent.groupBy("shard").applyInArrow(_judge(rule), "batch int, data binary, frequent binary").repartition(batches, "batch")
+    counted = by_batch.applyInArrow(_count(rule, buckets), "bucket int, batch int, data binary").repartitionById(buckets, "bucket")
+    again = counted.groupBy("bucket").applyInArrow(_again, "batch int, data binary").repartitionById(batches, "batch")
+    sent = by_batch.cogroup(again.groupBy("batch")).applyInArrow(_send(rule, shards), _SENT).repartitionById(shards, "shard")
+    told = sent.groupBy("shard").applyInArrow(_judge(rule), "batch int, data binary, frequent binary").repartitionById(batches, "batch")
     return by_batch.cogroup(told.groupBy("batch")).applyInArrow(_mark(rule, finish), schema)
 
 

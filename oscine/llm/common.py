@@ -28,8 +28,13 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that the cluster names; a temporary folder of this machine only where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or _local_root()
+    """A new path in the shared folder that the cluster names. Only a session on this machine alone may name none, since a
+    cluster's executors don't share a temporary folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + tempfile.gettempdir()
     path = f"{root.rstrip('/')}/oscine-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
 
@@ -44,15 +49,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-_roots: list[str] = []
-
-
-def _local_root() -> str:
-    if not _roots:
-        _roots.append("file://" + tempfile.mkdtemp(prefix="oscine-"))
-    return _roots[0]
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts the lineage, and lost executors don't bring the work back."""
     spark = df.sparkSession
