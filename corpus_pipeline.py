@@ -55,10 +55,10 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All columns, and where each document goes: shard and slot."""
-    numbered = C.materialize(docs.withColumn("__n", F.monotonically_increasing_id()), "numbered")  # equal rows get places of their own
+    """All columns, and where each document goes: shard and slot, which take the place of columns of these names."""
+    numbered = C.materialize(docs.drop("shard", "slot").withColumn("__n", F.monotonically_increasing_id()), "numbered")  # equal rows get places of their own
     placed = resharding.reshard(numbered, also=("__n",)).select("__n", "shard", "slot")
-    return numbered.drop("shard", "slot").join(placed, "__n").drop("__n")
+    return numbered.join(placed, "__n").drop("__n")
 
 
 STAGES = [

@@ -58,6 +58,32 @@ def safe_cv(mean: Column, std: Column) -> Column:
     return F.when(F.abs(mean) > 1e-12, std / F.abs(mean)).otherwise(F.lit(0.0))
 
 
+def ticks_to_seconds(ticks: Column | str, rate: float | Column) -> Column:
+    return col(ticks) / rate
+
+
+def window_centre(start: Column | str, end: Column | str, fs: float) -> Column:
+    """Middle of a window of samples, in seconds."""
+    return (col(start) + col(end)) / 2 / fs
+
+
+def realtime_factor(signal_s: Column | str, took_s: Column | str) -> Column:
+    """Seconds of signal that are worked on in a second; null where no time was taken."""
+    return F.try_divide(col(signal_s).cast("double"), col(took_s).cast("double"))
+
+
+def csv_number(x: Column | str, digits: int = 6) -> Column:
+    """A number as text, blank where it is missing or no number; zero is written."""
+    x = col(x).cast("double")
+    return F.when(x.isNull() | F.isnan(x), "").otherwise(F.format_string(f"%.{digits}f", x))
+
+
+def cut_or_padded(values: Column | str, size: int, fill: float = 0.0) -> Column:
+    """An array cut, or filled up at its end, to a size."""
+    values = col(values)
+    return F.slice(F.concat(values, F.array_repeat(F.lit(fill), F.greatest(F.lit(0), F.lit(size) - F.size(values)))), 1, size)
+
+
 def finite(x: Column | str) -> Column:
     x = col(x)
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from oscine.operators.windowing import previous
+
 
 def baseline_z(trace: DataFrame, keys: list[str], order: str, value: str, baseline: int, name: str = "z") -> DataFrame:
     """Distance from the mean of the first windows in their standard deviations; null where those are all alike."""
-    series = Window.partitionBy(*keys)
-    early = F.when(F.col(order) < baseline, F.col(value))
-    mean, std = F.avg(early).over(series), F.stddev_pop(early).over(series)
-    return trace.withColumn(name, F.when(std >= 1e-15, (F.col(value) - mean) / std))
+    early = trace.where(F.col(order) < baseline).groupBy(*keys).agg(F.avg(value).alias("__mean"), F.stddev_pop(value).alias("__std"))
+    z = F.when(F.col("__std") >= 1e-15, (F.col(value) - F.col("__mean")) / F.col("__std"))
+    return trace.join(early, keys, "left").withColumn(name, z).drop("__mean", "__std")
 
 
 def cusum(scored: DataFrame, keys: list[str], order: str, drift: float, z: str = "z", name: str = "cusum") -> DataFrame:
@@ -69,14 +70,14 @@ def triage(outlier: Column, confirmed: Column, p: Column, high: float, low: floa
     return F.when(outlier, "unknown").when(confirmed & (p >= high), "suppression-like").when(p <= low, "artifact-like").otherwise("uncertain")
 
 
-def gaps(frames: DataFrame, keys: list[str], order: list[str], number: str) -> DataFrame:
-    """Adds dropped: the frames missing before each, by a jump of the frame number."""
-    step = F.col(number) - F.lag(number).over(Window.partitionBy(*keys).orderBy(*order))
-    return frames.withColumn("dropped", F.when(step > 1, step - 1).otherwise(0).cast("long"))
+def gaps(frames: DataFrame, keys: list[str], order: list[str], number: str, block: str) -> DataFrame:
+    """Adds dropped: the frames missing before each, by a jump of the frame number. block rises with the order."""
+    step = F.col(number) - F.col("__number")
+    return previous(frames, keys, block, order, number, "__number").withColumn("dropped", F.when(step > 1, step - 1).otherwise(0).cast("long")).drop("__number")
 
 
-def backward_steps(frames: DataFrame, keys: list[str], order: list[str], time: str, wrap: int = 1 << 32) -> DataFrame:
+def backward_steps(frames: DataFrame, keys: list[str], order: list[str], time: str, block: str, wrap: int = 1 << 32) -> DataFrame:
     """Adds violation: the time is less than the one before, unless it fell by more than half the counter's range."""
-    before = F.lag(time).over(Window.partitionBy(*keys).orderBy(*order))
-    back = before - F.col(time)
-    return frames.withColumn("violation", F.coalesce((back > 0) & (back <= wrap // 2), F.lit(False)))
+    back = F.col("__time") - F.col(time)
+    marked = previous(frames, keys, block, order, time, "__time")
+    return marked.withColumn("violation", F.coalesce((back > 0) & (back <= wrap // 2), F.lit(False))).drop("__time")

@@ -7,11 +7,11 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -59,12 +59,21 @@ def bootstrap_mean(df: DataFrame, keys: list[str], value: str, rounds: int = 200
         total += p
         chances.append(total)
         p /= k + 1
-    rows = df.withColumn("__round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    u = uniform(seed, F.col("__round"), *[F.col(c) for c in df.columns])
-    times = sum((F.when(u > c, 1).otherwise(0) for c in chances), F.lit(0))
-    means = rows.groupBy(*keys, "__round").agg((F.sum(F.col(value) * times) / F.nullif(F.sum(times), F.lit(0))).alias("m"))
-    edges = F.percentile("m", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
-    bounds = means.groupBy(*keys).agg(edges.alias("e")).select(*keys, F.col("e")[0].alias("low"), F.col("e")[1].alias("high"))
+    means = []
+    for k in range(rounds):  # all rounds in one pass: two sums each, where the rows are
+        u = uniform(seed, k, *[F.col(c) for c in df.columns])
+        times = sum((F.when(u > c, 1).otherwise(0) for c in chances), F.lit(0))
+        means.append(F.sum(F.col(value) * times) / F.nullif(F.sum(times), F.lit(0)))
+    found = df.groupBy(*keys).agg(F.array(*means).alias("__means"))
+    at = F.array_sort(F.filter("__means", lambda x: x.isNotNull()))
+
+    def percentile(share: float) -> Column:
+        place = (F.size("__sorted") - 1) * share
+        low = F.floor(place).cast("int")
+        a, b = F.element_at("__sorted", low + 1), F.element_at("__sorted", F.least(low + 2, F.size("__sorted")))
+        return a + (b - a) * (place - low)
+
+    bounds = found.withColumn("__sorted", at).select(*keys, percentile((1 - level) / 2).alias("low"), percentile((1 + level) / 2).alias("high"))
     return df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count("*").alias("n")).join(bounds, keys)
 
 
@@ -79,36 +88,43 @@ def signed_rank_p(n: int, w: float) -> float:
 
 
 def wilcoxon(df: DataFrame, keys: list[str], difference: str, least: int = 6) -> DataFrame:
-    """n, w, p and effect of each group's differences. Ranks are window functions; only the sums go to the exact table, or to the
-    normal curve beyond 50."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(*keys).orderBy(F.abs(difference))
-    there = df.where(F.col(difference) != 0)
-    ties = Window.partitionBy(*keys, F.abs(difference))
-    ranked = there.withColumn("__rank", F.rank().over(order) + (F.count("*").over(ties) - 1) / 2)
-    sums = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.when(F.col(difference) > 0, F.col("__rank")).otherwise(0.0)).alias("w"))
+    """n, w, p and effect of each group's differences. Differences are counted by size before they are ranked; only the sums go
+    to the exact table, or to the normal curve beyond 50 and where sizes are tied, whose spread ties make smaller."""
+    there = df.where(F.col(difference) != 0).groupBy(*keys, F.abs(difference).alias("__size")).agg(F.count("*").alias("__t"), F.count_if(F.col(difference) > 0).alias("__up"))
+    order = Window.partitionBy(*keys).orderBy("__size").rowsBetween(Window.unboundedPreceding, 0)
+    rank = F.sum("__t").over(order) - (F.col("__t") - 1) / 2
+    t = F.col("__t").cast("double")
+    sums = there.withColumn("__rank", rank).groupBy(*keys).agg(F.sum("__t").alias("n"), F.sum(F.col("__up") * F.col("__rank")).alias("w"), F.sum(t * t * t - t).alias("__ties"))
 
     @F.pandas_udf("double")
-    def chance(n: pd.Series, w: pd.Series) -> pd.Series:
-        def one(k: int, x: float) -> float | None:
+    def chance(n: pd.Series, w: pd.Series, ties: pd.Series) -> pd.Series:
+        def one(k: int, x: float, tied: float) -> float | None:
             if k < least:
                 return None
-            if k <= 50:
+            if k <= 50 and not tied:
                 return signed_rank_p(k, x)
-            z = (x - k * (k + 1) / 4) / math.sqrt(k * (k + 1) * (2 * k + 1) / 24)
+            z = (x - k * (k + 1) / 4) / math.sqrt((k * (k + 1) * (2 * k + 1) - tied / 2) / 24)
             return 2 * (1 - NormalDist().cdf(abs(z)))
 
-        return pd.Series([one(int(a), float(b)) for a, b in zip(n, w, strict=True)])
+        return pd.Series([one(int(a), float(b), float(c)) for a, b, c in zip(n, w, ties, strict=True)])
 
     @F.pandas_udf("double")
     def quantile(p: pd.Series) -> pd.Series:
         return p.map(lambda x: None if x is None or x != x else abs(NormalDist().inv_cdf(min(max(x / 2, 1e-300), 0.5))), na_action=None)
 
-    tested = sums.withColumn("p", chance("n", "w"))
+    tested = sums.withColumn("p", chance("n", "w", "__ties")).drop("__ties")
     return tested.withColumn("effect", quantile("p") / F.sqrt("n"))
 
 
+def save(model: PipelineModel, path: str) -> None:
+    """A fitted pipeline, so that it can be loaded by any session; what is there already is replaced."""
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def guarded(work, *arguments) -> tuple[str, str, object]:
     """status, reason, result of a stage that must not stop the others."""
     try:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,22 +21,31 @@ def calibration_error(binned: DataFrame) -> DataFrame:
     return binned.agg((F.sum(F.col("n") * apart) / F.sum("n")).alias("ece"), F.max(apart).alias("mce"))
 
 
-def operating_counts(scores: DataFrame, p: str, y: str, keys: list[str] | None = None) -> DataFrame:
-    """One row for each distinct score, from the highest: true and false positives when that score is the threshold, and all
-    positives and negatives. Scores are summed up before they are ordered, so that the running sums go over distinct scores."""
+def operating_counts(scores: DataFrame, p: str, y: str, keys: list[str] | None = None, blocks: int = 256) -> DataFrame:
+    """One row for each distinct score in [0, 1], from the highest: true and false positives when that score is the threshold,
+    and all positives and negatives. Scores are summed up first, then counted on within blocks of scores; what lies above a
+    block comes from the blocks' sums."""
     keys = keys or []
-    per = scores.groupBy(*keys, F.col(p).alias("score")).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.sum(1 - F.col(y).cast("long")).alias("neg"))
-    down = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    block = F.floor(F.col("score") * blocks).cast("int")
+    per = scores.groupBy(*keys, F.col(p).alias("score")).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.sum(1 - F.col(y).cast("long")).alias("neg")).withColumn("block", block)
+    inside = Window.partitionBy(*keys, "block").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    sums = per.groupBy(*keys, "block").agg(F.sum("pos").alias("a"), F.sum("neg").alias("b"))
+    above = Window.partitionBy(*keys).orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
-    return per.select(*keys, "score", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(whole).alias("all_pos"), F.sum("neg").over(whole).alias("all_neg"))
+    zero = F.lit(0)
+    ends = sums.select(
+        *keys, "block", F.coalesce(F.sum("a").over(above), zero).alias("tp_above"), F.coalesce(F.sum("b").over(above), zero).alias("fp_above"),
+        F.sum("a").over(whole).alias("all_pos"), F.sum("b").over(whole).alias("all_neg"),
+    )
+    counted = per.withColumns({"tp_own": F.sum("pos").over(inside), "fp_own": F.sum("neg").over(inside)}).join(ends, [*keys, "block"])
+    return counted.select(*keys, "score", "pos", "neg", (F.col("tp_above") + F.col("tp_own")).alias("tp"), (F.col("fp_above") + F.col("fp_own")).alias("fp"), "all_pos", "all_neg")
 
 
 def auroc(scores: DataFrame, p: str, y: str, keys: list[str] | None = None) -> DataFrame:
     """Chance that a positive scores above a negative, ties half; 0.5 if there is one class only."""
     keys = keys or []
     at = operating_counts(scores, p, y, keys)
-    before = Window.partitionBy(*keys).orderBy(F.desc("score"))
-    area = (F.col("fp") - F.coalesce(F.lag("fp").over(before), F.lit(0))) * (F.col("tp") + F.coalesce(F.lag("tp").over(before), F.lit(0))) / 2
+    area = F.col("neg") * (2 * F.col("tp") - F.col("pos")) / 2
     found = at.withColumn("area", area).groupBy(*keys).agg(F.sum("area").alias("area"), F.max("all_pos").alias("a"), F.max("all_neg").alias("b"))
     return found.select(*keys, F.when((F.col("a") > 0) & (F.col("b") > 0), F.col("area") / (F.col("a") * F.col("b"))).otherwise(0.5).alias("auroc"))
 
@@ -62,12 +73,27 @@ def latency_summary(df: DataFrame, value: str, keys: list[str] | None = None) ->
     return found.select(*(keys or []), "n", "mean", "std", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"))
 
 
-def mahalanobis_2(df: DataFrame, keys: list[str], x: str, y: str, ridge: float = 1e-6) -> Column:
-    """Squared distance from the series' mean in its sample covariance of two measures, plus a ridge on the diagonal."""
-    w = Window.partitionBy(*keys)
-    a, b, c = F.var_samp(x).over(w) + ridge, F.covar_samp(x, y).over(w), F.var_samp(y).over(w) + ridge
-    dx, dy = F.col(x) - F.avg(x).over(w), F.col(y) - F.avg(y).over(w)
-    return (c * dx * dx - 2 * b * dx * dy + a * dy * dy) / (a * c - b * b)
+def mahalanobis(df: DataFrame, keys: list[str], measures: list[str], name: str = "d2", ridge: float = 1e-6, fitted_on: Column | None = None) -> DataFrame:
+    """Adds the squared distance from the series' mean in the sample covariance of its measures, plus a ridge on the diagonal. The
+    mean and covariance are summed up by series, over the rows that fitted_on selects, and only they meet the rows."""
+    pairs = [(i, j) for i in range(len(measures)) for j in range(i, len(measures))]
+    rows = df if fitted_on is None else df.where(fitted_on)
+    found = rows.groupBy(*keys).agg(F.array(*[F.avg(m) for m in measures]).alias("__mean"), F.array(*[F.coalesce(F.covar_samp(measures[i], measures[j]), F.lit(0.0)) for i, j in pairs]).alias("__cov"))
+
+    @F.pandas_udf("array<double>")
+    def inverse(cov: pd.Series) -> pd.Series:
+        def one(c: np.ndarray) -> list[float]:
+            full = np.zeros((len(measures), len(measures)))
+            for (i, j), v in zip(pairs, c, strict=True):
+                full[i, j] = full[j, i] = v
+            return np.linalg.inv(full + ridge * np.eye(len(measures))).ravel().tolist()
+
+        return cov.map(one)
+
+    fitted = found.select(*keys, "__mean", inverse("__cov").alias("__inverse"))
+    away = [F.col(m) - F.col("__mean")[i] for i, m in enumerate(measures)]
+    d2 = sum((F.col("__inverse")[i * len(measures) + j] * away[i] * away[j] for i in range(len(measures)) for j in range(len(measures))), F.lit(0.0))
+    return df.join(fitted, keys).withColumn(name, d2).drop("__mean", "__inverse") if keys else df.crossJoin(F.broadcast(fitted)).withColumn(name, d2).drop("__mean", "__inverse")
 
 
 def folds(df: DataFrame, label: str, key: str, k: int, seed: int) -> Column:

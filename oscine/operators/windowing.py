@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,13 +22,23 @@ def tumbling(samples: DataFrame, keys: list[str], window: str, least: int = 1, *
 
 
 def sliding(samples: DataFrame, keys: list[str], position: str, width: int, step: int, **aggregates: Column) -> DataFrame:
-    """Windows of width positions that begin every step positions. Each sample goes to the windows that cover it; windows that
-    run over the last position of their series are left out."""
-    last = F.max(position).over(Window.partitionBy(*keys))
+    """Windows of width positions that begin every step positions. Each sample goes to the windows that cover it, and is summed up
+    there; windows that run over the last position of their series are left out after that."""
     first = F.greatest(F.lit(0), F.ceil((F.col(position) - width + 1) / step))
     covering = F.sequence(first.cast("long"), F.floor(F.col(position) / step).cast("long"))
-    spread = samples.withColumn("last", last).withColumn("window_idx", F.explode(covering)).where(F.col("window_idx") * step + width - 1 <= F.col("last"))
-    return spread.groupBy(*keys, "window_idx").agg(F.count("*").alias("n"), *[v.alias(k) for k, v in aggregates.items()])
+    found = samples.withColumn("window_idx", F.explode(covering)).groupBy(*keys, "window_idx").agg(F.count("*").alias("n"), *[v.alias(k) for k, v in aggregates.items()])
+    last = samples.groupBy(*keys).agg(F.max(position).alias("__last"))
+    return found.join(last, keys).where(F.col("window_idx") * step + width - 1 <= F.col("__last")).drop("__last")
+
+
+def previous(rows: DataFrame, keys: list[str], block: str, order: list[str], value: str, name: str) -> DataFrame:
+    """Adds the value of the row before in the series' order, null for the first. block rises with the order: each block of a
+    series is ordered by itself and gets the last value before it, so that a long series isn't one task."""
+    inside = Window.partitionBy(*keys, block).orderBy(*order)
+    ends = rows.groupBy(*keys, block).agg(F.max_by(F.struct(value), F.struct(*order)).alias("__end"))
+    ends = ends.select(*keys, block, F.lag(F.col("__end")[value]).over(Window.partitionBy(*keys).orderBy(block)).alias("__before"))
+    marked = rows.withColumns({"__first": F.row_number().over(inside) == 1, "__lag": F.lag(value).over(inside)}).join(ends, [*keys, block])
+    return marked.withColumn(name, F.when(F.col("__first"), F.col("__before")).otherwise(F.col("__lag"))).drop("__first", "__lag", "__before")
 
 
 def over_channels(per_channel: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -60,14 +73,44 @@ def epochs(samples: DataFrame, bounds: DataFrame, position: str) -> DataFrame:
     return samples.join(F.broadcast(bounds), (F.col(position) >= F.col("lo")) & (F.col(position) < F.col("hi")))
 
 
-def dead_time(events: DataFrame, keys: list[str], time: str, least: float) -> DataFrame:
-    """The events that remain if one is dropped that comes less than least after the last one kept. What is kept depends on
-    what was kept before, so that a series' events are folded in order; series are worked on apart."""
-    ordered = F.array_sort(F.collect_list(time))
-
-    def keep(kept: Column, t: Column) -> Column:
-        return F.when((F.size(kept) == 0) | (t - F.coalesce(F.try_element_at(kept, F.lit(-1)), t) >= least), F.concat(kept, F.array(t))).otherwise(kept)
-
-    kind = dict(events.dtypes)[time]
-    folded = events.groupBy(*keys).agg(F.aggregate(ordered, F.array().cast(f"array<{kind}>"), keep).alias("kept"))
-    return folded.select(*keys, F.explode("kept").alias(time))
+def numbered(rows: DataFrame, keys: list[str], block: str, order: list[str], name: str) -> DataFrame:
+    """Adds the place of each row in its series, from 0; block rises with the order, and only blocks' counts meet."""
+    inside = Window.partitionBy(*keys, block).orderBy(*order)
+    before = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*keys, block).agg(F.count("*").alias("__n"))
+    counts = counts.select(*keys, block, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    placed = rows.withColumn("__place", F.row_number().over(inside) - 1).join(counts, [*keys, block])
+    return placed.withColumn(name, F.col("__base") + F.col("__place")).drop("__base", "__place")
+
+
+def dead_time(events: DataFrame, keys: list[str], time: str, least: float, block: str) -> DataFrame:
+    """The events that remain if one is dropped that comes less than least after the last one kept. An event that comes so long
+    after the one before is always kept, so that it begins an island whose events don't depend on others; islands are worked on
+    apart, each as a stream of sorted times of which only the last one kept is remembered. block rises with time."""
+    rows = previous(events.select(*keys, time, block), keys, block, [time], time, "__last")
+    begins = F.when(F.col("__last").isNull() | (F.col(time) - F.col("__last") >= least), F.col(time))
+    rows = rows.withColumn("__begins", begins)
+    inside = Window.partitionBy(*keys, block).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
+    ends = rows.groupBy(*keys, block).agg(F.max("__begins").alias("__end"))
+    before = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*keys, block, F.max("__end").over(before).alias("__carried"))
+    rows = rows.join(ends, [*keys, block]).withColumn("__island", F.coalesce(F.max("__begins").over(inside), "__carried"))
+    names = [*keys, "__island", time]
+    ordered = rows.select(names).repartition(*keys, "__island").sortWithinPartitions(names)
+    return ordered.mapInArrow(_thinned(len(keys), least), ordered.select(*keys, time).schema)
+
+
+def _thinned(n_keys: int, least: float):
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        island, kept_at = None, None
+        for batch in batches:
+            labels = list(zip(*[batch.column(k).to_pylist() for k in range(n_keys + 1)], strict=True))
+            times, kept, i = batch.column(n_keys + 1).to_numpy(), [], 0
+            while i < len(times):
+                if labels[i] != island or times[i] - kept_at >= least:
+                    island, kept_at = labels[i], times[i]
+                    kept.append(i)
+                i += 1
+            yield batch.take(pa.array(kept, pa.int64())).select([*range(n_keys), n_keys + 1])
+
+    return thin

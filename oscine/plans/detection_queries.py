@@ -66,21 +66,26 @@ def triage(spark, sf_dir):
     return marked.select("channel", "day", label.alias("label"))
 
 
+def numbers():
+    """Blocks of numbers, in which the rows of a series are put in order."""
+    return F.floor(F.col("event_id") / 65536)
+
+
 def frame_gaps(spark, sf_dir):
     frames = samples(spark, sf_dir).where("event_id % 7 <> 3 AND uv < 200")
-    found = D.gaps(frames, KEYS, ["ts", "event_id"], "event_id")
+    found = D.gaps(frames, KEYS, ["ts", "event_id"], "event_id", "day")
     return found.groupBy("channel").agg(F.count("*").alias("frames"), F.sum("dropped").alias("dropped"), F.max("dropped").alias("worst"))
 
 
 def ts_violations(spark, sf_dir):
-    frames = samples(spark, sf_dir).withColumn("t", F.pmod(seconds(), F.lit(1 << 32)))
-    found = D.backward_steps(frames, ["user_id"], ["event_id"], "t")
+    frames = samples(spark, sf_dir).withColumns({"t": F.pmod(seconds(), F.lit(1 << 32)), "block": numbers()})
+    found = D.backward_steps(frames, ["user_id"], ["event_id"], "t", "block")
     return found.groupBy("user_id").agg(F.count("*").alias("frames"), F.sum(F.col("violation").cast("long")).alias("violations"))
 
 
 def capture_stats(spark, sf_dir):
     """Counts, first and last number and time of a capture, and what follows from them."""
-    frames = D.gaps(samples(spark, sf_dir).where("event_id % 7 <> 3").withColumn("t", seconds()), ["channel"], ["event_id"], "event_id")
+    frames = D.gaps(samples(spark, sf_dir).where("event_id % 7 <> 3").withColumns({"t": seconds(), "block": numbers()}), ["channel"], ["event_id"], "event_id", "block")
     found = frames.groupBy("channel").agg(F.count("*").alias("frames"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"), F.min_by("t", "event_id").alias("first_t"), F.max_by("t", "event_id").alias("last_t"), F.sum("dropped").alias("dropped"))
     duration = (F.col("last_t") - F.col("first_t")) / 1e6
     found = found.withColumn("drop_rate", F.col("dropped") / (F.col("dropped") + F.col("frames"))).withColumn("throughput", F.when(duration > 0, F.col("frames") * 256 / duration).otherwise(0.0))

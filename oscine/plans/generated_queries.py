@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oscine.operators import dsp, learning, spectral
+from oscine.operators import dsp, learning, scratch, spectral
 from oscine.operators import statistics as T
 from oscine.operators import windowing as W
-from oscine.plans.base import DAILY_SQL, START, rounded, samples, table
+from oscine.plans.base import DAILY_SQL, START, rounded, samples, seconds, table
 from oscine.sources import frames, synthetic
 from oscine.streaming import detector
 
-FS, SIZE = 2000.0, 1000
+#: Samples a day, and samples of a block.
+FS, SIZE = 24.0, 120
 
 
 def _built(spark, sf_dir):
@@ -32,53 +30,62 @@ def frame_roundtrip(spark, sf_dir):
 
 
 def synthetic_recording(spark, sf_dir):
-    s = synthetic.recordings(spark, "full", 2, 4, FS, 2.0, seed=11)
+    s = synthetic.recordings(spark, "full", 2, 4, 2000.0, 2.0, seed=11)
     return rounded(s.groupBy("recording_id", "channel").agg(F.count("*").alias("n"), W.rms("uv").alias("rms"), F.min("uv").alias("least")), "rms", "least")
 
 
 def disturbances(spark, sf_dir):
     """The effect of every disturbance on the RMS of the same recording."""
     out = None
-    base = synthetic.recordings(spark, "baseline", 1, 4, FS, 1.0, seed=3)
+    base = synthetic.recordings(spark, "baseline", 1, 4, 2000.0, 1.0, seed=3)
     for name in sorted(synthetic.DISTURBANCES):
-        part = synthetic.disturb(base, name, 0.8, 5, FS, int(FS)).groupBy("channel").agg(W.rms("uv").alias("rms")).withColumn("name", F.lit(name))
+        part = synthetic.disturb(base, name, 0.8, 5, 2000.0, 2000).groupBy("channel").agg(W.rms("uv").alias("rms")).withColumn("name", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return rounded(out, "rms")
 
 
-def _blocks(spark):
-    return dsp.to_blocks(synthetic.recordings(spark, "crosstalk", 2, 2, FS, 3.0, seed=4), ["recording_id", "channel"], "sample_idx", "uv", SIZE)
+def hourly(spark, sf_dir):
+    """channel, hour, uv: the mean of each hour of 30 days, 0 where there is none."""
+    hour = F.floor(seconds() / 3_600_000_000)
+    means = samples(spark, sf_dir).groupBy("channel", hour.alias("hour")).agg(F.avg("uv").alias("uv"))
+    every = means.select("channel").distinct().select("channel", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(719).cast("long"))).alias("hour"))
+    return every.join(means, ["channel", "hour"], "left").fillna(0.0, ["uv"])
+
+
+def _blocks(spark, sf_dir):
+    return dsp.to_blocks(hourly(spark, sf_dir), ["channel"], "hour", "uv", SIZE)
 
 
 def highpass_rms(spark, sf_dir):
-    b = dsp.filtered(_blocks(spark), ["recording_id", "channel"], "values", 2, 30.0, "high", FS, 400)
+    """What is faster than two days, by blocks of five days."""
+    b = dsp.filtered(_blocks(spark, sf_dir), ["channel"], "values", 2, 0.5, "high", FS, SIZE)
     power = F.aggregate("values", F.lit(0.0), lambda a, x: a + x * x) / F.size("values")
-    return rounded(b.select("recording_id", "channel", "block_idx", F.sqrt(power).alias("rms")), "rms")
+    return rounded(b.select("channel", "block_idx", F.sqrt(power).alias("rms")), "rms")
 
 
 def bandpass_crosstalk(spark, sf_dir):
-    """Isolation of each channel from the tone of the first, within a band about it."""
-    b = dsp.filtered(_blocks(spark), ["recording_id", "channel"], "values", 4, (80.0, 120.0), "band", FS, 600)
+    """Isolation of each channel from the one of clicks, within a band about one cycle a day."""
+    b = dsp.filtered(_blocks(spark, sf_dir), ["channel"], "values", 4, (0.8, 1.25), "band", FS, SIZE)
     power = F.aggregate("values", F.lit(0.0), lambda a, x: a + x * x)
-    per = b.groupBy("recording_id", "channel").agg(F.sum(power).alias("power"))
-    source = per.where("channel = 0").select("recording_id", F.col("power").alias("reference"))
-    return rounded(per.join(source, "recording_id").select("recording_id", "channel", (10 * F.log10(F.col("power") / F.col("reference"))).alias("isolation_db")), "isolation_db")
+    per = b.groupBy("channel").agg(F.sum(power).alias("power"))
+    source = per.where("channel = 'click'").select(F.col("power").alias("reference"))
+    return rounded(per.crossJoin(F.broadcast(source)).select("channel", (10 * F.log10(F.col("power") / F.col("reference"))).alias("isolation_db")), "isolation_db")
 
 
 def welch_features(spark, sf_dir):
     """Band power, edge and flatness of the Welch spectrum of each block, computed once."""
-    psd = _blocks(spark).select("recording_id", "channel", "block_idx", F.posexplode(dsp.welch_psd(F.col("values"), FS, 256)).alias("bin", "power"))
-    psd = psd.withColumn("hz", F.col("bin") * FS / 256)
-    keys = ["recording_id", "channel", "block_idx"]
-    found = spectral.bandpower(psd, keys, 5, 200, FS / 256).join(spectral.edge(psd, keys), keys).join(spectral.flatness(psd, keys, 300, 900), keys)
+    psd = _blocks(spark, sf_dir).select("channel", "block_idx", F.posexplode(dsp.welch_psd(F.col("values"), FS, 48)).alias("bin", "power"))
+    psd = psd.withColumn("hz", F.col("bin") * FS / 48)
+    keys = ["channel", "block_idx"]
+    found = spectral.bandpower(psd, keys, 0.5, 4, FS / 48).join(spectral.edge(psd, keys), keys).join(spectral.flatness(psd, keys, 2, 10), keys)
     return rounded(found, "bandpower", "flatness")
 
 
 def resample_error(spark, sf_dir):
     """Energy that is lost on the way to a lower rate and back."""
-    b = _blocks(spark).withColumn("back", dsp.resampled(dsp.resampled(F.col("values"), SIZE // 2), SIZE))
+    b = _blocks(spark, sf_dir).withColumn("back", dsp.resampled(dsp.resampled(F.col("values"), SIZE // 2), SIZE))
     lost = F.aggregate(F.zip_with("values", "back", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
-    return rounded(b.select("recording_id", "channel", "block_idx", (lost / SIZE).alias("lost")), "lost")
+    return rounded(b.select("channel", "block_idx", (lost / SIZE).alias("lost")), "lost")
 
 
 def _features(spark):
@@ -112,20 +119,27 @@ def signed_rank(spark, sf_dir):
     return rounded(learning.wilcoxon(apart, ["channel"], "d"), "p", "effect")
 
 
-def _streamed(spark: SparkSession, source: DataFrame, build, mode: str) -> DataFrame:
+def _streamed(spark: SparkSession, source: DataFrame, build, mode: str, in_order: str | None = None) -> DataFrame:
     """Runs a stream over a table to its end, and gives the rows that it wrote."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="oscine-")
-    root = f"{shared}/oscine-stream-{uuid.uuid4().hex}"
-    source.write.parquet(f"{root}/in")
-    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
+    root = scratch.folder(spark, "stream")
+    if in_order is None:
+        source.write.parquet(f"{root}/in")
+    else:  # files that arrive one after the other, each with the rows of a stretch of time
+        cuts = source.agg(F.percentile(F.col(in_order).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("c")).first()["c"]
+        for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):
+            at = F.col(in_order).cast("double")
+            part = source.where((F.lit(True) if lo is None else at > lo) & (F.lit(True) if hi is None else at <= hi))
+            part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 2 if in_order is None else 1).parquet(f"{root}/in")
     out = build(stream)
     writer = out.writeStream.option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
     if mode == "append":
         writer.outputMode("append").format("parquet").option("path", f"{root}/out").start().awaitTermination()
     else:
         schema = out.schema
-        spark.createDataFrame([], schema).write.parquet(f"{root}/out")
-        writer.outputMode(mode).foreachBatch(lambda df, _: df.write.mode("append").parquet(f"{root}/out")).start().awaitTermination()
+        spark.createDataFrame([], schema.add("batch_id", "long")).write.partitionBy("batch_id").parquet(f"{root}/out")
+        # a folder for each batch, so that a batch that runs again replaces what it wrote
+        writer.outputMode(mode).foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(f"{root}/out/batch_id={k}")).start().awaitTermination()
         return spark.read.schema(schema).parquet(f"{root}/out")
     return spark.read.schema(out.schema).parquet(f"{root}/out")
 
@@ -139,8 +153,8 @@ def streaming_rms(spark, sf_dir):
 
 def streaming_cusum(spark, sf_dir):
     daily = W.tumbling(samples(spark, sf_dir), ["channel"], "day", rms=W.rms("uv"))
-    rows = daily.select("channel", F.timestamp_seconds(F.col("day") * 86400).alias("end"), "rms").repartitionByRange(4, "end")
-    return rounded(_streamed(spark, rows, lambda s: detector.cusum_alerts(s, "channel", 8, 0.5, 3.0), "append"), "statistic")
+    rows = daily.select("channel", F.timestamp_seconds(F.col("day") * 86400).alias("end"), "rms")
+    return rounded(_streamed(spark, rows, lambda s: detector.cusum_alerts(s, "channel", 8, 0.5, 3.0), "append", "end"), "statistic")
 
 
 def streaming_counters(spark, sf_dir):

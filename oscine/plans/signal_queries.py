@@ -72,20 +72,17 @@ def contiguous_clusters(spark, sf_dir):
 
 
 def cooldown_alerts(spark, sf_dir):
-    return W.dead_time(samples(spark, sf_dir).where("uv > 60").withColumn("t", seconds()), ["user_id"], "t", 2 * 86_400_000_000)
+    return W.dead_time(samples(spark, sf_dir).where("uv > 60").withColumn("t", seconds()), ["user_id"], "t", 2 * 86_400_000_000, "day")
 
 
 def refractory_rate(spark, sf_dir):
-    kept = W.dead_time(samples(spark, sf_dir).where("uv > 100").withColumn("t", seconds()), ["channel"], "t", 3_600_000_000)
+    kept = W.dead_time(samples(spark, sf_dir).where("uv > 100").withColumn("t", seconds()), ["channel"], "t", 3_600_000_000, "day")
     return rounded(kept.groupBy("channel").agg(F.count("*").alias("spikes"), (F.count("*") / 720.0).alias("rate_per_hour")), "rate_per_hour")
 
 
 def edge_crossings(spark, sf_dir):
     """Falling below a threshold: this sample is below it and the one before was not."""
-    from pyspark.sql import Window
-
-    before = F.lag("uv").over(Window.partitionBy("channel").orderBy("ts", "event_id"))
-    crossed = samples(spark, sf_dir).withColumn("before", before).where("uv < 5 AND before >= 5")
+    crossed = W.previous(samples(spark, sf_dir), ["channel"], "day", ["ts", "event_id"], "uv", "before").where("uv < 5 AND before >= 5")
     return crossed.groupBy("channel", "day").agg(F.count("*").alias("crossings"))
 
 

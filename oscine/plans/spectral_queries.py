@@ -10,33 +10,37 @@ from oscine.plans.base import rounded, table
 N, FS = 64, 640.0
 
 
-def _psd(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x"))
-    return P.periodogram(e.withColumn("x", F.col("x").cast("double")), ["vec_id"], "i", "x", N, FS)
+def _powers(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", P.periodogram(F.col("embedding"), FS).alias("power"))
+
+
+def _measure(spark, sf_dir, name, column, digits=6):
+    return rounded(_powers(spark, sf_dir).select("vec_id", column.alias(name)), name, digits=digits)
 
 
 def psd_dft(spark, sf_dir):
-    return rounded(_psd(spark, sf_dir).withColumn("power", F.col("power") * 1e3), "hz", "power")
+    rows = _powers(spark, sf_dir).select("vec_id", F.posexplode("power").alias("bin", "power"))
+    return rounded(rows.select("vec_id", "bin", (F.col("bin") * FS / N).alias("hz"), (F.col("power") * 1e3).alias("power")), "hz", "power")
 
 
 def bandpower(spark, sf_dir):
-    return rounded(P.bandpower(_psd(spark, sf_dir), ["vec_id"], 20, 120, FS / N), "bandpower")
+    return _measure(spark, sf_dir, "bandpower", P.band_power(F.col("power"), 20, 120, FS / N))
 
 
 def spectral_slope(spark, sf_dir):
-    return rounded(P.slope(_psd(spark, sf_dir), ["vec_id"], 10, 310), "slope", digits=5)
+    return _measure(spark, sf_dir, "slope", P.band_slope(F.col("power"), 10, 310, FS / N), 5)
 
 
 def spectral_edge(spark, sf_dir):
-    return rounded(P.edge(_psd(spark, sf_dir), ["vec_id"]), "edge_hz")
+    return _measure(spark, sf_dir, "edge_hz", P.power_edge(F.col("power"), FS / N))
 
 
 def spectral_flatness(spark, sf_dir):
-    return rounded(P.flatness(_psd(spark, sf_dir), ["vec_id"], 100, 300), "flatness")
+    return _measure(spark, sf_dir, "flatness", P.band_flatness(F.col("power"), 100, 300, FS / N))
 
 
 def line_ratio(spark, sf_dir):
-    return rounded(P.line_ratio(_psd(spark, sf_dir), ["vec_id"], 60, 10, 200, FS / N), "line_ratio")
+    return _measure(spark, sf_dir, "line_ratio", P.line_to_band(F.col("power"), 60, 10, 200, FS / N))
 
 
 _PSD = """e AS (SELECT vec_id, unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x0 FROM embeddings),

@@ -85,24 +85,26 @@ def latency_summary(spark, sf_dir):
 
 def mahalanobis(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_type", F.col("p_size").cast("double").alias("size"), "p_retailprice")
-    return rounded(rows.select("p_partkey", T.mahalanobis_2(rows, ["p_type"], "size", "p_retailprice").alias("d2")), "d2")
+    return rounded(T.mahalanobis(rows, ["p_type"], ["size", "p_retailprice"]).select("p_partkey", "d2"), "d2")
 
 
 def ood_gate(spark, sf_dir):
     """Rows beyond a multiple of the largest distance among the first half of the keys."""
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_type", F.col("p_size").cast("double").alias("size"), "p_retailprice")
-    far = rows.withColumn("d", F.sqrt(T.mahalanobis_2(rows, ["p_type"], "size", "p_retailprice")))
+    far = T.mahalanobis(rows, ["p_type"], ["size", "p_retailprice"]).withColumn("d", F.sqrt("d2"))
     limit = far.where("p_partkey % 2 = 0").groupBy("p_type").agg((F.max("d") * 0.9).alias("limit"))
     return far.join(F.broadcast(limit), "p_type").groupBy("p_type").agg(F.count("*").alias("n"), F.sum((F.col("d") > F.col("limit")).cast("long")).alias("outliers"))
 
 
 def top_contrib(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("dim", "x"))
-    e = e.withColumn("x", F.col("x").cast("double"))
-    mean = e.groupBy("dim").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
-    scored = e.join(F.broadcast(mean), "dim").withColumn("c", F.round(F.abs((F.col("x") - F.col("mean")) / F.nullif("std", F.lit(0.0))) / (F.col("dim") + 1), 6))
-    rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("c"), F.desc("dim")))
-    return scored.withColumn("rank", rank).where("rank <= 5").select("vec_id", "rank", "dim", "c")
+    """The five dimensions of each vector that stand out most: sorted within the row, against means of all rows."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    of_dim = e.select(F.posexplode("embedding").alias("dim", "x")).groupBy("dim").agg(F.avg(F.col("x").cast("double")).alias("mean"), F.stddev_pop(F.col("x").cast("double")).alias("std"))
+    fitted = of_dim.agg(F.array_sort(F.collect_list(F.struct("dim", "mean", "std"))).alias("fitted"))  # one row of 64
+    away = F.zip_with("embedding", "fitted", lambda x, f: F.struct(F.round(F.abs((x.cast("double") - f["mean"]) / F.nullif(f["std"], F.lit(0.0))) / (f["dim"] + 1), 6).alias("c"), f["dim"].alias("dim")))
+    top = F.slice(F.reverse(F.array_sort(away)), 1, 5)
+    ranked = e.crossJoin(F.broadcast(fitted)).select("vec_id", F.posexplode(top).alias("rank", "t"))
+    return ranked.select("vec_id", (F.col("rank") + 1).alias("rank"), "t.dim", "t.c")
 
 
 def feature_frequency(spark, sf_dir):

@@ -12,11 +12,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oscine.functions import scalars as S
+from oscine.operators import detection as D
+from oscine.operators.windowing import numbered
 
 SIZE, CHANNELS, MAGIC, VERSION = 256, 64, 0xA55A, 1
 FIELDS = {"magic": (0, 2), "version": (2, 1), "status_raw": (3, 1), "frame_id": (4, 4), "timestamp": (8, 4), "channel_count": (12, 2), "rate_code": (14, 2)}
 AUX_AT, DIAGNOSTICS_AT, RESERVED_AT, RESERVED_SIZE, CRC_AT = 144, 150, 166, 88, 254
 DIAGNOSTICS = ("fifo_fill", "drop_count", "stall_count", "spi_err_count")
+DEFAULT_RATE = 20_000
 RATES = {1: 20_000, 2: 30_000, 3: 25_000}
 
 _CRC = np.arange(256, dtype=np.int64) << 8
@@ -116,6 +119,59 @@ def build(rows: DataFrame, frame_id: str = "frame_id", timestamp: str = "timesta
     return unsigned.withColumn("raw", F.unhex(F.concat(F.hex(F.substring("__raw", 1, CRC_AT)), field(frame_crc(F.col("__raw")), 4)))).drop("__raw")
 
 
+def cut(content: bytes) -> tuple[list[bytes], bytes]:
+    """The records of a piece of a capture, from sync word to sync word, and the bytes at its end that the next piece may
+    complete."""
+    out, at = [], content.find(MAGIC.to_bytes(2, "big"))
+    while 0 <= at <= len(content) - SIZE:
+        out.append(content[at : at + SIZE])
+        at = content.find(MAGIC.to_bytes(2, "big"), at + SIZE)
+    done = at if at >= 0 else len(content) - content.endswith(MAGIC.to_bytes(2, "big")[:1])
+    return out, content[done:]
+
+
+def from_chunks(chunks: DataFrame, key: str, order: str, data: str) -> DataFrame:
+    """key, n, raw of the records of captures that come in pieces of any size; each capture's pieces are joined in order, and a
+    record may begin in one and end in another."""
+
+    def join(group: tuple, table: pa.Table) -> pa.Table:
+        rest, records = b"", []
+        for piece in table.sort_by(order).column(data).to_pylist():
+            found, rest = cut(rest + (piece or b""))
+            records += found
+        return pa.table({key: pa.array([group[0].as_py()] * len(records), group[0].type), "n": pa.array(range(len(records)), pa.int64()), "raw": pa.array(records, pa.binary())})
+
+    schema = chunks.select(key).schema.add("n", "long").add("raw", "binary")
+    return chunks.select(key, order, data).groupBy(key).applyInArrow(join, schema)
+
+
+def recording(decoded: DataFrame, source: str = "source", position: str = "pos") -> DataFrame:
+    """source, channel, sample_idx, uv, fs of the frames of captures: a frame is a sample of each channel, and a rate code that
+    isn't known counts as 20 kHz. Captures without a frame are an error."""
+    if decoded.isEmpty():
+        raise ValueError("no frame found")
+    fs = F.when(F.col("sample_rate") > 0, F.col("sample_rate")).otherwise(DEFAULT_RATE)
+    placed = numbered(decoded.withColumn("__block", F.floor(F.col(position) / (SIZE << 12))), [source], "__block", [position], "sample_idx")
+    return samples(placed.withColumn("fs", fs), [source, "sample_idx", "fs"]).select(source, "channel", "sample_idx", "uv", "fs")
+
+
+def capture_report(decoded: DataFrame, source: str = "source", position: str = "pos") -> DataFrame:
+    """Counts of each capture: frames, bad ones, numbers that are missing among the good, times that run backward, first and
+    last number and time, share dropped and bytes a second of the capture's own clock (ticks of a sample)."""
+    rows = decoded.withColumn("__block", F.floor(F.col(position) / (SIZE << 12)))
+    good = rows.where("crc_valid")
+    dropped = D.gaps(good, [source], [position], "frame_id", "__block").groupBy(source).agg(F.sum("dropped").alias("dropped"))
+    back = D.backward_steps(good, [source], [position], "timestamp", "__block").groupBy(source).agg(F.count_if("violation").alias("time_violations"))
+    counts = rows.groupBy(source).agg(
+        F.count("*").alias("frames"), F.count_if(~F.col("crc_valid")).alias("bad"), F.min_by("frame_id", F.when(F.col("crc_valid"), F.col(position))).alias("first_id"),
+        F.max_by("frame_id", F.when(F.col("crc_valid"), F.col(position))).alias("last_id"), F.min_by("timestamp", F.when(F.col("crc_valid"), F.col(position))).alias("first_time"),
+        F.max_by("timestamp", F.when(F.col("crc_valid"), F.col(position))).alias("last_time"), F.max("sample_rate").alias("fs"),
+    )
+    both = counts.join(dropped, source, "left").join(back, source, "left").fillna(0, ["dropped", "time_violations"])
+    seconds = F.pmod(F.col("last_time") - F.col("first_time"), F.lit(1 << 32)) / F.nullif("fs", F.lit(0))
+    return both.withColumns({"drop_rate": F.try_divide(F.col("dropped"), F.col("dropped") + F.col("frames") - F.col("bad")), "bytes_per_s": F.when(seconds > 0, F.col("frames") * SIZE / seconds).otherwise(0.0)})
+
+
 def samples(decoded: DataFrame, keys: list[str]) -> DataFrame:
     """Long samples: channel and uv of each code."""
     return decoded.select(*keys, F.posexplode("adc").alias("channel", "code")).withColumn("uv", S.adc_to_uv(F.col("code").cast("double")))

@@ -44,9 +44,9 @@ def header(data: bytes) -> dict:
     major, minor, fs, *_ = c.take(FIXED)
     for _ in range(3):
         c.text()
-    for since in ((1, 1), (1, 3)):
-        if (major, minor) >= since:
-            c.take("<h")
+    sensors = c.take("<h")[0] if (major, minor) >= (1, 1) else 0
+    if (major, minor) >= (1, 3):
+        c.take("<h")  # the board's mode
     if major >= 2:
         c.text()
     found: dict[str, list[str]] = {k: [] for k in KINDS}
@@ -57,12 +57,12 @@ def header(data: bytes) -> dict:
             _, _, kind, enabled, *_ = c.take(CHANNEL)
             if enabled and 0 <= kind < len(KINDS):
                 found[KINDS[kind]].append(name)
-    return {"fs": float(fs), "channels": found, "samples": 128 if major >= 2 else 60, "begin": c.at}
+    return {"fs": float(fs), "channels": found, "samples": 128 if major >= 2 else 60, "sensors": sensors, "begin": c.at}
 
 
 def block_type(h: dict) -> np.dtype:
     n, many = h["samples"], {k: len(v) for k, v in h["channels"].items()}
-    fields = [("t", "<i4", (n,)), ("amplifier", "<u2", (many["amplifier"], n)), ("aux", "<u2", (many["aux"], n // 4)), ("supply", "<u2", (many["supply"],)), ("adc", "<u2", (many["adc"], n))]
+    fields = [("t", "<i4", (n,)), ("amplifier", "<u2", (many["amplifier"], n)), ("aux", "<u2", (many["aux"], n // 4)), ("supply", "<u2", (many["supply"],)), ("temperature", "<i2", (h["sensors"],)), ("adc", "<u2", (many["adc"], n))]
     fields += [(k, "<u2", (n if many[k] else 0,)) for k in ("digital_in", "digital_out")]
     return np.dtype(fields)
 
@@ -87,3 +87,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """One row for each channel and block of the files; a file is the unit of work."""
     files = spark.read.format("binaryFile").load(path).select(F.col("path"), "content")
     return files.mapInArrow(_parsed, SCHEMA)
+
+
+def recording(spark: SparkSession, path: str) -> DataFrame:
+    """source, channel, sample_idx, uv, fs of the files, a row for each sample."""
+    rows = read(spark, path).select("source", "fs", "channel", "start_idx", F.posexplode("uv").alias("at", "uv"))
+    return rows.select("source", "channel", (F.col("start_idx") + F.col("at")).alias("sample_idx"), "uv", "fs")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from oscine.sources.frames import CHANNELS
@@ -27,6 +27,12 @@ def results_csv(table: DataFrame, path: str, mode: str = "error") -> None:
     table.select(*clean).write.mode(mode).option("header", True).csv(path)
 
 
+def trial_sheet(order: DataFrame, path: str, mode: str = "error") -> None:
+    """The order of trials as CSV, a mark on each trial that begins a session."""
+    first = F.lag("session").over(Window.partitionBy().orderBy("session", "trial"))  # a plan of trials, not data
+    order.withColumn("begins_session", ~F.col("session").eqNullSafe(first)).orderBy("session", "trial").coalesce(1).write.mode(mode).option("header", True).csv(path)
+
+
 def results_json(table: DataFrame, path: str, mode: str = "error") -> None:
     table.write.mode(mode).json(path)
 

@@ -5,14 +5,17 @@ its end."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from oscine.operators.windowing import rms
+from oscine.sources.frames import cut
 
 
 def windowed_rms(stream: DataFrame, keys: list[str], time: str, value: str, width: str = "1 day", late: str = "1 hour") -> DataFrame:
@@ -57,21 +60,57 @@ def cusum_alerts(windows: DataFrame, key: str, baseline: int, drift: float, thre
     return windows.select(key, "end", "rms").groupBy(key).applyInPandasWithState(step, _ALERT.format(key=key), _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def frame_counters(frames: DataFrame, key: str) -> DataFrame:
-    """Frames seen, bad and dropped so far of each device, update by update; frames: key, frame_id, crc_valid. Drops are
-    the numbers between the first and the last good frame that no good frame had, so that the order of arrival doesn't matter."""
+def merged(spans: list[list[int]], numbers: np.ndarray) -> tuple[list[list[int]], int]:
+    """Spans of numbers, first and last, with more numbers put in, and how many of those were new."""
+    before = sum(b - a + 1 for a, b in spans)
+    new = np.unique(numbers)
+    breaks = np.flatnonzero(np.diff(new) > 1)
+    more = list(zip(new[np.append(0, breaks + 1)].tolist(), new[np.append(breaks, len(new) - 1)].tolist(), strict=True)) if len(new) else []
+    out: list[list[int]] = []
+    for a, b in sorted([*map(tuple, spans), *more]):
+        if out and a <= out[-1][1] + 1:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out, sum(b - a + 1 for a, b in out) - before
+
+
+def frame_counters(frames: DataFrame, key: str, wrap: int = 1 << 32) -> DataFrame:
+    """Frames seen, bad, repeated and dropped so far of each device, update by update; frames: key, frame_id, crc_valid. Drops
+    are the numbers between the first and the last good frame that no good frame had, so that neither the order of arrival nor
+    a frame that comes twice matters; numbers start again at wrap. The state is the spans of numbers seen, one for each gap."""
 
     def step(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, bad, first, last = state.get if state.exists else (0, 0, -1, -1)
+        seen, bad, repeated, text = state.get if state.exists else (0, 0, 0, "[]")
+        spans = json.loads(text)
         rows = pd.concat(list(parts))
-        good = rows.loc[rows["crc_valid"], "frame_id"]
-        seen, bad = seen + len(rows), bad + len(rows) - len(good)
+        good = rows.loc[rows["crc_valid"], "frame_id"].to_numpy()
         if len(good):
-            first = int(good.min()) if first < 0 else min(first, int(good.min()))
-            last = max(last, int(good.max()))
-        state.update((seen, bad, first, last))
-        dropped = last - first + 1 - (seen - bad) if last >= 0 else 0
-        yield pd.DataFrame([(group[0], seen, bad, dropped)], columns=[key, "seen", "bad", "dropped"])
+            near = spans[-1][1] if spans else int(good[0])
+            spans, new = merged(spans, near + (good - near + wrap // 2) % wrap - wrap // 2)
+            repeated += len(good) - new
+        seen, bad = seen + len(rows), bad + len(rows) - len(good)
+        state.update((seen, bad, repeated, json.dumps(spans)))
+        dropped = sum(b[0] - a[1] - 1 for a, b in zip(spans, spans[1:]))
+        yield pd.DataFrame([(group[0], seen, bad, repeated, dropped)], columns=[key, "seen", "bad", "repeated", "dropped"])
 
     grouped = frames.select(key, "frame_id", "crc_valid").groupBy(key)
-    return grouped.applyInPandasWithState(step, f"{key} string, seen long, bad long, dropped long", "seen long, bad long, first long, last long", "update", GroupStateTimeout.NoTimeout)
+    return grouped.applyInPandasWithState(step, f"{key} string, seen long, bad long, repeated long, dropped long", "seen long, bad long, repeated long, spans string", "update", GroupStateTimeout.NoTimeout)
+
+
+def frames_of_pieces(stream: DataFrame, key: str, order: str, data: str) -> DataFrame:
+    """key, n, raw of the records of a stream of pieces of captures. A piece's last bytes wait in the state for the piece that
+    completes them; pieces of a batch are taken in order, and batches as they come."""
+
+    def step(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, rest = state.get if state.exists else (0, b"")
+        found: list[bytes] = []
+        for piece in pd.concat(list(parts)).sort_values(order)[data]:
+            records, rest = cut(bytes(rest) + bytes(piece or b""))
+            found += records
+        state.update((n + len(found), bytes(rest)))
+        if found:
+            yield pd.DataFrame({key: group[0], "n": range(n, n + len(found)), "raw": found})
+
+    grouped = stream.select(key, order, data).groupBy(key)
+    return grouped.applyInPandasWithState(step, f"{key} string, n long, raw binary", "n long, rest binary", "append", GroupStateTimeout.NoTimeout)

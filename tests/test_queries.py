@@ -39,7 +39,7 @@ def test_query(spark, db, name):
     assert sorted(repr(tuple(_plain(x) for x in r)) for r in found.select(columns).collect()) == want
 
 
-@pytest.mark.parametrize("name", ["frame_roundtrip", "highpass_rms", "welch_features", "resample_error", "bootstrap_ci", "signed_rank", "streaming_cusum"])
+@pytest.mark.parametrize("name", ["frame_roundtrip", "highpass_rms", "welch_features", "resample_error", "bootstrap_ci", "signed_rank", "streaming_cusum", "feature_vector", "trial_features", "group_tests"])
 def test_runs(spark, name):
     assert catalog.queries()[name](spark, FOLDER).count() > 0
 

@@ -6,6 +6,7 @@ import pytest
 
 from oscine.operators import relational
 from oscine.sources import frames, reports, sinks, synthetic
+from oscine.streaming import detector
 
 REPORT = """** Drc report for x **
 ** Found 2 DRC violations **
@@ -70,3 +71,144 @@ def test_sinks(spark, tmp_path):
     assert (line.frame_id, line.ch01, line.ch02, line.crc_valid) == ("1", "3", "-4", "true")
     sinks.results_csv(spark.createDataFrame([(1, 1.0, [1]), (2, float("nan"), [2])], "i int, x double, y array<int>"), str(tmp_path / "res"))
     assert sorted(str(r.x) for r in spark.read.option("header", True).csv(str(tmp_path / "res")).collect()) == ["1.0", "None"]
+
+
+BOARD = """(kicad_pcb (version 1)
+  (net 0 "")
+  (net 1 "GND")
+  (net 2 "V(3)")
+  (net_class "Default" "all" (clearance 0.2) (trace_width 0.25) (add_net "GND") (add_net "V(3)"))
+  (setup (stackup (layer "F.Cu" (type "copper") (thickness 0.035)) (layer "dielectric 1" (type "core") (thickness 1.5) (material "FR4"))))
+  (footprint "R_0402" (layer "F.Cu") (at 10 20 90)
+    (property "Reference" "R1" (at 0 0))
+    (pad "1" smd rect (at 1 0) (size 0.5 0.6) (layers "F.Cu" "F.Mask") (net 1 "GND"))
+    (pad "2" smd rect (at -1 0) (size 0.5 0.6) (layers "F.Cu") (net 2 "V(3)")))
+  (segment (start 1 2) (end 3 4) (width 0.25) (layer "F.Cu") (net 1))
+  (via (at 5 6) (size 0.8) (drill 0.4) (layers "F.Cu" "B.Cu") (net 2))
+  (zone (net 1) (net_name "GND") (layer "F.Cu") (connect_pads (clearance 0.3)) (polygon (pts (xy 0 0) (xy 10 0) (xy 10 5)))))
+"""
+
+
+def test_board_text(spark, tmp_path):
+    path = str(tmp_path / "b.kicad_pcb")
+    (tmp_path / "b.kicad_pcb").write_text(BOARD)
+    segments, vias = reports.board(spark, path)
+    assert [tuple(r) for r in segments.collect()] == [(1.0, 2.0, 3.0, 4.0, 0.25, "F.Cu", 1)]
+    assert [tuple(r) for r in vias.collect()] == [(5.0, 6.0, 0.8, 0.4, ["F.Cu", "B.Cu"], 2)]
+    pads = {r.pin: r for r in reports.pads(spark, path).collect()}
+    assert (pads["1"].ref, pads["1"].kind, pads["1"].width, pads["1"].height, pads["1"].layers, pads["1"].net_name) == ("R1", "smd", 0.5, 0.6, ["F.Cu", "F.Mask"], "GND")
+    assert (pads["1"].x, pads["1"].y) == (pytest.approx(10), pytest.approx(19)) and (pads["2"].x, pads["2"].y) == (pytest.approx(10), pytest.approx(21))
+    assert {tuple(r) for r in reports.declared_nets(spark, path).collect()} == {(0, ""), (1, "GND"), (2, "V(3)")}
+    c = reports.netclasses(spark, path).first()
+    assert (c.name, c.clearance, c.width, c.nets) == ("Default", 0.2, 0.25, ["GND", "V(3)"])
+    z = reports.zones(spark, path).first()
+    assert (z.net, z.net_name, z.layers, z.clearance, [tuple(p) for p in z.corners]) == (1, "GND", ["F.Cu"], 0.3, [(0.0, 0.0), (10.0, 0.0), (10.0, 5.0)])
+    assert [(r.place, r.kind, r.thickness, r.material) for r in reports.stackup(spark, path).orderBy("place").collect()] == [(0, "copper", 0.035, None), (1, "core", 1.5, "FR4")]
+    required = spark.createDataFrame([("R1", "1", "GND"), ("R1", "2", "GND"), ("U9", "1", "GND")], "ref string, pin string, net_name string")
+    assert {(r.ref, r.pin, r.is_on) for r in reports.pads_off_net(required, reports.pads(spark, path)).collect()} == {("R1", "2", "V(3)"), ("U9", "1", None)}
+
+
+def test_report_helpers(spark, tmp_path):
+    (tmp_path / "a.rpt").write_text("** Found 1 DRC violations **\n[via]: Bad via\n    @(10.04 mm, -2.36 mm): Via [X] on F.Cu\n    @(1 mm, 2 mm): Track [Y] on F.Cu\n")
+    found = reports.report_violations(spark, str(tmp_path / "a.rpt"))
+    assert [(r.x, r.y) for r in reports.via_places(found).collect()] == [(10.0, -2.4)]
+    nets = " ".join(f"[N{k}]" for k in range(1500))
+    (tmp_path / "b.rpt").write_text(f"[many]: Nets\n    {nets}\n")
+    assert len(reports.report_violations(spark, str(tmp_path / "b.rpt")).first().nets) == 1500
+    report = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "bucket string, entry int")
+    assert {(r.bucket, r.found, r.declared, r.agrees) for r in reports.conserved(report, {"a": 2, "c": 0, "b": 4}).collect()} == {("a", 2, 2, True), ("b", 1, 4, False), ("c", 0, 0, True)}
+    texts = spark.createDataFrame([("The Warranty ends",), (None,)], "value string")
+    assert {tuple(r) for r in reports.clauses(texts, ["warranty", "license"]).collect()} == {("warranty", True), ("license", False)}
+
+
+def test_captures_in_pieces(spark, tmp_path):
+    rows = spark.createDataFrame([(i, 1000 + 10 * i, [(i * 7 + c) % 100 - 50 for c in range(64)]) for i in (0, 1, 2, 5, 6)], "frame_id long, timestamp long, adc array<int>")
+    raw = [bytes(r.raw) for r in frames.build(rows).orderBy("frame_id").collect()]
+    whole = b"junk\xa5" + b"".join(raw)
+    for size in (1, 100, 255, 256, 257, 5000):
+        pieces = [("dev", k, bytearray(whole[at : at + size])) for k, at in enumerate(range(0, len(whole), size))]
+        df = spark.createDataFrame(pieces, "dev string, seq int, data binary")
+        if size > 1:
+            assert [bytes(r.raw) for r in frames.from_chunks(df, "dev", "seq", "data").orderBy("n").collect()] == raw
+    rest, found = b"", []
+    for at in range(len(whole)):  # byte by byte
+        more, rest = frames.cut(rest + whole[at : at + 1])
+        found += more
+    assert found == raw
+    (tmp_path / "a.bin").write_bytes(whole)
+    decoded = frames.decode(frames.read(spark, str(tmp_path / "a.bin")))
+    r = frames.capture_report(decoded).first()
+    assert (r.frames, r.bad, r.first_id, r.last_id, r.dropped, r.time_violations) == (5, 0, 0, 6, 2, 0)
+    assert r.drop_rate == pytest.approx(2 / 7)
+    from oscine.sources import registry
+
+    samples = registry.load(spark, str(tmp_path / "a.bin"))
+    assert {x.fs for x in samples.collect()} == {20_000} and samples.count() == 5 * 64
+    assert [x.uv for x in samples.where("channel = 3").orderBy("sample_idx").collect()] == pytest.approx([0.195 * ((i * 7 + 3) % 100 - 50) for i in (0, 1, 2, 5, 6)])
+    with pytest.raises(ValueError, match="no reader"):
+        registry.load(spark, "x.npz")
+    (tmp_path / "empty.bin").write_bytes(b"nothing")
+    with pytest.raises(ValueError, match="no frame"):
+        registry.load(spark, str(tmp_path / "empty.bin"))
+
+
+def _stream(spark, rows, schema, folder, build):
+    """What a stream over files of one batch of rows each writes in append mode."""
+    for k, part in enumerate(rows):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
+        mode = "append" if build.__name__ == "frames_of_pieces" else "update"
+        out = build(stream)
+        writer = out.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+        writer.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{folder}/out/batch_id={i}")).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").collect()
+
+
+def test_stream_of_pieces(spark, tmp_path):
+    rows = spark.createDataFrame([(i, i, [i] * 64) for i in range(6)], "frame_id long, timestamp long, adc array<int>")
+    raw = [bytes(r.raw) for r in frames.build(rows).orderBy("frame_id").collect()]
+    whole = b"xx" + b"".join(raw)
+    pieces = [("dev", k, bytearray(whole[at : at + 200])) for k, at in enumerate(range(0, len(whole), 200))]
+
+    def frames_of_pieces(stream):
+        return detector.frames_of_pieces(stream, "dev", "seq", "data")
+
+    found = _stream(spark, [pieces[:3], pieces[3:4], pieces[4:]], "dev string, seq int, data binary", str(tmp_path), frames_of_pieces)
+    assert [bytes(r.raw) for r in sorted(found, key=lambda r: r.n)] == raw
+
+
+def test_stream_counters_with_repeats_and_wrap(spark, tmp_path):
+    top = (1 << 32) - 3
+    batches = [[(top, True), (top + 1, True), (top + 1, True)], [(1, True), (2, False)], [(0, True), (5, True), (top, True)]]
+
+    def counters(stream):
+        return detector.frame_counters(stream, "dev")
+
+    found = _stream(spark, [[("d", i, good) for i, good in b] for b in batches], "dev string, frame_id long, crc_valid boolean", str(tmp_path), counters)
+    last = max(found, key=lambda r: r.seen)
+    # good numbers: -3, -2, 0, 1, 5 about the wrap; -1, 2, 3 and 4 are missing
+    assert (last.seen, last.bad, last.repeated, last.dropped) == (8, 1, 2, 4)
+
+
+def test_streaming_cusum_equals_a_fold(spark):
+    from oscine.plans import generated_queries as G
+
+    folder = "/root/testdata/sf0.001"
+    daily = {}
+    for r in G.W.tumbling(G.samples(spark, folder), ["channel"], "day", rms=G.W.rms("uv")).collect():
+        daily.setdefault(r.channel, []).append((r.day, r.rms))
+    want = set()
+    for channel, rows in daily.items():
+        x = [v for _, v in sorted(rows)]
+        mean = sum(x[:8]) / 8
+        spread = (sum(v * v for v in x[:8]) / 8 - mean * mean) ** 0.5
+        up = down = 0.0
+        armed = True
+        for i, v in enumerate(x[8:], 8):
+            up, down = max(0.0, up + (v - mean) / spread - 0.5), max(0.0, down - (v - mean) / spread - 0.5)
+            if armed and max(up, down) > 3.0:
+                want.add((channel, i, round(max(up, down), 4)))
+                armed = False
+            elif max(up, down) <= 1.5:
+                armed = True
+    assert {(r.channel, r.window_idx, round(r.statistic, 4)) for r in G.streaming_cusum(spark, folder).collect()} == want and want
