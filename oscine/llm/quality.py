@@ -159,11 +159,12 @@ def _votes_of(column: pa.Array) -> pa.Array:
 
 def keep_good(docs: DataFrame, threshold: float = 0.5, text: str = "text") -> DataFrame:
     """The rows that the rules keep, with all their columns. The texts are measured twice rather than written once more."""
-    voted = docs.withColumn("__votes", F.arrow_udf(_votes_of, "int")(F.col(text)))
-    pattern = F.expr("__votes div 2").cast("int").alias("pattern")
+    name = next(f"__votes{k}" for k in range(len(docs.columns) + 1) if f"__votes{k}" not in docs.columns)
+    voted = docs.withColumn(name, F.arrow_udf(_votes_of, "int")(F.col(text)))
+    pattern = F.expr(f"{name} div 2").cast("int").alias("pattern")
     counts = {r["pattern"]: r["n"] for r in voted.groupBy(pattern).agg(F.count("*").alias("n")).collect()}
     good = [2 * k for k, p in fit(counts).items() if p >= threshold]
-    return voted.where(F.col("__votes").isin(good)).drop("__votes")
+    return voted.where(F.col(name).isin(good)).drop(name)
 
 
 def quality_rules(docs: DataFrame, threshold: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

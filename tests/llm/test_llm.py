@@ -15,6 +15,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 pytest.importorskip("oscine.llm")
 from oscine.llm import components, decontamination, html_text, jaccard_join, line_dedup, mixing, quality, resharding, substring_dedup, suffix_dedup, token_counts  # noqa: E402
@@ -688,3 +689,42 @@ def test_pipeline(spark, docs, tmp_path):
     messy = data.union(data.where("doc_id < 5")).union(spark.createDataFrame([(None, texts[5], None, None, None)], data.schema))
     placed = pipeline.sharding_stage(spark, messy, str(tmp_path))
     assert placed.count() == messy.count() and placed.select("shard", "slot").distinct().count() == messy.count()
+
+
+def test_stages_do_what_the_operators_say(spark):
+    """Each stage of the pipeline on a whole table: what stays is what its operator's result says, with the columns it came with."""
+    import corpus_pipeline as P
+    from oscine.llm import common as C
+
+    folder = "/root/testdata/sf0.001"
+    docs = C.load(spark, folder, "documents").withColumns({"__votes0": F.lit(1), "row": F.lit("r")})
+    ids = lambda df: sorted(r.doc_id for r in df.collect())
+    everything = ids(docs)
+
+    kept = P.quality_stage(spark, docs, folder)
+    assert kept.columns == docs.columns
+    assert ids(kept) == sorted(r.doc_id for r in quality.quality_rules(docs).where("quality >= 0.5").collect())
+    assert 0 < kept.count() < len(everything)
+
+    kept = P.near_duplicate_stage(spark, docs, folder)
+    assert kept.columns == docs.columns
+    assert ids(kept) == sorted({r.class_id for r in jaccard_join.jaccard_join(docs).collect()})
+
+    kept = P.decontamination_stage(spark, docs, folder)
+    words = lambda t: re.findall(r"[^\s!-/:-@\[-`{-~]+", (t or "").lower())
+    runs = {tuple(w[k : k + 13]) for r in C.load(spark, folder, "benchmark").collect() for w in [words(r.text)] for k in range(len(w) - 12)}
+    hit = {r.doc_id for r in docs.collect() for w in [words(r.text)] if any(tuple(w[k : k + 13]) in runs for k in range(len(w) - 12))}
+    gone = set(everything) - set(ids(kept))
+    assert kept.columns == docs.columns and hit and hit <= gone and len(gone - hit) <= 0.02 * len(everything)
+
+    kept = P.mixing_stage(spark, docs, folder)
+    labels = {r.doc_id: r for r in C.load(spark, folder, "labels").collect()}
+    stay = set(ids(kept))
+    clean = [i for i, r in labels.items() if not r.toxic and r.quality]
+    toxic = [i for i, r in labels.items() if r.toxic]
+    assert kept.columns == docs.columns
+    assert sum(i in stay for i in clean) >= 0.95 * len(clean) and sum(i in stay for i in toxic) <= 0.2 * len(toxic)
+
+    kept = P.sharding_stage(spark, docs.withColumn("shard", F.lit(99)), folder)
+    assert ids(kept) == everything and set(kept.columns) == {*docs.columns, "shard", "slot"}
+    assert kept.groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("top"), F.count_distinct("slot").alias("d")).where("top <> n - 1 OR d <> n OR shard = 99").count() == 0
