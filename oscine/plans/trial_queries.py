@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from oscine.functions import scalars as S
+from oscine.operators import evaluation as E
 from oscine.operators import features as V
 from oscine.operators import learning
 from oscine.operators import statistics as T
@@ -129,6 +130,41 @@ def mad_mask(spark, sf_dir):
     return W.clusters(marked.where("hit = 1"), ["channel"], "day")
 
 
+def release_gates(spark, sf_dir):
+    """Gates over the order tables: references that lead nowhere, keys that come twice, numbers out of their range."""
+    t = {n: table(spark, sf_dir, n) for n in ("orders", "lineitem", "customer", "nation", "region", "supplier")}
+    lines = t["lineitem"]
+    return E.gates({
+        "orders_have_customers": t["orders"].join(t["customer"], F.col("o_custkey") == F.col("c_custkey"), "left_anti"),
+        "customers_have_orders": t["customer"].join(t["orders"], F.col("c_custkey") == F.col("o_custkey"), "left_anti"),
+        "lines_have_orders": lines.join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey"), "left_anti"),
+        "nations_have_regions": t["nation"].join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"), "left_anti"),
+        "lines_are_distinct": lines.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1"),
+        "quantities_are_positive": lines.where("l_quantity <= 0"),
+        "discounts_are_small": lines.where("l_discount > 0.09"),
+        "suppliers_have_balance": t["supplier"].where("s_acctbal < 0"),
+    })
+
+
+def longest_of(spark, sf_dir):
+    """The line that was longest under way of each order priority, the least key if several were."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    days = F.datediff(F.col("l_shipdate").cast("date"), F.col("o_orderdate").cast("date"))
+    both = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    top = both.groupBy("o_orderpriority").agg(F.max(F.struct(days.alias("days"), (-F.col("l_orderkey")).alias("o"), (-F.col("l_linenumber")).alias("l"))).alias("t"))
+    return top.select("o_orderpriority", F.col("t.days").cast("long").alias("days"), (-F.col("t.o")).alias("l_orderkey"), (-F.col("t.l")).cast("long").alias("l_linenumber"))
+
+
+def model_comparison(spark, sf_dir):
+    """Two scores of the same documents against their label, side by side for each language."""
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("lang", "quality", F.col("n_chars").cast("double").alias("n"), "doc_id")
+    top = d.agg(F.max("n").alias("top"))
+    scored = d.crossJoin(F.broadcast(top)).select("lang", "quality", (F.col("n") / (F.col("top") + 1)).alias("size"), (F.pmod("doc_id", F.lit(97)) / 97.0).alias("chance"))
+    results = {name: T.auroc(scored.where("lang IS NOT NULL"), name, "quality", ["lang"]) for name in ("size", "chance")}
+    return rounded(E.side_by_side(results, "auroc", ["lang"]), "auroc", "behind")
+
+
 _EPOCH = f"""{SAMPLES_SQL}, b AS (SELECT user_id, max(day) + 1 AS e FROM samples GROUP BY 1),
     bounds AS (SELECT user_id, {BASELINE_FROM} AS b0, {ONSET} AS b1, {ONSET + SETTLE} AS p0, least({ONSET + SETTLE + EPOCH}, e) AS p1,
         CASE WHEN e > {ONSET + RECOVERY_FROM} THEN {ONSET + RECOVERY_FROM} ELSE least({ONSET + SETTLE + EPOCH}, e) END AS r0, least({ONSET + RECOVERY_TO}, e) AS r1 FROM b),
@@ -156,9 +192,27 @@ SQL = {
     "macro_auroc": """WITH s AS (SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer), p AS (SELECT c_mktsegment AS k, round(CAST((c_acctbal - lo) / nullif(hi - lo, 0) AS DOUBLE), 3) AS p FROM customer, s),
         g AS (SELECT k, p, count(*) AS n FROM p GROUP BY 1, 2), pair AS (SELECT a.k, sum(a.n * b.n * CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0.0 END) / sum(a.n * b.n) AS auroc FROM g a JOIN g b ON a.k <> b.k GROUP BY 1)
         SELECT round(avg(auroc), 6) AS macro, count(*) AS classes FROM pair""",
+    "release_gates": """SELECT *, offenders = 0 AS passed FROM (
+        SELECT 'orders_have_customers' AS gate, count(*) AS offenders FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL
+        SELECT 'customers_have_orders', count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL
+        SELECT 'lines_have_orders', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) UNION ALL
+        SELECT 'nations_have_regions', count(*) FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region) UNION ALL
+        SELECT 'lines_are_distinct', count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) UNION ALL
+        SELECT 'quantities_are_positive', count(*) FROM lineitem WHERE l_quantity <= 0 UNION ALL
+        SELECT 'discounts_are_small', count(*) FROM lineitem WHERE l_discount > 0.09 UNION ALL
+        SELECT 'suppliers_have_balance', count(*) FROM supplier WHERE s_acctbal < 0)""",
+    "longest_of": """WITH d AS (SELECT o_orderpriority, date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS days, l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey), r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY days DESC, l_orderkey, l_linenumber) AS k FROM d)
+        SELECT o_orderpriority, days, l_orderkey, l_linenumber FROM r WHERE k = 1""",
+    "model_comparison": """WITH d AS (SELECT lang, quality, n_chars / (max(n_chars) OVER () + 1.0) AS size, (doc_id % 97) / 97.0 AS chance FROM documents JOIN labels USING (doc_id)),
+        s AS (SELECT 'size' AS model, lang, quality, CAST(size AS DOUBLE) AS p FROM d UNION ALL SELECT 'chance', lang, quality, CAST(chance AS DOUBLE) FROM d),
+        a AS (SELECT model, lang, p, count(*) AS n FROM s WHERE quality = 1 GROUP BY ALL), b AS (SELECT model, lang, p, count(*) AS n FROM s WHERE quality = 0 GROUP BY ALL),
+        g AS (SELECT DISTINCT model, lang FROM s WHERE lang IS NOT NULL), x AS (SELECT a.model, a.lang, sum(a.n * b.n * CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0.0 END) / sum(a.n * b.n) AS auroc FROM a JOIN b USING (model, lang) GROUP BY 1, 2),
+        r AS (SELECT model, lang, coalesce(auroc, 0.5) AS auroc FROM g LEFT JOIN x USING (model, lang))
+        SELECT lang, round(auroc, 6) AS auroc, model, row_number() OVER w AS place, round(first_value(auroc) OVER w - auroc, 6) + 0.0 AS behind FROM r WINDOW w AS (PARTITION BY lang ORDER BY auroc DESC, model)""",
     "mad_mask": f"""WITH {_DAYS}, m AS (SELECT channel, median(rms) AS med FROM daily GROUP BY 1), s AS (SELECT channel, any_value(med) AS med, median(abs(rms - med)) * 1.4826 AS sigma FROM daily JOIN m USING (channel) GROUP BY 1),
         h AS (SELECT channel, day, max(CASE WHEN abs(rms - med) > 1.5 * sigma THEN 1 ELSE 0 END) OVER (PARTITION BY channel ORDER BY day RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS hit FROM daily JOIN s USING (channel)),
         g AS (SELECT *, day - row_number() OVER (PARTITION BY channel ORDER BY day) AS grp FROM h WHERE hit = 1), c AS (SELECT channel, grp, min(day) AS first, max(day) AS last, count(*) AS n FROM g GROUP BY 1, 2)
         SELECT channel, row_number() OVER (PARTITION BY channel ORDER BY first) - 1 AS cluster, first, last, n FROM c""",
 }
-QUERIES = {f.__name__: f for f in (feature_vector, trial_features, epoch_from_onset, group_stats, group_tests, false_alarms, second_stage, macro_auroc, mad_mask)}
+QUERIES = {f.__name__: f for f in (feature_vector, trial_features, epoch_from_onset, group_stats, group_tests, false_alarms, second_stage, macro_auroc, mad_mask, release_gates, longest_of, model_comparison)}

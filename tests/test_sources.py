@@ -212,3 +212,23 @@ def test_streaming_cusum_equals_a_fold(spark):
             elif max(up, down) <= 1.5:
                 armed = True
     assert {(r.channel, r.window_idx, round(r.statistic, 4)) for r in G.streaming_cusum(spark, folder).collect()} == want and want
+
+
+def test_trial_sheet_and_saved_models(spark, tmp_path):
+    from oscine.operators import evaluation, learning
+
+    order = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 3, "a")], "session int, trial int, perturbation string")
+    sinks.trial_sheet(order, str(tmp_path / "sheet"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "sheet")).orderBy("trial").collect()
+    assert [r.begins_session for r in back] == ["true", "false", "true"]
+    rows = spark.createDataFrame([(float(i % 2), float(i % 2) + 0.01 * i) for i in range(40)], "label double, x double")
+    model = learning.forest(rows, ["x"], "label", trees=5, depth=2)
+    learning.save(model, str(tmp_path / "model"))
+    learning.save(model, str(tmp_path / "model"))  # again, as after a failure
+    again = learning.predicted(learning.load(str(tmp_path / "model")), rows)
+    assert [r.label_hat for r in again.collect()] == [r.label_hat for r in learning.predicted(model, rows).collect()]
+    shifts = spark.createDataFrame([("a", 1, 0.5), ("a", 2, 0.6), ("b", 1, 0.7)], "model string, shift int, fpr double")
+    held = spark.createDataFrame([("a", 0.1)], "model string, fpr double")
+    assert [r.fpr for r in evaluation.with_holdout(shifts, held, ["model"], "fpr").orderBy("model", "shift").collect()] == [0.1, 0.1, 0.7]
+    trials = spark.createDataFrame([("dose", "low"), ("dose", "high"), ("baseline", "")], "perturbation string, level string")
+    assert (evaluation.of_trials(trials, "dose").count(), evaluation.of_trials(trials, "dose", "low").count()) == (2, 1)
