@@ -72,7 +72,7 @@ def numbers():
 
 
 def frame_gaps(spark, sf_dir):
-    frames = samples(spark, sf_dir).where("event_id % 7 <> 3 AND uv < 200")
+    frames = samples(spark, sf_dir)
     found = D.gaps(frames, KEYS, ["ts", "event_id"], "event_id", "day")
     return found.groupBy("channel").agg(F.count("*").alias("frames"), F.sum("dropped").alias("dropped"), F.max("dropped").alias("worst"))
 
@@ -85,7 +85,7 @@ def ts_violations(spark, sf_dir):
 
 def capture_stats(spark, sf_dir):
     """Counts, first and last number and time of a capture, and what follows from them."""
-    frames = D.gaps(samples(spark, sf_dir).where("event_id % 7 <> 3").withColumns({"t": seconds(), "block": numbers()}), ["channel"], ["event_id"], "event_id", "block")
+    frames = D.gaps(samples(spark, sf_dir).withColumns({"t": seconds(), "block": numbers()}), ["channel"], ["event_id"], "event_id", "block")
     found = frames.groupBy("channel").agg(F.count("*").alias("frames"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"), F.min_by("t", "event_id").alias("first_t"), F.max_by("t", "event_id").alias("last_t"), F.sum("dropped").alias("dropped"))
     duration = (F.col("last_t") - F.col("first_t")) / 1e6
     found = found.withColumn("drop_rate", F.col("dropped") / (F.col("dropped") + F.col("frames"))).withColumn("throughput", F.when(duration > 0, F.col("frames") * 256 / duration).otherwise(0.0))
@@ -121,12 +121,12 @@ SQL = {
         SELECT channel, day, round(cusum, 6) AS cusum FROM l WHERE ev = 1 AND coalesce(before, 0) <> 1""",
     "k_of_n": f"WITH {K_SQL} SELECT channel, day, confirmed, round(last_p, 6) + 0.0 AS last_p FROM conf",
     "triage": f"""WITH {K_SQL} SELECT channel, day, CASE WHEN NOT valid THEN 'unknown' WHEN confirmed AND p >= 0.55 THEN 'suppression-like' WHEN p <= 0.25 THEN 'artifact-like' ELSE 'uncertain' END AS label FROM conf""",
-    "frame_gaps": """WITH f AS (SELECT event_type AS channel, event_id - lag(event_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS step FROM events WHERE event_id % 7 <> 3 AND value < 200)
+    "frame_gaps": """WITH f AS (SELECT event_type AS channel, event_id - lag(event_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS step FROM events)
         SELECT channel, count(*) AS frames, CAST(sum(CASE WHEN step > 1 THEN step - 1 ELSE 0 END) AS BIGINT) AS dropped, max(CASE WHEN step > 1 THEN step - 1 ELSE 0 END) AS worst FROM f GROUP BY 1""",
     "ts_violations": f"""WITH f AS (SELECT user_id, event_id, {MICROS_SQL} % 4294967296 AS t FROM events),
         g AS (SELECT user_id, lag(t) OVER (PARTITION BY user_id ORDER BY event_id) - t AS back FROM f)
         SELECT user_id, count(*) AS frames, CAST(sum(CASE WHEN back > 0 AND back <= 2147483648 THEN 1 ELSE 0 END) AS BIGINT) AS violations FROM g GROUP BY 1""",
-    "capture_stats": f"""WITH f AS (SELECT event_type AS channel, event_id, {MICROS_SQL} AS t, event_id - lag(event_id) OVER (PARTITION BY event_type ORDER BY event_id) AS step FROM events WHERE event_id % 7 <> 3),
+    "capture_stats": f"""WITH f AS (SELECT event_type AS channel, event_id, {MICROS_SQL} AS t, event_id - lag(event_id) OVER (PARTITION BY event_type ORDER BY event_id) AS step FROM events),
         g AS (SELECT channel, count(*) AS frames, min(event_id) AS first_id, max(event_id) AS last_id, min_by(t, event_id) AS first_t, max_by(t, event_id) AS last_t,
         CAST(sum(CASE WHEN step > 1 THEN step - 1 ELSE 0 END) AS BIGINT) AS dropped FROM f GROUP BY 1)
         SELECT *, round(dropped / (dropped + frames), 6) AS drop_rate, round(CASE WHEN last_t > first_t THEN frames * 256 / ((last_t - first_t) / 1e6) ELSE 0 END, 6) AS throughput FROM g""",

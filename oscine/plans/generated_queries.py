@@ -158,7 +158,7 @@ def streaming_cusum(spark, sf_dir):
 
 
 def streaming_counters(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").where("event_id % 7 <> 3").select(F.col("event_type").alias("device"), F.col("event_id").alias("frame_id"), (F.col("event_id") % 50 != 1).alias("crc_valid")).repartitionByRange(4, "frame_id")
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("device"), F.col("event_id").alias("frame_id"), (F.col("event_id") % 50 != 1).alias("crc_valid")).repartitionByRange(4, "frame_id")
     found = _streamed(spark, rows, lambda s: detector.frame_counters(s, "device"), "update")
     return found.groupBy("device").agg(F.max("seen").alias("seen"), F.max("bad").alias("bad"), F.max_by("dropped", "seen").alias("dropped"))  # gaps may fill later
 
@@ -170,7 +170,7 @@ QUERIES = {f.__name__: f for f in (
 SQL = {
     # the last day stays open, as no later event closes it
     "streaming_rms": f"WITH {DAILY_SQL} SELECT channel, day, n, round(rms, 6) AS rms FROM daily WHERE day < (SELECT max(day) FROM daily)",
-    "streaming_counters": """WITH f AS (SELECT event_type AS device, event_id, event_id % 50 <> 1 AS good FROM events WHERE event_id % 7 <> 3),
+    "streaming_counters": """WITH f AS (SELECT event_type AS device, event_id, event_id % 50 <> 1 AS good FROM events),
         g AS (SELECT device, event_id - lag(event_id) OVER (PARTITION BY device ORDER BY event_id) - 1 AS gap FROM f WHERE good),
         d AS (SELECT device, CAST(sum(greatest(gap, 0)) AS BIGINT) AS dropped FROM g GROUP BY 1)
         SELECT device, count(*) AS seen, count(*) FILTER (NOT good) AS bad, any_value(dropped) AS dropped FROM f JOIN d USING (device) GROUP BY 1""",

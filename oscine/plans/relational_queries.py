@@ -37,7 +37,7 @@ def pack_verify(spark, sf_dir):
 
 def leakage(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    return R.leakage(events.where("event_id % 9 = 0"), events.where("event_id % 11 = 0"), "user_id")
+    return R.leakage(events.where("event_id % 3 <> 0"), events.where("event_id % 3 = 0"), "user_id")
 
 
 def split_by_recording(spark, sf_dir):
@@ -136,9 +136,8 @@ def _blocks(documents):
 
 
 def report_blocks(spark, sf_dir):
-    """Lines of a text in blocks: a line that begins upper case and ends in a full stop starts one. As its SQL twin, of one
-    document in five; report_blocks_all has all of them."""
-    return _blocks(table(spark, sf_dir, "documents").where("doc_id % 5 = 0"))
+    """Lines of every text in blocks: a line that begins upper case and ends in a full stop starts one."""
+    return _blocks(table(spark, sf_dir, "documents"))
 
 
 def report_blocks_all(spark, sf_dir):
@@ -218,7 +217,7 @@ def label_encode(spark, sf_dir):
 
 
 def calibrated_probs(spark, sf_dir):
-    logits = F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double") * 5)
+    logits = F.transform("embedding", lambda x: x.cast("double") * 5)
     p = table(spark, sf_dir, "embeddings").select("vec_id", S.softmax(logits, 1.5).alias("p"))
     best = F.array_position("p", F.array_max("p")).cast("int") - 1
     return p.select("vec_id", best.alias("label"), F.round(F.array_max("p"), 5).alias("confidence"))
@@ -231,9 +230,8 @@ def status_bits(spark, sf_dir):
 
 
 def frame_crc(spark, sf_dir):
-    """CRC-16 of the first bytes of a text. As its SQL twin, of 12 bytes of the first 300 customers; frame_crc_all has all of both."""
-    head = F.substring(F.encode(F.col("c_name"), "UTF-8"), 1, 12)
-    return table(spark, sf_dir, "customer").where("c_custkey < 300").select("c_custkey", S.crc16(head, 12).alias("crc"))
+    """CRC-16 of all bytes of every customer's name; the names are ASCII."""
+    return table(spark, sf_dir, "customer").select("c_custkey", S.crc16(F.encode(F.col("c_name"), "UTF-8")).alias("crc"))
 
 
 def frame_crc_all(spark, sf_dir):

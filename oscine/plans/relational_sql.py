@@ -10,7 +10,7 @@ SQL = {
         SELECT coalesce(a.doc_id, b.doc_id) AS path, CASE WHEN a.sha IS NULL THEN 'added' WHEN b.sha IS NULL THEN 'removed' ELSE 'changed' END AS change
         FROM a FULL JOIN b ON a.doc_id = b.doc_id WHERE a.sha IS DISTINCT FROM b.sha""",
     "pack_verify": """SELECT CASE WHEN doc_id % 40 = 2 THEN 'missing' WHEN doc_id % 50 = 1 THEN 'tampered' ELSE 'ok' END AS verdict, count(*) AS n FROM documents GROUP BY 1""",
-    "leakage": "SELECT user_id FROM events WHERE event_id % 9 = 0 INTERSECT SELECT user_id FROM events WHERE event_id % 11 = 0",
+    "leakage": "SELECT user_id FROM events WHERE event_id % 3 <> 0 INTERSECT SELECT user_id FROM events WHERE event_id % 3 = 0",
     "split_by_recording": "SELECT CASE WHEN md5('3:' || user_id) < '4' THEN 'test' ELSE 'train' END AS side, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1",
     "split_membership": "SELECT event_type, count(*) AS n FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY 1",
     "required_anti": "SELECT c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
@@ -36,7 +36,7 @@ SQL = {
         r AS (SELECT 3 AS node, 0 AS hops UNION SELECT e.dst, r.hops + 1 FROM r JOIN e ON e.src = r.node WHERE r.hops < 26)
         SELECT CAST(node AS BIGINT) AS node, min(hops) AS hops FROM r GROUP BY 1""",
     "coordinate_snap": f"WITH {_POINTS} SELECT CAST(round_even(x / 0.25, 0) AS BIGINT) AS i, CAST(round_even(y / 0.25, 0) AS BIGINT) AS j, count(*) AS n FROM pts GROUP BY 1, 2 HAVING count(*) > 1",
-    "report_blocks": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents WHERE doc_id % 5 = 0),
+    "report_blocks": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents),
         b AS (SELECT *, CAST(sum(CASE WHEN regexp_matches(t, '^[A-Z][a-z]+.*[.]$') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS BIGINT) AS block FROM l)
         SELECT doc_id, block, count(*) AS lines, CAST(sum(length(t)) AS BIGINT) AS chars FROM b GROUP BY 1, 2""",
     "report_totals": """SELECT page_id, regexp_extract(url, '^(https?)://([^/]+)', 2) AS host, len(regexp_extract_all(html, '<p>')) AS paragraphs, len(list_distinct(regexp_extract_all(html, '<a href="([^"]*)"', 1))) AS links FROM pages""",
@@ -58,16 +58,16 @@ SQL = {
     "trial_order": """WITH t AS (SELECT s_nationkey AS session, s_suppkey, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY md5('5:' || s_suppkey), s_suppkey) AS INTEGER) AS trial FROM supplier)
         SELECT session, s_suppkey, trial, trial = 1 AS break, printf('S%d_T%02d', session, trial) AS filename FROM t""",
     "label_encode": "SELECT CASE c_mktsegment WHEN 'MACHINERY' THEN 1 WHEN 'HOUSEHOLD' THEN 2 ELSE 0 END AS code, count(*) AS n FROM customer GROUP BY 1",
-    "calibrated_probs": """WITH e AS (SELECT vec_id, CAST(unnest(range(4)) AS INTEGER) AS i, CAST(unnest(embedding[1:4]) AS DOUBLE) * 5 AS x FROM embeddings),
+    "calibrated_probs": """WITH e AS (SELECT vec_id, CAST(unnest(range(len(embedding))) AS INTEGER) AS i, CAST(unnest(embedding) AS DOUBLE) * 5 AS x FROM embeddings),
         p AS (SELECT vec_id, i, exp((x - max(x) OVER w) / 1.5) / sum(exp(x / 1.5)) OVER w * exp(max(x) OVER w / 1.5) AS p FROM e WINDOW w AS (PARTITION BY vec_id))
         SELECT vec_id, min_by(i, (-p, i)) AS label, round(max(p), 5) AS confidence FROM p GROUP BY 1""",
     "status_bits": """WITH r AS (SELECT CAST(event_id % 256 AS INTEGER) AS b FROM events)
         SELECT b >> 7 & 1 = 1 AS drop_since_last, b >> 6 & 1 = 1 AS fifo_half_full, b >> 5 & 1 = 1 AS fifo_near_full, b >> 4 & 1 = 1 AS spi_crc_err, b >> 3 & 1 = 1 AS spi_timeout, b >> 2 & 1 = 1 AS overflow_sticky, b & 27 = 0 AS reserved_clean, count(*) AS n FROM r GROUP BY ALL""",
-    "frame_crc": """WITH RECURSIVE b AS (SELECT c_custkey, [ascii(substr(c_name, i, 1)) FOR i IN range(1, 13)] AS bytes FROM customer WHERE c_custkey < 300),
+    "frame_crc": """WITH RECURSIVE b AS (SELECT c_custkey, [ascii(substr(c_name, i, 1)) FOR i IN range(1, length(c_name) + 1)] AS bytes FROM customer),
         s AS (SELECT c_custkey, bytes, 0 AS i, 65535 AS crc FROM b UNION ALL
           SELECT c_custkey, bytes, i + 1, CASE WHEN x >= 32768 THEN xor((x * 2) & 65535, 4129) ELSE (x * 2) & 65535 END
-          FROM (SELECT *, CASE WHEN i % 8 = 0 THEN xor(crc, CAST(bytes[i // 8 + 1] AS INTEGER) * 256) ELSE crc END AS x FROM s WHERE i < 96))
-        SELECT c_custkey, CAST(crc AS INTEGER) AS crc FROM s WHERE i = 96""",
+          FROM (SELECT *, CASE WHEN i % 8 = 0 THEN xor(crc, CAST(bytes[i // 8 + 1] AS INTEGER) * 256) ELSE crc END AS x FROM s WHERE i < 8 * len(bytes)))
+        SELECT c_custkey, CAST(crc AS INTEGER) AS crc FROM s WHERE i = 8 * len(bytes)""",
     "nt_xent_pairs": """WITH e AS (SELECT vec_id, label, unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), c AS (SELECT label AS other, i, avg(x) AS c FROM e GROUP BY 1, 2),
         d AS (SELECT vec_id, label, other, sum(x * c) / (sqrt(sum(x * x)) * sqrt(sum(c * c))) AS cos FROM e JOIN c USING (i) GROUP BY 1, 2, 3)
         SELECT label, other, count(*) AS n, round(avg(cos), 5) + 0.0 AS cos FROM d GROUP BY 1, 2""",
