@@ -33,8 +33,8 @@ SHORT_MASKS = {
 }
 LEAST_TOKENS = 1
 VERIFY, TOLERATED = 13, 0.2
-#: Bits of the bitmap: so many for a seed, but not more in all.
-BITS_EACH, MOST_BITS = 64, 1 << 27
+#: Bits of the bitmap: so many for a seed, but not more in all; how many of them a seed sets.
+BITS_EACH, MOST_BITS, PROBES = 64, 1 << 27, 4
 #: Tokens of an item that are sent together, with what may be needed on either side.
 CHUNK, AROUND = 1024, VERIFY - 1
 
@@ -98,6 +98,30 @@ def _seeded(least_tokens: int):
     return seeded
 
 
+def _slot(seeds: np.ndarray, probe: int, bits: int) -> np.ndarray:
+    return (C.mix(seeds + C.U64(probe)) if probe else seeds) & C.U64(bits - 1)
+
+
+def _set(bits: int):
+    """Rows seeds to the words of the bitmap that they set bits in."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seeds = batch.column(0).flatten().to_numpy().view(C.U64)
+            slots = np.unique(np.concatenate([_slot(seeds, probe, bits) for probe in range(PROBES)]))
+            word, which = np.unique(slots >> C.U64(6), return_inverse=True)
+            value = np.zeros(len(word), C.U64)
+            np.bitwise_or.at(value, which, C.U64(1) << (slots & C.U64(63)))
+            yield pa.RecordBatch.from_pydict({"word": pa.array(word.view(np.int64)), "bits": pa.array(value.view(np.int64))})
+
+    return words
+
+
+def _is_set(bitmap: np.ndarray, seeds: np.ndarray, probe: int) -> np.ndarray:
+    slot = _slot(seeds, probe, len(bitmap) * 64)
+    return bitmap[slot >> C.U64(6)] >> (slot & C.U64(63)) & C.U64(1) > 0
+
+
 _HITS = "own long, own2 long, begin int, tokens binary, seeds array<long>, places array<int>"
 
 
@@ -106,15 +130,15 @@ def _hit(shared, masks: list[str]):
 
     def hit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
-        last = C.U64(len(bits) * 64 - 1)
         for batch in batches:
             for lo, _, buffer, offsets in C.text_slices(batch.column(2)):
                 hashes, first = tokens(buffer, offsets)
                 owner, at, until, seeds = C.owners(first), [], [], []
                 for mask in masks:
                     found = _masked(hashes, mask)
-                    slot = found & last
-                    some = np.flatnonzero(bits[slot >> C.U64(6)] >> (slot & C.U64(63)) & C.U64(1))
+                    some = np.flatnonzero(_is_set(bits, found, 0))
+                    for probe in range(1, PROBES):
+                        some = some[_is_set(bits, found[some], probe)]
                     some = some[owner[some] == owner[some + len(mask) - 1]]
                     at.append(some)
                     until.append(some + len(mask))
@@ -169,8 +193,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
     n = chunks.agg(F.sum(F.size("seeds"))).first()[0] or 0
     bits = min(MOST_BITS, max(1 << 16, 1 << (BITS_EACH * n).bit_length()))
     seeds = chunks.select("item", F.explode(F.arrays_zip("seeds", "places")).alias("x")).select("item", F.col("x.seeds").alias("seed"), F.col("x.places").alias("item_place"))
-    slots = seeds.select(F.col("seed").bitwiseAND(bits - 1).alias("slot"))
-    words = slots.groupBy(F.expr("slot div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 AS int))")).alias("bits")).toArrow()
+    words = chunks.select("seeds").mapInArrow(_set(bits), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     bitmap = np.zeros(bits // 64, C.U64)
     bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(C.U64)
     shared = spark.sparkContext.broadcast(bitmap)
