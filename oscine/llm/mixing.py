@@ -30,8 +30,9 @@ FEATURES, LEAST_SEEN, LEAST_APART = 1000, 2, 20.0
 PUNCTUATION = ".,;:!?()\"'#*$%&|<>"
 PASSES = 2  # partitions of the labelled rows while the classifier is fitted
 PENALTIES, TEMPERATURES = (0.002, 0.02), (0.5, 0.7, 1.0, 1.5, 2.0, 3.0)
-#: The gap to the goal, as a share of it, that counts as none; the least that a step must bring; rounds until it is an error.
-TOLERANCE, LEAST_GAIN, ROUNDS = 1e-4, 3e-3, 100
+#: The gap to the goal, as a share of it, that counts as none; the share of it that a step must bring; rounds until it is an error.
+TOLERANCE, LEAST_GAIN, ROUNDS = 1e-4, 1e-2, 200
+SCALES = (1.0, 1 / 4, 1 / 16)
 
 
 def _described(docs: DataFrame) -> DataFrame:
@@ -155,17 +156,19 @@ def rates(scored: DataFrame, goal: dict[str, float], most: float | None = None)
     """Adds rate, and gap: how far the expected tokens are from the goal, as a share of it. goal: tokens of each domain.
 
     Each round is one aggregation, to the domains' expected tokens and to the curvature over the documents whose rate is free to
-    move, which scales the gradient; a step that doesn't bring the totals closer is halved. A document's rate after a round
-    follows from the steps so far, which are a few numbers each, so that no round writes or shuffles documents. The rounds end
-    at the goal, or where no step brings the totals closer to it, which is as close as the rates' bounds allow."""
+    move, which scales the gradient; a step that doesn't help is tried again shorter, and at last as the gradient's own, by the largest
+    curvature of all documents, which never leads away from the goal. A document's rate after a round follows from the steps so far, which are a
+    few numbers each, so that no round writes or shuffles documents. The rounds end at the goal, or where a step of either kind
+    brings less than LEAST_GAIN of the gap."""
     k = len(DOMAINS)
     split = scored.withColumns({f"p{i}": F.element_at("p", i + 1) for i in range(k)})
     aim = np.array([goal.get(x, 0.0) for x in DOMAINS], float)
     if not aim.sum():
         return scored.withColumns({"rate": F.lit(0.0), "gap": F.lit(0.0)})
     steps: list[list[float]] = []
-    best: tuple[float, list[list[float]], np.ndarray] | None = None
-    tried, last = 1.0, None
+    best: tuple[float, list[list[float]]] | None = None
+    newton = plain = np.zeros(k)
+    tried = 0
     for _ in range(ROUNDS):
         free = (F.col("rate") > 0) if most is None else (F.col("rate") > 0) & (F.col("rate") < most)
         at = split.withColumn("rate", _rate(steps, most)).withColumn("free", F.when(free, F.col("tokens")).otherwise(0))
@@ -175,19 +178,17 @@ def rates(scored: DataFrame, goal: dict[str, float], most: float | None = None)
         got = np.array([x or 0.0 for x in at.agg(*[x.alias(f"s{i}") for i, x in enumerate(sums)]).first()], float)
         gap, curve, whole = got[:k] - aim, got[k : k + k * k].reshape(k, k), got[k + k * k :].reshape(k, k)
         size = float(np.linalg.norm(gap) / aim.sum())
-        if best is None or size < best[0]:
-            gained = best[0] - size if best is not None else 1.0
-            best, tried = (size, steps, gap), 1.0
-            if size <= TOLERANCE or gained < LEAST_GAIN * size:
-                break
+        gained = best[0] - size if best else 1.0
+        if gained > 0:
+            best = (size, steps)
             # documents at a bound may have to leave it, so that they keep a part in the curvature
             curve = curve + whole * 0.01 + np.eye(k) * max(whole.trace(), 1.0) * 1e-6
-            last = np.linalg.solve(curve, gap)
-        else:
-            tried /= 2
-            if tried < 0.05:
-                break
-        steps = [*best[1], (last * tried).tolist()]
+            newton, plain = np.linalg.solve(curve, gap), gap / max(np.linalg.eigvalsh(whole)[-1], 1.0)
+        helped = gained >= LEAST_GAIN * size
+        if size <= TOLERANCE or tried == len(SCALES) and not helped:
+            break
+        tried = 0 if helped else tried + 1
+        steps = [*best[1], (newton * SCALES[tried] if tried < len(SCALES) else plain).tolist()]
     else:
         raise RuntimeError(f"no rates after {ROUNDS} rounds: {best[0]} of the goal is left")
     return split.withColumns({"rate": _rate(best[1], most), "gap": F.lit(best[0])}).drop(*[f"p{i}" for i in range(k)])
