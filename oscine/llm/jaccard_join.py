@@ -390,7 +390,7 @@ def _met(sets: DataFrame, runs: range, similarity: float, small: int, planned: i
     edges, deeper, level = [], None, 2
     while True:
         whole = partitions == 1
-        ordered = nodes.coalesce(1).sortWithinPartitions("node", "key") if whole else nodes.repartitionByRange(partitions, "node", "key").sortWithinPartitions("node", "key")
+        ordered = nodes.repartition(1).sortWithinPartitions("node", "key") if whole else nodes.repartitionByRange(partitions, "node", "key").sortWithinPartitions("node", "key")
         found = [C.materialize(ordered.mapInArrow(_at_nodes(similarity, small, whole), _FOUND), "met")]
         if not whole:
             found += _border_nodes(found[0].where(F.col("kind") == _BORDER), similarity, small)
