@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oscine.llm import common as C
-from oscine.llm import decontamination, html_text, jaccard_join, line_dedup, mixing, quality, resharding, substring_dedup, suffix_dedup, token_counts
+from oscine.llm import centroids, decontamination, embedding_dedup, html_text, jaccard_join, line_dedup, mixing, prefix_trie, quality, resharding, substring_dedup, suffix_dedup, token_counts
 
 #: Production parameters of the mixing query: shares of the tokens of all documents.
 MIX_TARGETS = {"clean": 0.97, "low": 0.02, "toxic": 0.01}
@@ -61,6 +61,18 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(C.load(spark, sf_dir, "conversations"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.with_inertia(*centroids.cluster(C.load(spark, sf_dir, "embeddings")))
+
+
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_dedup(C.load(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -68,9 +80,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (pipeline, op1_html_text, op2_suffix_dedup, op3_substring_dedup, op4_token_counts, op5_mixing_sources, op6_jaccard_join, op7_line_dedup, op8_resharding, op9_decontamination, op10_quality_rules)
+    found = (pipeline, op1_html_text, op2_suffix_dedup, op3_substring_dedup, op4_token_counts, op5_mixing_sources, op6_jaccard_join, op7_line_dedup, op8_resharding, op9_decontamination, op10_quality_rules, op11_prefix_trie, op12_centroid_clustering, op13_embedding_dedup)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": line_dedup.ORACLE}
+    return {"op7_line_dedup": line_dedup.ORACLE, "op11_prefix_trie": prefix_trie.ORACLE, "op12_centroid_clustering": centroids.ORACLE, "op13_embedding_dedup": embedding_dedup.ORACLE}
