@@ -337,8 +337,9 @@ def _verified(similarity: float):
         x = _scaled(x)
         size = np.sqrt((x * x).sum(1))
         root, links = np.arange(n), np.zeros(n, np.int64)
+        one = table.column("lo")[0] == table.column("hi")[0]  # one part; of two, either may be without vectors
         left = np.flatnonzero(first)
-        right = left if first.all() else np.flatnonzero(~first)
+        right = left if one else np.flatnonzero(~first)
         for lo in range(0, len(left), 1024):
             rows = left[lo : lo + 1024]
             linked = (x[rows] @ x[right].T) / (size[rows][:, None] * size[right]) >= similarity
@@ -346,7 +347,7 @@ def _verified(similarity: float):
             i, j = rows[i], right[j]
             i, j = i[i != j], j[i != j]
             np.add.at(links, i, 1)
-            if not first.all():
+            if not one:
                 np.add.at(links, j, 1)
             _hook(root, i, j)
         ids = table.column("vec_id").to_pylist()
