@@ -7,15 +7,16 @@ in a row that share an anchor form a segment. The steps:
 1. Texts are dealt to batches by hash. Each batch counts its anchors and sends them to buckets, packed, one count for each.
 2. Buckets give back to each batch which of its anchors occur again anywhere.
 3. Batches send each distinct segment of those anchors, once, with the place of its first occurrence, to shards by anchor.
-   For an anchor that is very frequent, single windows go instead, by the hash of the window, so that no shard gets them all.
+   For an anchor that is very frequent, single windows go instead, by a hash of the window, so that no shard gets them all.
 4. Shards find which windows are equal (by the method of the operator) and where each occurs first, and tell each batch in
    which of its segments which windows occur earlier.
 5. Batches mark the units of those windows.
 
 All of it is one plan; the texts are shuffled once and that shuffle is read three times. What goes to a bucket or a shard is
 summed up within each batch first. Anchors only route; a false meeting of two of them costs time and changes nothing. Whole
-segments of an anchor that are equal are told by a pair of hashes of 64 bits, so that copies are settled before the index; the
-index decides between different segments."""
+segments of an anchor that are equal are told by the anchor's hash and one of the segment modulo primes, and single windows of a
+frequent anchor by two hashes that don't depend on each other (common.span_pairs), so that copies are settled before the
+index; the index decides between different segments."""
 
 from __future__ import annotations
 
@@ -126,8 +127,8 @@ def find(rule: Rule, column: pa.ChunkedArray, frequent: np.ndarray, wanted: Call
         single = _spread(start[often], windows[often])
         start, windows = np.concatenate([start[keep], single]), np.concatenate([windows[keep], np.ones(len(single), np.int64)])
         end = start + windows + rule.length - 1
-        c = C.span_hashes(codes, start, end)
-        h = np.concatenate([h[keep], C.mix(c[len(c) - len(single) :])])
+        other, c = C.span_pairs(codes, start, end)
+        h = np.concatenate([h[keep], C.mix(other[len(c) - len(single) :])])
         owner = np.searchsorted(first, start, "right") - 1
         source = codes if rule.words else buffer
         out.append(Found(owner + lo, start - first[owner], windows, h, c, start + before, source))
@@ -249,7 +250,7 @@ def _judge(rule: Rule):
         c = []
         for own, part in zip(windows, parts, strict=True):
             own_ends = np.cumsum(own.astype(np.int64) + rule.length - 1)
-            c.append(C.span_hashes(part if rule.words else C.byte_codes(part), own_ends - own - rule.length + 1, own_ends))
+            c.append(C.span_pairs(part if rule.words else C.byte_codes(part), own_ends - own - rule.length + 1, own_ends)[1])
         h, c, place, start, windows, units = map(np.concatenate, (h, c, place, start, windows, parts))
         ends = np.cumsum(windows.astype(np.int64) + rule.length - 1)
         begins = ends - windows - rule.length + 1

@@ -82,7 +82,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE_CODES = mix(np.arange(1, 257, dtype=U64) * U64(_MULTIPLIER))
-_powers: dict[str, np.ndarray] = {}
+_powers: dict[object, np.ndarray] = {}
 
 
 def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,12 +94,44 @@ def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of codes[start:end] that don't depend on where the span stands."""
+_PRIME = U64((1 << 31) - 1)
+_BASES = (1_103_515_245, 1_664_525_223)
+
+
+def _prime_tables(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo the prime."""
+    if len(_powers.get((base, 1), ())) < n:
+        for sign in (1, -1):
+            table = np.ones(1, U64)
+            while len(table) < max(n, 1 << 16):
+                table = np.concatenate([table, table * U64(pow(base, sign * len(table), int(_PRIME))) % _PRIME])
+            _powers[base, sign] = table
+    return _powers[base, 1], _powers[base, -1]
+
+
+def span_pairs(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of codes[start:end] that don't depend on where the span stands, nor on each other: a polynomial modulo 2^64, and
+    two modulo a prime, of 31 bits each. What collides for certain in the first, as long words of two letters in a
+    certain order do, doesn't in the second."""
     up, down = _power_table(len(codes) + 1)
     sums = np.zeros(len(codes) + 1, U64)
     np.cumsum(codes * up[: len(codes)], dtype=U64, out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
+    size = (ends - starts).astype(U64)
+    first = mix((sums[ends] - sums[starts]) * down[starts] + size)
+    second = size << U64(1)
+    for base, part in zip(_BASES, (codes & _PRIME, codes >> U64(33)), strict=True):
+        up, down = _prime_tables(len(codes) + 1, base)
+        part *= up[: len(codes)]
+        part = (part & _PRIME) + (part >> U64(31))  # below 2^32, so that sums of 2^31 codes fit
+        np.cumsum(part, dtype=U64, out=sums[1:])
+        second = mix(second ^ ((sums[ends] - sums[starts]) % _PRIME * down[starts] % _PRIME))
+    return first, second
+
+
+def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of codes[start:end], made from both hashes of the pair."""
+    first, second = span_pairs(codes, starts, ends)
+    return mix(first ^ second)
 
 
 def gram_hashes(codes: np.ndarray, k: int) -> np.ndarray:

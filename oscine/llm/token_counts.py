@@ -64,7 +64,7 @@ class Pieces:
             raise ValueError(f"a vocabulary has 1 to {MOST_PIECES} pieces, not {len(pieces)}")
         sizes = np.array(list(map(len, pieces)))
         ends = np.cumsum(sizes)
-        hashes = C.span_hashes(_codes(_points("".join(pieces))), ends - sizes, ends)
+        hashes = C.span_pairs(_codes(_points("".join(pieces))), ends - sizes, ends)[0]  # what _last_pieces builds, character by character
         order = np.argsort(hashes)
         self.hashes, self.scores = hashes[order], np.asarray(scores, float)[order]
         self.longest, self.unknown = int(sizes.max()), float(self.scores.min()) - UNKNOWN_PENALTY

@@ -728,3 +728,20 @@ def test_stages_do_what_the_operators_say(spark):
     kept = P.sharding_stage(spark, docs.withColumn("shard", F.lit(99)), folder)
     assert ids(kept) == everything and set(kept.columns) == {*docs.columns, "shard", "slot"}
     assert kept.groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("top"), F.count_distinct("slot").alias("d")).where("top <> n - 1 OR d <> n OR shard = 99").count() == 0
+
+
+def _swapped(n, a, b):
+    """Letters in the order whose sums of powers cancel modulo 2^64 when a and b change places."""
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_long_words_of_two_letters_differ(spark):
+    one, other = _swapped(2048, "a", "b"), _swapped(2048, "b", "a")
+    words = [f"w{i}" for i in range(30)]
+    rows = [(1, " ".join([*words[:20], one, *words[20:]])), (2, " ".join([*words[:20], other, *words[20:]]))]
+    found = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.n_removed for r in found] == [0, 20]
+    found = suffix_dedup.suffix_dedup(spark.createDataFrame([(1, one), (2, other)], "doc_id long, text string"), 2048).collect()
+    assert [r.n_removed for r in found] == [0, 0]
+    lines = spark.createDataFrame([(1, f"{one}\n{other}\n{one}")], "doc_id long, text string")
+    assert quality.quality_rules(lines).first().n_dup_lines == 1
