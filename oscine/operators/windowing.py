@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -83,34 +84,62 @@ def numbered(rows: DataFrame, keys: list[str], block: str, order: list[str], nam
     return placed.withColumn(name, F.col("__base") + F.col("__place")).drop("__base", "__place")
 
 
-def dead_time(events: DataFrame, keys: list[str], time: str, least: float, block: str) -> DataFrame:
-    """The events that remain if one is dropped that comes less than least after the last one kept. An event that comes so long
-    after the one before is always kept, so that it begins an island whose events don't depend on others; islands are worked on
-    apart, each as a stream of sorted times of which only the last one kept is remembered. block rises with time."""
-    rows = previous(events.select(*keys, time, block), keys, block, [time], time, "__last")
-    begins = F.when(F.col("__last").isNull() | (F.col(time) - F.col("__last") >= least), F.col(time))
-    rows = rows.withColumn("__begins", begins)
+def islands(events: DataFrame, keys: list[str], time: str, least: float, block: str) -> DataFrame:
+    """Adds begins and island to events: one that comes least or more after the one before begins an island, which is known by
+    the time of its first. What lies in one island doesn't depend on others. block rises with time."""
+    rows = previous(events, keys, block, [time], time, "__last")
+    begins = F.col("__last").isNull() | (F.col(time) - F.col("__last") >= least)
+    rows = rows.withColumn("begins", begins).drop("__last").withColumn("__begins", F.when(F.col("begins"), F.col(time)))
     inside = Window.partitionBy(*keys, block).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
     ends = rows.groupBy(*keys, block).agg(F.max("__begins").alias("__end"))
     before = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.select(*keys, block, F.max("__end").over(before).alias("__carried"))
-    rows = rows.join(ends, [*keys, block]).withColumn("__island", F.coalesce(F.max("__begins").over(inside), "__carried"))
-    names = [*keys, "__island", time]
-    ordered = rows.select(names).repartition(*keys, "__island").sortWithinPartitions(names)
-    return ordered.mapInArrow(_thinned(len(keys), least), ordered.select(*keys, time).schema)
+    rows = rows.join(ends, [*keys, block]).withColumn("island", F.coalesce(F.max("__begins").over(inside), "__carried"))
+    return rows.drop("__begins", "__carried")
 
 
-def _thinned(n_keys: int, least: float):
+def dead_time(events: DataFrame, keys: list[str], time: str, least: float, block: str) -> DataFrame:
+    """The events that remain if one is dropped that comes less than least after the last one kept. Islands are worked on apart,
+    each as a stream of sorted times of which only the last one kept is remembered. block rises with time."""
+    rows = islands(events.select(*keys, time, block), keys, time, least, block)
+    ordered = rows.select(*keys, time, "island", "begins").repartition(*keys, "island").sortWithinPartitions(*keys, "island", time, F.desc("begins"))
+    return ordered.mapInArrow(_thinned(time, least), ordered.select(*keys, time).schema)
+
+
+def greedy(times: np.ndarray, begins: np.ndarray, least: float, kept_at: float | None) -> np.ndarray:
+    """Which of sorted times are kept: the first of an island always, others if they come least or more after the last one kept.
+    kept_at: the last one kept before, for an island that began before. Islands of one need no step, others one for each kept."""
+    kept = begins.copy()
+    heads = np.flatnonzero(begins)
+    edges = np.append(heads, len(times))
+    many = np.diff(edges) > 1
+    long = list(zip(heads[many].tolist(), edges[1:][many].tolist(), strict=True))
+    if edges[0] > 0:
+        long.insert(0, (-1, int(edges[0])))
+    for a, b in long:
+        last = times[a] if a >= 0 else kept_at
+        i = a + 1
+        while i < b:
+            i += int(np.searchsorted(times[i:b], last + least))
+            while i > a + 1 and times[i - 1] - last >= least:  # the sum may be rounded up
+                i -= 1
+            while i < b and times[i] - last < least:
+                i += 1
+            if i < b:
+                kept[i], last = True, times[i]
+                i += 1
+    return kept
+
+
+def _thinned(time: str, least: float):
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        island, kept_at = None, None
+        last = None
         for batch in batches:
-            labels = list(zip(*[batch.column(k).to_pylist() for k in range(n_keys + 1)], strict=True))
-            times, kept, i = batch.column(n_keys + 1).to_numpy(), [], 0
-            while i < len(times):
-                if labels[i] != island or times[i] - kept_at >= least:
-                    island, kept_at = labels[i], times[i]
-                    kept.append(i)
-                i += 1
-            yield batch.take(pa.array(kept, pa.int64())).select([*range(n_keys), n_keys + 1])
+            if not batch.num_rows:
+                continue
+            times = batch.column(time).to_numpy()
+            kept = np.flatnonzero(greedy(times, np.asarray(batch.column("begins")), least, last))
+            last = times[kept[-1]] if len(kept) else last
+            yield batch.take(pa.array(kept)).select([x for x in batch.schema.names if x not in ("island", "begins")])
 
     return thin

@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from oscine.functions import scalars as S
 from oscine.operators import detection as D
-from oscine.operators.windowing import numbered
+from oscine.operators.windowing import islands, numbered
+from oscine.sources import byteranges
 
 SIZE, CHANNELS, MAGIC, VERSION = 256, 64, 0xA55A, 1
+SYNC = MAGIC.to_bytes(2, "big")
 FIELDS = {"magic": (0, 2), "version": (2, 1), "status_raw": (3, 1), "frame_id": (4, 4), "timestamp": (8, 4), "channel_count": (12, 2), "rate_code": (14, 2)}
 AUX_AT, DIAGNOSTICS_AT, RESERVED_AT, RESERVED_SIZE, CRC_AT = 144, 150, 166, 88, 254
 DIAGNOSTICS = ("fifo_fill", "drop_count", "stall_count", "spi_err_count")
@@ -82,27 +84,45 @@ def decode(records: DataFrame, raw: str = "raw", strict: bool = False) -> DataFr
     return df
 
 
-def _synced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records of whole files: from sync word to sync word where bytes are out of step. A file's bytes depend on those before,
-    so that a file is the unit of work."""
+def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records from sync words that stand close together, in order within each island: one begins a record if it comes a whole
+    record after the one that began the last, and what stands between belongs to that."""
+    source = begin = None
+    held, out = b"", []
     for batch in batches:
-        for source, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            at, places = content.find(b"\xa5\x5a"), []
-            while 0 <= at <= len(content) - SIZE:
-                places.append(at)
-                at = content.find(b"\xa5\x5a", at + SIZE)
-            yield pa.RecordBatch.from_pydict({"source": pa.array([source] * len(places), pa.string()), "pos": pa.array(places, pa.int64()), "raw": pa.array([content[p : p + SIZE] for p in places], pa.binary())})
+        for of, at, first, data in zip(*(batch.column(k).to_pylist() for k in ("source", "at", "begins", "data")), strict=True):
+            if first or of != source or at - begin >= SIZE:
+                source, begin, held = of, at, b""
+            elif at - begin != len(held):
+                continue  # the record is whole
+            held += SYNC + data[:SIZE]
+            if len(held) >= SIZE:
+                out.append((source, begin, held[:SIZE]))
+                held = held[:SIZE]
+        if out:
+            yield pa.record_batch([pa.array(v, k) for v, k in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.binary()), strict=True)], ["source", "pos", "raw"])
+            out = []
 
 
 def read(spark: SparkSession, path: str, aligned: bool = False) -> DataFrame:
-    """source, pos, raw of the records of capture files. aligned: files are whole records from the first byte, and are cut by
-    Spark's own functions."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("source"), "content")
-    if not aligned:
-        return files.mapInArrow(_synced, "source string, pos long, raw binary")
-    starts = F.sequence(F.lit(0), F.length("content") - SIZE, F.lit(SIZE))
-    cut = files.where(F.length("content") >= SIZE).select("source", "content", F.explode(starts).alias("pos"))
-    return cut.select("source", F.col("pos").cast("long"), F.expr(f"substring(content, pos + 1, {SIZE})").alias("raw"))
+    """source, pos, raw of the records of capture files of any size: from sync word to sync word where bytes are out of step. A
+    file is read in splits, each of which finds its own sync words. A sync word with a record's room before and behind it begins one;
+    only those that stand closer are sorted, and settled in order. aligned: files are whole records from the first byte, and are
+    cut by Spark's own functions, a file at a time."""
+    if aligned:
+        files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("source"), "content")
+        starts = F.sequence(F.lit(0), F.length("content") - SIZE, F.lit(SIZE))
+        cut = files.where(F.length("content") >= SIZE).select("source", "content", F.explode(starts).alias("pos"))
+        return cut.select("source", F.col("pos").cast("long"), F.expr(f"substring(content, pos + 1, {SIZE})").alias("raw"))
+    found = byteranges.pieces(spark, path, SYNC).where("pos > 0")  # the first piece of a file has no sync word before it
+    rest = SIZE - len(SYNC)
+    # the first sync word has no other before it, wherever it stands
+    alone = (F.col("before").isNull() | (F.col("before") >= rest) | (F.col("before") + len(SYNC) == F.col("pos"))) & (F.length("data") >= rest)
+    easy = found.where(alone).select("source", (F.col("pos") - len(SYNC)).alias("pos"), F.concat(F.lit(bytearray(SYNC)), F.substring("data", 1, rest)).alias("raw"))
+    close = found.where(~alone).select("source", (F.col("pos") - len(SYNC)).alias("at"), "data").withColumn("block", F.floor(F.col("at") / (SIZE << 12)))
+    grouped = islands(close, ["source"], "at", SIZE, "block").select("source", "at", "begins", "island", "data")
+    hard = grouped.repartition("source", "island").sortWithinPartitions("source", "island", "at").mapInArrow(_assembled, "source string, pos long, raw binary")
+    return easy.union(hard)
 
 
 def build(rows: DataFrame, frame_id: str = "frame_id", timestamp: str = "timestamp", adc: str = "adc", status: int = 0) -> DataFrame:

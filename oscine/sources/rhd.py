@@ -3,6 +3,7 @@ record type for all of them. Fixed values, from the file format: the magic numbe
 
 from __future__ import annotations
 
+import json
 import struct
 from collections.abc import Iterator
 
@@ -11,8 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from oscine.sources import byteranges
+
 MAGIC = 0xC6912702
 STEP_UV, ZERO = 0.195, 32768
+#: Where files are broken into pieces; any byte would do.
+SEPARATOR = b"\n"
 KINDS = ("amplifier", "aux", "supply", "adc", "digital_in", "digital_out")
 #: Header fields before the notes, and those of a group and a channel.
 FIXED, GROUP, CHANNEL = "<hhfhffffffhff", "<hhh", "<hhhhhhhhhhff"
@@ -67,26 +72,42 @@ def block_type(h: dict) -> np.dtype:
     return np.dtype(fields)
 
 
+#: Bytes at the beginning of a file among which the header must be.
+HEADER_BYTES = 4 << 20
+
+
+def _headers(table: pa.Table) -> pa.Table:
+    """What the blocks are like, from the first pieces of a file."""
+    table = table.sort_by("pos")
+    data = SEPARATOR.join(table.column("data").to_pylist())
+    h = header(data)
+    return pa.table({"source": table.column("source").slice(0, 1), "begin": [h["begin"]], "size": pa.array([block_type(h).itemsize], pa.int32()), "about": [json.dumps(h)]})
+
+
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks as rows, one for each channel."""
+    known: dict[str, tuple[dict, np.dtype]] = {}
     for batch in batches:
-        for source, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            h = header(data)
-            kind = block_type(h)
-            blocks = np.frombuffer(data, kind, (len(data) - h["begin"]) // kind.itemsize, h["begin"])
+        for source, about, b, data in zip(*(batch.column(k).to_pylist() for k in ("source", "about", "block", "data")), strict=True):
+            if about not in known:
+                h = json.loads(about)
+                known[about] = h, block_type(h)
+            h, kind = known[about]
+            uv = STEP_UV * (np.frombuffer(data, kind)[0]["amplifier"].astype(np.float64) - ZERO)
             names = h["channels"]["amplifier"]
-            for b, block in enumerate(blocks):
-                uv = STEP_UV * (block["amplifier"].astype(np.float64) - ZERO)
-                n = len(names)
-                yield pa.RecordBatch.from_pydict({
-                    "source": [source] * n, "fs": [h["fs"]] * n, "channel": pa.array(range(n), pa.int32()), "name": names, "block_idx": pa.array([b] * n, pa.int64()),
-                    "start_idx": pa.array([b * h["samples"]] * n, pa.int64()), "uv": pa.array(list(uv), pa.list_(pa.float64())),
-                })
+            n = len(names)
+            yield pa.RecordBatch.from_pydict({
+                "source": [source] * n, "fs": [h["fs"]] * n, "channel": pa.array(range(n), pa.int32()), "name": pa.array(names, pa.string()), "block_idx": pa.array([b] * n, pa.int64()),
+                "start_idx": pa.array([b * h["samples"]] * n, pa.int64()), "uv": pa.array(list(uv), pa.list_(pa.float64())),
+            })
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each channel and block of the files; a file is the unit of work."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path"), "content")
-    return files.mapInArrow(_parsed, SCHEMA)
+    """One row for each channel and block of the files. Files are read in splits of any size, and a block is put together from
+    what its splits have of it; only the header, of HEADER_BYTES at most, is looked at as a whole."""
+    pieces = byteranges.pieces(spark, path, SEPARATOR)
+    headers = pieces.where(F.col("pos") < HEADER_BYTES).select("source", "pos", F.substring("data", 1, HEADER_BYTES).alias("data")).groupBy("source").applyInArrow(_headers, "source string, begin long, size int, about string")
+    return byteranges.blocks(pieces.join(headers, "source"), "begin", "size", ["about"], SEPARATOR).mapInArrow(_parsed, SCHEMA)
 
 
 def recording(spark: SparkSession, path: str) -> DataFrame:

@@ -1,11 +1,13 @@
 """Readers and writers on small files."""
 
 import json
+import struct
 
+import numpy as np
 import pytest
 
 from oscine.operators import relational
-from oscine.sources import frames, reports, sinks, synthetic
+from oscine.sources import frames, reports, rhd, sinks, synthetic
 from oscine.streaming import detector
 
 REPORT = """** Drc report for x **
@@ -232,3 +234,73 @@ def test_trial_sheet_and_saved_models(spark, tmp_path):
     assert [r.fpr for r in evaluation.with_holdout(shifts, held, ["model"], "fpr").orderBy("model", "shift").collect()] == [0.1, 0.1, 0.7]
     trials = spark.createDataFrame([("dose", "low"), ("dose", "high"), ("baseline", "")], "perturbation string, level string")
     assert (evaluation.of_trials(trials, "dose").count(), evaluation.of_trials(trials, "dose", "low").count()) == (2, 1)
+
+
+SPLITS = [(700, None), (256, None), (4096, None), (100_000, None), (300, 2)]
+
+
+@pytest.fixture()
+def splits(spark, request):
+    """Files are read in splits of so many bytes."""
+    size, _ = request.param
+    names = {"spark.sql.files.maxPartitionBytes": str(size), "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield size
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _captures():
+    rng = np.random.default_rng(4)
+    record = lambda: b"\xa5\x5a" + rng.integers(0, 256, 254).astype(np.uint8).tobytes()
+    plain = b"".join(record() for _ in range(40))
+    sync = b"\xa5\x5a"
+    return {
+        "plain": plain, "junk": b"\x00\xa5junk" + plain[:2560] + b"\n\xa5\xa5" + plain[2560:] + plain[:100], "inside": b"".join(sync + (rng.integers(0, 256, 100).astype(np.uint8).tobytes() + sync) * 2 + bytes(50) for _ in range(30)),
+        "dense": sync * 2000, "edge": b"x" + (sync + bytes(252) + sync) * 20 + sync, "none": b"nothing here\r\n" * 50, "empty": b"", "short": sync + bytes(253), "ends": plain[:512] + sync,
+        "mixed": b"".join([sync, b"\xa5", b"\x5a", bytes(90), b"abc"][rng.integers(5)] for _ in range(1500)),
+    }
+
+
+@pytest.mark.parametrize("splits", SPLITS, indirect=True)
+def test_captures_in_splits(spark, tmp_path, splits):
+    """Every file gives the records of the reader that sees it whole, at the same places, however it is split."""
+    want = set()
+    for name, content in _captures().items():
+        (tmp_path / f"{name}.bin").write_bytes(content)
+        at = content.find(b"\xa5\x5a")
+        while 0 <= at <= len(content) - 256:
+            want.add((name, at, content[at : at + 256]))
+            at = content.find(b"\xa5\x5a", at + 256)
+    df = frames.read(spark, str(tmp_path))
+    found = df.collect()
+    assert {(r.source.rsplit("/", 1)[1][:-4], r.pos, bytes(r.raw)) for r in found} == want and len(found) == len(want)
+    if splits < 1000:
+        from oscine.sources import byteranges
+
+        assert byteranges.pieces(spark, str(tmp_path / "plain.bin"), b"\xa5\x5a").rdd.getNumPartitions() > 10
+
+
+@pytest.mark.parametrize("splits", SPLITS, indirect=True)
+def test_rhd_in_splits(spark, tmp_path, splits):
+    def text(x):
+        return struct.pack("<I", 2 * len(x)) + x.encode("utf-16-le") if x else struct.pack("<I", 0xFFFFFFFF)
+
+    def write(name, channels, blocks, tail):
+        head = struct.pack("<I", rhd.MAGIC) + struct.pack(rhd.FIXED, 2, 0, 20000.0, *[0] * 10) + text("") * 3 + struct.pack("<hh", 0, 0) + text("") + struct.pack("<h", 1)
+        head += text("Port A") + text("A") + struct.pack(rhd.GROUP, 1, channels, channels)
+        for i in range(channels):
+            head += text(f"A-{i}") + text("") + struct.pack(rhd.CHANNEL, 0, 0, 0, 1, *[0] * 8)
+        rng = np.random.default_rng(channels)
+        codes = rng.integers(0, 65536, (blocks, channels, 128)).astype("<u2")
+        codes[: blocks // 2] = 0x0A0A  # nothing but separators
+        body = b"".join(np.arange(b * 128, (b + 1) * 128, dtype="<i4").tobytes() + codes[b].tobytes() for b in range(blocks))
+        (tmp_path / name).write_bytes(head + body + tail)
+        return {(name, c, b, b * 128, tuple(0.195 * (codes[b, c].astype(float) - 32768))) for b in range(blocks) for c in range(channels)}
+
+    size = 128 * 4 + 2 * 128 * 2
+    want = write("a.rhd", 2, 5, b"") | write("b.rhd", 3, 4, b"\n" * 7) | write("c.rhd", 2, 3, b"\0" * (size - 1)) | write("d.rhd", 1, 0, b"")
+    found = rhd.read(spark, str(tmp_path)).collect()
+    assert {(r.source.rsplit("/", 1)[1], r.channel, r.block_idx, r.start_idx, tuple(r.uv)) for r in found} == want and len(found) == len(want)
