@@ -57,6 +57,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted column names, each with a number behind it where a table has one of that name (in any case) already."""
+    taken = {c.lower() for c in columns}
+    return [next(n for n in (w, *(f"{w}{k}" for k in range(len(columns) + 1))) if n.lower() not in taken) for w in wanted]
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Bytes of all texts, to size partitions by."""
     return int(docs.agg(F.sum(F.octet_length(column))).first()[0] or 0)

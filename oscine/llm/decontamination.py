@@ -212,7 +212,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
 def with_overlaps(docs: DataFrame, benchmark: DataFrame, column: str, text: str = "text", item_id: str = "item_id", item_text: str = "text", least_tokens: int = LEAST_TOKENS) -> DataFrame:
     """Adds a column with the ids of the benchmark items that each row's text overlaps, in order. The texts that overlap
     something are few; where they fit Spark's limit for a broadcast join, the documents aren't shuffled."""
-    found = overlaps(docs, benchmark, text, item_id, item_text, least_tokens).select(F.col("own").alias("__own"), F.col("own2").alias("__own2"), F.col("items").alias("__items"))
-    keys = (F.xxhash64(docs[text]) == found["__own"]) & (F.xxhash64(F.lit("again"), docs[text]) == found["__own2"])
-    items = F.coalesce("__items", F.array().cast("array<long>")).alias(column)
-    return docs.join(found, keys, "left").select(*[docs[f"`{c}`"] for c in docs.columns if c != column], items)
+    own, again, ids = C.free_names(docs.columns, "__own", "__own2", "__items")
+    found = overlaps(docs, benchmark, text, item_id, item_text, least_tokens).select(F.col("own").alias(own), F.col("own2").alias(again), F.col("items").alias(ids))
+    keys = (F.xxhash64(F.col(f"`{text}`")) == F.col(own)) & (F.xxhash64(F.lit("again"), F.col(f"`{text}`")) == F.col(again))
+    items = F.coalesce(ids, F.array().cast("array<long>")).alias(column)
+    return docs.join(found, keys, "left").select(*[F.col(f"`{c}`") for c in docs.columns if c != column], items)

@@ -745,3 +745,23 @@ def test_long_words_of_two_letters_differ(spark):
     assert [r.n_removed for r in found] == [0, 0]
     lines = spark.createDataFrame([(1, f"{one}\n{other}\n{one}")], "doc_id long, text string")
     assert quality.quality_rules(lines).first().n_dup_lines == 1
+
+
+def test_pipeline_keeps_columns_of_its_own_names(spark, tmp_path):
+    P = pytest.importorskip("corpus_pipeline")
+    names = ["__row", "__own", "__n", "__items", "__own2", "__found", "__votes0", "unit", "home", "block", "copies", "own", "row", "n", "class_id"]
+    rng = random.Random(9)
+    vocabulary = _vocabulary(rng, 400)
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(60)), *[f"{n}{i}" for n in names]) for i in range(30)]
+    rows += [(3, rows[3][1], *["again"] * len(names)), (3, rows[3][1], *["Again"] * len(names))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    for table, schema, values in (("benchmark", "item_id long, text string", [(1, "no such words")]), ("labels", "doc_id long, quality int, toxic int", [(i, 1, 0) for i in range(30)])):
+        spark.createDataFrame(values, schema).write.parquet(str(tmp_path / f"{table}.parquet"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in P.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", *names]
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+    out = P.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in out) == list(range(30))
+    assert all(r[n] == f"{n}{r.doc_id}" for r in out for n in names if r.doc_id != 3) and {r["__n"] for r in out if r.doc_id == 3} <= {"Again", "again", "__n3"}
