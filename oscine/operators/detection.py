@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from oscine.operators.windowing import previous
+from oscine.operators.windowing import dead_time, previous
 
 
 def baseline_z(trace: DataFrame, keys: list[str], order: str, value: str, baseline: int, name: str = "z") -> DataFrame:
@@ -56,6 +56,23 @@ def latched(trace: DataFrame, keys: list[str], order: str, stat: str, threshold:
     return marked.where((F.col("__event") == 1) & (F.coalesce("__last", F.lit(0)) != 1)).drop("__event", "__last")
 
 
+def sweep(trace: DataFrame, keys: list[str], order: str, stat: str, thresholds: list[float], cooldowns: list[int], block: int = 65536) -> DataFrame:
+    """Alerts of every threshold and cooldown, as rows: keys, threshold, cooldown, order, stat. The trace is computed once and met
+    by each threshold; a cooldown thins a threshold's latched alerts."""
+    grid = F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))
+    every = trace.select(*keys, order, stat, grid.alias("threshold"))
+    event = F.when(F.col(stat) > F.col("threshold"), 1).when(F.col(stat) <= 0.5 * F.col("threshold"), 0)
+    before = Window.partitionBy(*keys, "threshold").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    marked = every.withColumn("__event", event).withColumn("__last", F.last("__event", ignorenulls=True).over(before))
+    alerts = marked.where((F.col("__event") == 1) & (F.coalesce("__last", F.lit(0)) != 1)).drop("__event", "__last")
+    out = None
+    for c in cooldowns:
+        kept = dead_time(alerts.withColumn("__block", F.floor(F.col(order) / block)), [*keys, "threshold"], order, c, "__block") if c > 0 else alerts.select(*keys, "threshold", order)
+        part = kept.withColumn("cooldown", F.lit(c).cast("long"))
+        out = part if out is None else out.union(part)
+    return out.join(alerts, [*keys, "threshold", order]).select(*keys, "threshold", "cooldown", order, stat)
+
+
 def confirmed(trace: DataFrame, keys: list[str], order: str, p: str, valid: Column, k: int, n: int, least: float) -> DataFrame:
     """Adds confirmed: k of the next n windows, this one included, are valid and have p of at least least; and last_p, the last
     valid p among them."""

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oscine.operators import dsp, learning, scratch, spectral
+from oscine.operators import detection, dsp, learning, scratch, spectral
 from oscine.operators import statistics as T
 from oscine.operators import windowing as W
 from oscine.plans.base import DAILY_SQL, START, rounded, samples, seconds, table
 from oscine.sources import frames, synthetic
 from oscine.streaming import detector
+from oscine.streaming import sweep as sweeps
 
 #: Samples a day, and samples of a block.
 FS, SIZE = 24.0, 120
@@ -163,11 +164,54 @@ def streaming_counters(spark, sf_dir):
     return found.groupBy("device").agg(F.max("seen").alias("seen"), F.max("bad").alias("bad"), F.max_by("dropped", "seen").alias("dropped"))  # gaps may fill later
 
 
+THRESHOLDS, COOLDOWNS = (1.0, 2.0, 3.0, 5.0), (0, 3, 7)
+
+
+def streaming_sweep(spark, sf_dir):
+    """Alerts of a grid of thresholds and cooldowns on a stream whose files hold windows in no order."""
+    daily = W.tumbling(samples(spark, sf_dir), ["channel"], "day", rms=W.rms("uv"))
+    rows = daily.select("channel", F.col("day").alias("window_idx"), F.timestamp_seconds((F.col("day") + 1) * 86400).alias("end"), "rms").repartition(3, F.xxhash64("channel", "window_idx"))
+    sweeps.rocksdb(spark)
+    found = _streamed(spark, rows, lambda s: sweeps.sweep(s, "channel", THRESHOLDS, COOLDOWNS, 8, 0.5, "400 days"), "append")
+    return rounded(found.select("channel", "threshold", "cooldown", F.col("window_idx").alias("day"), "statistic"), "statistic")
+
+
+def batch_sweep(spark, sf_dir):
+    """The same grid over the whole trace."""
+    daily = W.tumbling(samples(spark, sf_dir), ["channel"], "day", rms=W.rms("uv"))
+    scored = detection.baseline_z(daily, ["channel"], "day", "rms", 8).where("day >= 8").withColumn("day", F.col("day") - 7)
+    trace = detection.cusum(scored, ["channel"], "day", 0.5).withColumn("day", F.col("day") + 7)
+    return rounded(detection.sweep(trace, ["channel"], "day", "cusum", THRESHOLDS, COOLDOWNS).withColumnRenamed("cusum", "statistic"), "statistic")
+
+
+def bounded_counters(spark, sf_dir):
+    """Counts of each device's frames with gaps settled after 2,000 numbers."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("device"), F.col("event_id").alias("frame_id"), (F.col("event_id") % 50 != 1).alias("crc_valid"))
+    sweeps.rocksdb(spark)
+    found = _streamed(spark, rows, lambda s: sweeps.bounded_counters(s, "device", 2000), "update", "frame_id")
+    return found.groupBy("device").agg(F.max("seen").alias("seen"), F.max("bad").alias("bad"), F.max_by("dropped", "seen").alias("dropped"), F.max("late").alias("late"))
+
+
 QUERIES = {f.__name__: f for f in (
     frame_roundtrip, synthetic_recording, disturbances, highpass_rms, bandpass_crosstalk, welch_features, resample_error, cause_classifier, bootstrap_ci, signed_rank,
-    streaming_rms, streaming_cusum, streaming_counters,
+    streaming_rms, streaming_cusum, streaming_counters, streaming_sweep, batch_sweep, bounded_counters,
 )}
+#: The CUSUM window by window, each threshold's latch, and each cooldown, as one recursion over days.
+_SWEEP = f"""WITH RECURSIVE {DAILY_SQL}, b AS (SELECT channel, avg(rms) AS mean, stddev_pop(rms) AS spread FROM daily WHERE day < 8 GROUP BY 1),
+    z AS (SELECT channel, row_number() OVER (PARTITION BY channel ORDER BY day) AS k, day, CASE WHEN spread >= 1e-15 THEN (rms - mean) / spread ELSE 0 END AS z FROM daily JOIN b USING (channel) WHERE day >= 8),
+    g(threshold, cooldown) AS (SELECT t::DOUBLE, c::BIGINT FROM (VALUES (1), (2), (3), (5)) x(t), (VALUES (0), (3), (7)) y(c)),
+    run AS (SELECT DISTINCT channel, threshold, cooldown, 0::BIGINT AS k, -1::BIGINT AS day, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down, TRUE AS armed, NULL::BIGINT AS last, FALSE AS fired FROM z, g
+      UNION ALL SELECT channel, threshold, cooldown, k, day, up, down, CASE WHEN top <= threshold / 2 THEN TRUE WHEN armed AND top > threshold THEN FALSE ELSE armed END,
+        CASE WHEN ok THEN day ELSE last END, ok FROM (SELECT *, armed AND top > threshold AND (last IS NULL OR day - last >= cooldown) AS ok FROM (SELECT *, greatest(up, down) AS top FROM
+        (SELECT r.channel, r.threshold, r.cooldown, z.k, z.day, greatest(0, r.up + z.z - 0.5) AS up, greatest(0, r.down - z.z - 0.5) AS down, r.armed, r.last FROM run r JOIN z ON z.channel = r.channel AND z.k = r.k + 1))))
+    SELECT channel, threshold, cooldown, day, round(greatest(up, down), 6) AS statistic FROM run WHERE fired"""
 SQL = {
+    "streaming_sweep": _SWEEP,
+    "batch_sweep": _SWEEP,
+    "bounded_counters": """WITH f AS (SELECT event_type AS device, event_id, event_id % 50 <> 1 AS good FROM events),
+        g AS (SELECT device, event_id - lag(event_id) OVER (PARTITION BY device ORDER BY event_id) - 1 AS gap FROM f WHERE good),
+        d AS (SELECT device, CAST(sum(greatest(gap, 0)) AS BIGINT) AS dropped FROM g GROUP BY 1)
+        SELECT device, count(*) AS seen, count(*) FILTER (NOT good) AS bad, any_value(dropped) AS dropped, 0::BIGINT AS late FROM f JOIN d USING (device) GROUP BY 1""",
     # the last day stays open, as no later event closes it
     "streaming_rms": f"WITH {DAILY_SQL} SELECT channel, day, n, round(rms, 6) AS rms FROM daily WHERE day < (SELECT max(day) FROM daily)",
     "streaming_counters": """WITH f AS (SELECT event_type AS device, event_id, event_id % 50 <> 1 AS good FROM events),
