@@ -1,11 +1,12 @@
-"""A bring-up suite over the line items: a supplier's deliveries are a run, a line is a measurement."""
+"""What users may add by name: rules of a bring-up suite over the line items (a supplier's deliveries are a run, a line is a
+measurement), and statistics of the event channels."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from oscine.operators import bringup
-from oscine.plans.base import table
+from oscine.operators import bringup, resampling
+from oscine.plans.base import SAMPLES_SQL, rounded, samples, table
 
 CHANNELS = tuple(f"CH{n}" for n in range(9, 30))
 
@@ -48,5 +49,20 @@ def _sql() -> str:
     return f"WITH {sheet}, v AS ({' UNION ALL '.join(parts)}) SELECT file, rule, level, count(*) AS n, min(item) AS first_item, min(row) AS first_row FROM v GROUP BY 1, 2, 3"
 
 
-SQL = {"bringup_suite": _sql()}
-QUERIES = {"bringup_suite": bringup_suite}
+def named_statistics(spark, sf_dir):
+    """Median, trimmed mean and spread of each channel's days, by statistics registered by name."""
+    found = resampling.grouped(samples(spark, sf_dir), ["channel", "day"], "uv", "median", "trimmed_mean", "std")
+    return rounded(found, "median", "trimmed_mean", "std")
+
+
+def bootstrap_median(spark, sf_dir):
+    """Median of each channel with its interval from 200 resamples of little bags."""
+    return rounded(resampling.bootstrap(samples(spark, sf_dir), ["channel"], "uv", ["event_id"], "median", 200), "estimate", "low", "high")
+
+
+SQL = {
+    "bringup_suite": _sql(),
+    "named_statistics": f"""WITH {SAMPLES_SQL}, r AS (SELECT channel, day, uv, row_number() OVER (PARTITION BY channel, day ORDER BY uv) - 1 AS i, count(*) OVER (PARTITION BY channel, day) AS n FROM samples)
+        SELECT channel, day, count(*) AS n, round(median(uv), 6) + 0.0 AS median, round(avg(uv) FILTER (i >= n // 10 AND i < n - n // 10), 6) + 0.0 AS trimmed_mean, round(stddev_pop(uv), 6) + 0.0 AS std FROM r GROUP BY channel, day""",
+}
+QUERIES = {f.__name__: f for f in (bringup_suite, named_statistics, bootstrap_median)}
