@@ -46,10 +46,11 @@ def disturbances(spark, sf_dir):
 
 
 def hourly(spark, sf_dir):
-    """channel, hour, uv: the mean of each hour of 30 days, 0 where there is none."""
+    """channel, hour, uv: the mean of each hour up to the last block's end, 0 where there is none."""
     hour = F.floor(seconds() / 3_600_000_000)
     means = samples(spark, sf_dir).groupBy("channel", hour.alias("hour")).agg(F.avg("uv").alias("uv"))
-    every = means.select("channel").distinct().select("channel", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(719).cast("long"))).alias("hour"))
+    last = (means.agg(F.max("hour")).first()[0] or 0) // SIZE * SIZE + SIZE - 1
+    every = means.select("channel").distinct().select("channel", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))).alias("hour"))
     return every.join(means, ["channel", "hour"], "left").fillna(0.0, ["uv"])
 
 
