@@ -83,17 +83,47 @@ def window_vector(x: np.ndarray, fs: float) -> np.ndarray:
     ])
 
 
-def feature_vectors(windows: DataFrame, keys: list[str], fs: float, channel: str = "channel", values: str = "values") -> DataFrame:
-    """keys and the features of each window; keys name the window too. Samples beyond the shortest channel's length are left out."""
-    schema = windows.select(*keys).schema
-    for name in NAMES:
+#: The order of the short vector, and its band of high-gamma power.
+SEVEN = "rms_mean rms_std spike_band_power high_gamma_power spectral_slope spike_rate_hz kurtosis".split()
+GAMMA = (80.0, 300.0)
+
+
+def short_vector(x: np.ndarray, fs: float) -> np.ndarray:
+    """The seven features of a trial, channels by samples, in the order of SEVEN, each a mean over channels but rms_std."""
+    n = x.shape[1]
+    hz, power = dsp.welch(x, fs, min(LONG_SEGMENT, n))
+
+    def filtered(cut: float) -> np.ndarray:
+        return dsp.apply_filter(dsp.butterworth(2, cut, "high", fs), x) if cut < fs / 2 and n > 12 else x
+
+    def within(band: tuple[float, float]) -> np.ndarray:
+        return (hz >= band[0]) & (hz <= band[1])
+
+    rms = np.sqrt((filtered(1.0) ** 2).mean(1))
+    spikes, gamma = (power[:, within(b)].sum(1) * (hz[1] - hz[0]) for b in (HIGH, GAMMA))
+    band = within(MID) & (hz > 0)
+    slopes = np.zeros(len(x))
+    if band.sum() >= 2:
+        log_hz = np.log10(hz[band])
+        slopes = np.polyfit(log_hz, np.log10(power[:, band] + 1e-30).T, 1)[0]
+    away = x - x.mean(1, keepdims=True)
+    spread = (away**2).mean(1)
+    kurtosis = np.where(spread > 0, (away**4).mean(1) / np.where(spread > 0, spread, 1) ** 2 - 3, 0.0)
+    return np.array([rms.mean(), rms.std(), spikes.mean(), gamma.mean(), slopes.mean(), spike_rates(filtered(300.0), fs).mean(), kurtosis.mean()])
+
+
+def feature_vectors(windows: DataFrame, keys: list[str], fs: float, channel: str = "channel", values: str = "values", short: bool = False) -> DataFrame:
+    """keys and the features of each window, the 23 or the seven of the short vector; keys name the window too. A window whose
+    channels aren't equally long, or have fewer than two samples, has NaN for each."""
+    schema, names, vector = windows.select(*keys).schema, SEVEN if short else NAMES, short_vector if short else window_vector
+    for name in names:
         schema = schema.add(name, "double")
 
     def one(key: tuple, table: pa.Table) -> pa.Table:
         rows = [np.asarray(v or [], float) for v in table.sort_by(channel).column(values).to_pylist()]
-        n = min(map(len, rows))
-        found = window_vector(np.stack([r[:n] for r in rows]), fs) if n > 1 else np.full(len(NAMES), np.nan)
-        return pa.table({k: pa.array([v.as_py()], v.type) for k, v in zip(keys, key, strict=True)} | {k: pa.array([float(v)]) for k, v in zip(NAMES, found, strict=True)})
+        whole = len({len(r) for r in rows}) == 1 and len(rows[0]) > 1
+        found = vector(np.stack(rows), fs) if whole else np.full(len(names), np.nan)
+        return pa.table({k: pa.array([v.as_py()], v.type) for k, v in zip(keys, key, strict=True)} | {k: pa.array([float(v)]) for k, v in zip(names, found, strict=True)})
 
     return windows.select(*keys, channel, values).groupBy(*keys).applyInArrow(one, schema)
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from oscine.sources.frames import CHANNELS
+from oscine.sources.frames import CHANNELS, SYNC
 
 
 def recordings(samples: DataFrame, path: str, mode: str = "error") -> None:
@@ -20,6 +23,26 @@ def frames_csv(decoded: DataFrame, path: str, mode: str = "error") -> None:
     decoded.select("frame_id", "timestamp", "crc_valid", *flags, *codes).write.mode(mode).option("header", True).csv(path)
 
 
+def _without_sync(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What stands between the sync words of a file: nothing before the first, then each record's rest."""
+    yield pa.record_batch({"body": pa.array([b""], pa.binary())})
+    for batch in batches:
+        yield pa.record_batch({"body": pa.array([None if r is None else r[len(SYNC) :] for r in batch.column(0).to_pylist()], pa.binary()).drop_null()})
+
+
+def captures(records: DataFrame, path: str, order: list[str], raw: str = "raw", mode: str = "error") -> None:
+    """Records as capture files, one for each task, each in order and all of them in order of the files' names: Spark's text writer
+    with the sync word as its end of line, so that a file ends in a sync word without a record behind it."""
+    ordered = records.repartitionByRange(*order).sortWithinPartitions(*order).select(raw)
+    bodies = ordered.mapInArrow(_without_sync, "body binary").select(F.col("body").cast("string").alias("value"))
+    bodies.write.mode(mode).option("encoding", "ISO-8859-1").option("lineSep", SYNC.decode("latin-1")).text(path)
+
+
+def ordered_csv(table: DataFrame, path: str, order: list[str], mode: str = "error") -> None:
+    """A result table as CSV files that are in order one after the other, by ranges of the order's columns."""
+    results_csv(table.repartitionByRange(*order).sortWithinPartitions(*order), path, mode)
+
+
 def results_csv(table: DataFrame, path: str, mode: str = "error") -> None:
     """A result table as CSV; columns that CSV can't hold are left out, and missing numbers are blank."""
     plain = [f.name for f in table.schema.fields if f.dataType.typeName() not in ("array", "map", "struct", "binary")]
