@@ -9,7 +9,7 @@ from oscine.operators import detection, scratch, verdicts
 from oscine.plans import detection_queries as D
 from oscine.plans.base import daily_rms, rounded, table
 from oscine.plans.generated_queries import _built
-from oscine.sources import frames, sinks
+from oscine.sources import brackets, frames, sinks
 
 KINDS = ("click", "error", "purchase", "signup", "view")
 
@@ -70,6 +70,21 @@ def capture_counts(spark, sf_dir):
     return rounded(report.select("frames", "bad", "dropped", "time_violations", "first_id", "last_id", "drop_rate"), "drop_rate")
 
 
+def bracket_edits(spark, sf_dir):
+    """Customers with their orders as bracketed texts: elements of each before and after the urgent orders are taken out."""
+    of_one = F.concat(F.lit("(order "), F.col("o_orderkey"), F.lit(' (state "('), "o_orderstatus", F.lit('\\" )") (rank '), F.substring("o_orderpriority", 1, 1), F.lit("))"))
+    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_join(F.array_sort(F.collect_list(of_one)), "\n ").alias("orders"))
+    text = F.concat(F.lit("(customer "), F.col("c_custkey"), F.lit("\n "), F.coalesce("orders", F.lit("")), F.lit(")"))
+    texts = table(spark, sf_dir, "customer").join(orders, "c_custkey", "left").select("c_custkey", text.alias("text"))
+    found = brackets.tree(texts, "c_custkey", "text").withColumn("bytes", F.col("last") - F.col("first"))
+    urgent = found.where("head = 'rank'").join(texts, "c_custkey").where(F.expr("substring(text, first + 1, bytes) = '(rank 1)'")).select("c_custkey", F.col("parent").alias("first"))
+    gone = found.join(urgent, ["c_custkey", "first"])
+    left = brackets.tree(brackets.without(texts, gone, "c_custkey", "text"), "c_custkey", "text")
+    before = found.groupBy("c_custkey").agg(F.count("*").alias("elements"), F.max("depth").alias("depth"))
+    after = left.groupBy("c_custkey").agg(F.count_if(F.col("head") == "order").alias("orders_left"), F.max("last").alias("bytes_left"))
+    return before.join(after, "c_custkey")
+
+
 def _code(channel: int) -> str:
     return f"(({channel} * 977 + event_id * 131) % 65536 - 32768)::INTEGER"
 
@@ -93,6 +108,10 @@ SQL = {
         SELECT bucket, coalesce(found, 0) AS found, ceiling, coalesce(found, 0) > ceiling AS over FROM c LEFT JOIN n USING (bucket)""",
     "nth_lines": """WITH l AS (SELECT l_orderkey, l_partkey, min(l_suppkey) AS supplier FROM lineitem GROUP BY 1, 2)
         SELECT * FROM l WHERE supplier NOT IN (3, 7) QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) = 3""",
+    "bracket_edits": """SELECT c_custkey, 1 + 3 * count(o_orderkey) AS elements, CASE WHEN count(o_orderkey) > 0 THEN 2 ELSE 0 END::INTEGER AS depth,
+        count(*) FILTER (o_orderkey IS NOT NULL AND o_orderpriority NOT LIKE '1%') AS orders_left,
+        13 + length(c_custkey::VARCHAR) + coalesce(sum(CASE WHEN o_orderkey IS NULL THEN 0 WHEN o_orderpriority LIKE '1%' THEN 2 ELSE 2 + 34 + length(o_orderkey::VARCHAR) END) - CASE WHEN count(o_orderkey) > 0 THEN 2 ELSE 0 END, 0)::BIGINT AS bytes_left
+        FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""",
     "capture_roundtrip": f"SELECT event_id AS frame_id, event_id * 50 AS timestamp, {_code(3)} AS code_3, {_code(63)} AS code_63, TRUE AS whole FROM events",
     "capture_counts": """WITH f AS (SELECT event_id, event_id - lag(event_id) OVER (ORDER BY event_id) - 1 AS gap FROM events WHERE event_id % 100 <> 7)
         SELECT count(*) AS frames, 0::BIGINT AS bad, sum(gap)::BIGINT AS dropped, 0::BIGINT AS time_violations, min(event_id) AS first_id, max(event_id) AS last_id, round(sum(gap) / (sum(gap) + count(*)), 6) AS drop_rate FROM f""",

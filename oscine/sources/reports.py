@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from oscine.sources import brackets
+
 SESSION_LOG = "session INT, trial INT, perturbation STRING, level STRING, filename STRING, temperature_c DOUBLE, notes STRING"
 
 
@@ -92,28 +94,9 @@ def _field(block: Column, name: str, part: int = 1) -> Column:
     return F.regexp_extract(block, rf"\({name} {_NUMBER}(?: {_NUMBER})?", part).try_cast("double")
 
 
-def nested(text: str | None, kind: str) -> list[str]:
-    """The blocks (kind ...) of a bracketed text, whatever is nested in them; brackets within quotes count as text."""
-    out, depth, begin, at, quoted = [], 0, None, 0, False
-    opening = f"({kind}"
-    for at, c in enumerate(text or ""):
-        if c == '"' and text[at - 1] != "\\":
-            quoted = not quoted
-        elif not quoted and c == "(":
-            if begin is None and text.startswith(opening, at) and text[at + len(opening) : at + len(opening) + 1].isspace():
-                begin, depth = at, 0
-            depth += 1
-        elif not quoted and c == ")":
-            depth -= 1
-            if begin is not None and depth == 0:
-                out.append(text[begin : at + 1])
-                begin = None
-    return out
-
-
 def bracketed(text: Column | str, kind: str) -> Column:
     """The blocks of a kind of a text column, as an array."""
-    return F.arrow_udf(lambda c: pa.array([nested(v, kind) for v in c.to_pylist()], pa.list_(pa.string())), "array<string>")(text)
+    return F.arrow_udf(lambda c: pa.array([brackets.nested(v, kind) for v in c.to_pylist()], pa.list_(pa.string())), "array<string>")(text)
 
 
 def _blocks(spark: SparkSession, path: str, kind: str) -> DataFrame:
