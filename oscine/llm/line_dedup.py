@@ -17,7 +17,7 @@ LINES = 3
 
 
 def _windows(lines: F.Column, size: int) -> F.Column:
-    """For each window: the places of its lines and a key of 128 bits."""
+    """For each window: the places of its lines and two keys, both made from the lines' hashes of 64 bits and their lengths."""
 
     def one(i: F.Column) -> F.Column:
         own = [F.element_at(lines, (i + k).cast("int")) for k in range(size)]
