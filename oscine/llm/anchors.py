@@ -14,9 +14,9 @@ in a row that share an anchor form a segment. The steps:
 
 All of it is one plan; the texts are shuffled once and that shuffle is read three times. What goes to a bucket or a shard is
 summed up within each batch first. Anchors only route; a false meeting of two of them costs time and changes nothing. Whole
-segments of an anchor that are equal are told by the anchor's hash and one of the segment modulo primes, and single windows of a
-frequent anchor by two hashes that don't depend on each other (common.span_pairs), so that copies are settled before the
-index; the index decides between different segments."""
+segments of an anchor that are equal are told by the anchor's hash and one of the segment, and single windows of a frequent
+anchor by two hashes, one modulo 2^64 and one modulo a prime (common.span_pairs), so that copies are settled before the index;
+the index decides between different segments."""
 
 from __future__ import annotations
 
@@ -127,7 +127,8 @@ def find(rule: Rule, column: pa.ChunkedArray, frequent: np.ndarray, wanted: Call
         single = _spread(start[often], windows[often])
         start, windows = np.concatenate([start[keep], single]), np.concatenate([windows[keep], np.ones(len(single), np.int64)])
         end = start + windows + rule.length - 1
-        other, c = C.span_pairs(codes, start, end)
+        other, c = C.span_pairs(codes, start, end, 1)
+        c ^= other  # equal if both are
         h = np.concatenate([h[keep], C.mix(other[len(c) - len(single) :])])
         owner = np.searchsorted(first, start, "right") - 1
         source = codes if rule.words else buffer
@@ -250,7 +251,7 @@ def _judge(rule: Rule):
         c = []
         for own, part in zip(windows, parts, strict=True):
             own_ends = np.cumsum(own.astype(np.int64) + rule.length - 1)
-            c.append(C.span_pairs(part if rule.words else C.byte_codes(part), own_ends - own - rule.length + 1, own_ends)[1])
+            c.append(np.bitwise_xor(*C.span_pairs(part if rule.words else C.byte_codes(part), own_ends - own - rule.length + 1, own_ends, 1)))
         h, c, place, start, windows, units = map(np.concatenate, (h, c, place, start, windows, parts))
         ends = np.cumsum(windows.astype(np.int64) + rule.length - 1)
         begins = ends - windows - rule.length + 1

@@ -115,20 +115,27 @@ def _prime_tables(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[base, 1], _powers[base, -1]
 
 
-def span_pairs(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def span_pairs(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, primes: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes of codes[start:end] that don't depend on where the span stands, nor on each other: a polynomial modulo 2^64, and
-    two modulo a prime, of 31 bits each. What collides for certain in the first, as long words of two letters in a
+    one or two modulo a prime, of 31 bits each. What collides for certain in the first, as long words of two letters in a
     certain order do, doesn't in the second."""
     up, down = _power_table(len(codes) + 1)
     sums = np.zeros(len(codes) + 1, U64)
-    np.cumsum(codes * up[: len(codes)], dtype=U64, out=sums[1:])
+    part = codes * up[: len(codes)]
+    np.cumsum(part, dtype=U64, out=sums[1:])
     size = (ends - starts).astype(U64)
     first = mix((sums[ends] - sums[starts]) * down[starts] + size)
-    second = size << U64(1)
-    for base, part in zip(_BASES, (codes & _PRIME, codes >> U64(33)), strict=True):
-        up, down = _prime_tables(len(codes) + 1, base)
+    second, high = size << U64(1), np.empty_like(part)
+    for k in range(primes):
+        up, down = _prime_tables(len(codes) + 1, _BASES[k])
+        if k:
+            np.right_shift(codes, U64(33), out=part)
+        else:
+            np.bitwise_and(codes, _PRIME, out=part)
         part *= up[: len(codes)]
-        part = (part & _PRIME) + (part >> U64(31))  # below 2^32, so that sums of 2^31 codes fit
+        np.right_shift(part, U64(31), out=high)
+        part &= _PRIME
+        part += high  # below 2^32, so that sums of 2^31 codes fit
         np.cumsum(part, dtype=U64, out=sums[1:])
         second = mix(second ^ ((sums[ends] - sums[starts]) % _PRIME * down[starts] % _PRIME))
     return first, second
