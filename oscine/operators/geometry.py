@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oscine.operators.relational import segments_distance
-
 ENDS = ("ax", "ay", "bx", "by")
 
 
@@ -70,12 +68,58 @@ def _in_cells(df: DataFrame, box: tuple[Column, Column, Column, Column], cell: f
 
 
 def _meet(left: DataFrame, right: DataFrame, keys: list[str], unlike: str | None) -> DataFrame:
-    """Pairs that share keys and a cell, once each; unlike: a column that must differ."""
-    both = left.join(right.withColumnsRenamed({k: f"{k}_r" for k in keys}), [F.col(k) == F.col(f"{k}_r") for k in keys] + [F.col("__i") == F.col("__k"), F.col("__j") == F.col("__l")])
+    """Pairs that share keys and a cell, once each; unlike: a column that must differ. Both sides are dealt by their cells, as a table's
+    size tells nothing of how many cells its rows cover."""
+    both = left.join(right.withColumnsRenamed({k: f"{k}_r" for k in keys}).hint("merge"), [F.col(k) == F.col(f"{k}_r") for k in keys] + [F.col("__i") == F.col("__k"), F.col("__j") == F.col("__l")])
     once = (F.col("__i") == F.greatest("__i_low", "__k_low")) & (F.col("__j") == F.greatest("__j_low", "__l_low"))
     return both.where(once & (F.col(unlike) != F.col(f"{unlike}_r"))) if unlike else both.where(once)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The shapes that have a place, in columns that can't be null: what is worked out of two shapes then stays short enough to be
+    compiled, where it would be interpreted else."""
+    names = [*ENDS, "half"]
+    return df.where(F.least(*[F.col(c).isNotNull() for c in names])).withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names})
+
+
+def apart_squared(suffix: str = "_r") -> Column:
+    """Squared distance of the segment of the columns of ENDS from that of the columns with the suffix; 0 where they cross."""
+    ax, ay, bx, by = _ends()
+    cx, cy, dx, dy = _ends(suffix)
+
+    def side(px: Column, py: Column, qx: Column, qy: Column, rx: Column, ry: Column) -> Column:
+        return F.signum((qx - px) * (ry - py) - (qy - py) * (rx - px))
+
+    def to_segment(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+        ux, uy = bx - ax, by - ay
+        t = ((px - ax) * ux + (py - ay) * uy) / F.greatest(ux * ux + uy * uy, F.lit(1e-300))  # a point is its own segment
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
+        return F.pow(px - ax - t * ux, F.lit(2.0)) + F.pow(py - ay - t * uy, F.lit(2.0))
+
+    crossing = (side(ax, ay, bx, by, cx, cy) * side(ax, ay, bx, by, dx, dy) < 0) & (side(cx, cy, dx, dy, ax, ay) * side(cx, cy, dx, dy, bx, by) < 0)
+    return F.when(crossing, 0.0).otherwise(F.least(to_segment(cx, cy, ax, ay, bx, by), to_segment(dx, dy, ax, ay, bx, by), to_segment(ax, ay, cx, cy, dx, dy), to_segment(bx, by, cx, cy, dx, dy)))
+
+
+def gap(suffix: str = "_r", aside: bool = False) -> Column:
+    """How far the edges of two shapes (ENDS, half, and the same with the suffix) are apart: 0 or less where they touch. aside: for a step
+    that shares its loop with another: a higher-order function, which Spark keeps out of fused loops, holds one of the
+    terms. Both steps in one loop are longer than the JVM compiles, and are interpreted then."""
+    half = F.col(f"half{suffix}")
+    return F.sqrt(apart_squared(suffix)) - F.col("half") - (F.transform(F.array(half), lambda x: x)[0] if aside else half)
+
+
+def boxes_near(reach: float, suffix: str = "_r") -> Column:
+    """Whether the boxes of two shapes are at most reach apart on both axes, which all shapes within reach are; cheap, and put
+    before the gap. The margin is more than rounding may take."""
+    out = None
+    for axis in "xy":
+        a, b, c, d = (F.col(n) for n in (f"a{axis}", f"b{axis}", f"a{axis}{suffix}", f"b{axis}{suffix}"))
+        more = F.col("half") + F.col(f"half{suffix}") + (reach + 1e-6)
+        near = (F.least(a, b) <= F.greatest(c, d) + more) & (F.least(c, d) <= F.greatest(a, b) + more)
+        out = near if out is None else out & near
+    return out
+
+
 def near_shapes(left: DataFrame, right: DataFrame, keys: list[str], reach: float, cell: float, id: str = "id", unlike: str | None = None) -> DataFrame:
     """Pairs of shapes of equal keys whose edges are at most reach apart: id, id_r, gap (0 or less where they touch), and how long
     they run side by side. In a join with itself each pair comes once, the smaller id left. unlike: a column, such as the
@@ -84,15 +128,15 @@ def near_shapes(left: DataFrame, right: DataFrame, keys: list[str], reach: float
 
     def dealt(df: DataFrame, more: Column, cells: tuple[str, str]) -> DataFrame:
         box = (F.least("ax", "bx") - more, F.least("ay", "by") - more, F.greatest("ax", "bx") + more, F.greatest("ay", "by") + more)
-        return _in_cells(df.select(*keys, *names), box, cell, cells)
+        return _in_cells(settled(df.select(*keys, *names)), box, cell, cells)
 
     a = dealt(left, F.col("half"), ("__i", "__j"))
-    b = dealt(right, F.col("half") + reach, ("__k", "__l")).withColumnsRenamed({c: f"{c}_r" for c in names})
+    b = dealt(right, F.col("half") + (reach + 1e-6), ("__k", "__l")).withColumnsRenamed({c: f"{c}_r" for c in names})
     both = _meet(a, b, keys, unlike)
     if left is right:
         both = both.where(F.col(id) < F.col(f"{id}_r"))
-    gap = segments_distance(*_ends(), *_ends("_r")) - F.col("half") - F.col("half_r")
-    return both.select(*keys, id, f"{id}_r", gap.alias("gap"), parallel_overlap(*_ends(), *_ends("_r")).alias("side_by_side")).where(F.col("gap") <= reach)
+    found = both.where(boxes_near(reach)).where(gap() <= reach)
+    return found.select(*keys, id, f"{id}_r", gap(aside=True).alias("gap"), parallel_overlap(*_ends(), *_ends("_r")).alias("side_by_side"))
 
 
 def contained(points: DataFrame, areas: DataFrame, keys: list[str], cell: float, point: str = "id", area: str = "area") -> DataFrame:

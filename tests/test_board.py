@@ -171,3 +171,13 @@ def test_contained(spark):
     found = geometry.contained(spark.createDataFrame(points, "id long, layer string, x double, y double"), spark.createDataFrame(areas, "area long, layer string, corners array<struct<x:double,y:double>>"), ["layer"], 1.7).collect()
     assert {(r.id, r.area) for r in found} == want and len(found) == len(want)
     assert (900, 90) in want and (901, 90) not in want
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_are_dealt(spark, shapes):
+    df = spark.createDataFrame(shapes, SHAPES)
+    near = geometry.near_shapes(df, df, ["layer"], 0.25, 3.0, unlike="net")
+    assert "SortMergeJoin" in _plan(near) and "Broadcast" not in _plan(near)
