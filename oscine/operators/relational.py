@@ -68,7 +68,7 @@ def near_segments(left: DataFrame, right: DataFrame, reach: float, cell: float,
 
     a = covered(left.select(id, "ax", "ay", "bx", "by"), 0.0, ("__i", "__j"))
     b = covered(right.select(id, "ax", "ay", "bx", "by"), reach, ("__k", "__l")).withColumnsRenamed({c: f"{c}_r" for c in (id, "ax", "ay", "bx", "by")})
-    both = a.join(b, (F.col("__i") == F.col("__k")) & (F.col("__j") == F.col("__l")))
+    both = a.join(b.hint("merge"), (F.col("__i") == F.col("__k")) & (F.col("__j") == F.col("__l")))
     first = (F.col("__i") == F.greatest("__i_low", "__k_low")) & (F.col("__j") == F.greatest("__j_low", "__l_low"))
     apart = segments_distance(*[F.col(c) for c in ("ax", "ay", "bx", "by", "ax_r", "ay_r", "bx_r", "by_r")])
     return both.where(first).select(id, f"{id}_r", apart.alias("distance")).where(F.col("distance") < reach)
@@ -85,7 +85,7 @@ def near_pairs(left: DataFrame, right: DataFrame, keys: list[str], x: str, y: st
     a = left.withColumns({"__i": cell(x), "__j": cell(y)})
     b = right.withColumn("__o", F.explode(offsets)).withColumns({"__i": cell(x) + F.col("__o.i"), "__j": cell(y) + F.col("__o.j")}).drop("__o")
     b = b.withColumnsRenamed({c: f"{c}_r" for c in right.columns if c not in keys})
-    both = a.join(b, [*keys, "__i", "__j"])
+    both = a.join(b.hint("merge"), [*keys, "__i", "__j"])  # nine times the table, which its size doesn't tell: never broadcast
     return both.where((F.abs(F.col(x) - F.col(f"{x}_r")) < reach) & (F.abs(F.col(y) - F.col(f"{y}_r")) < reach)).drop("__i", "__j")
 
 

@@ -178,6 +178,11 @@ def _plan(df):
 
 
 def test_pairs_are_dealt(spark, shapes):
+    from oscine.operators import relational
+
     df = spark.createDataFrame(shapes, SHAPES)
     near = geometry.near_shapes(df, df, ["layer"], 0.25, 3.0, unlike="net")
     assert "SortMergeJoin" in _plan(near) and "Broadcast" not in _plan(near)
+    points = df.select("id", "net", "ax", "ay")
+    pairs = relational.near_pairs(points, points, ["net"], "ax", "ay", 1.0)
+    assert "SortMergeJoin" in _plan(pairs) and "Broadcast" not in _plan(pairs)
