@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from oscine.operators import scratch
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, read from a folder that executors share."""
     path = scratch.folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -28,14 +29,14 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     folder, so that plans stay short and a lost executor costs one round. Null ends are no edge."""
     pairs = edges.select(F.greatest(src, dst).alias("a"), F.least(src, dst).alias("b")).where(F.col(src).isNotNull() & F.col(dst).isNotNull())
     alone = pairs.where("a = b").select(F.col("a").alias("node")).distinct()
-    stars = _written(pairs.where("a <> b").distinct(), "stars")
+    stars = written(pairs.where("a <> b").distinct(), "stars")
     while not _settled(stars):
         both = stars.union(stars.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = _written(both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "stars")
+        large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "stars")
         center = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(center, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(center.select("a", F.col("m").alias("b"))).distinct()
-        stars = _written(small, "stars")
+        stars = written(small, "stars")
     hung = stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = stars.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
     found = hung.union(roots)

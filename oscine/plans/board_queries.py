@@ -11,7 +11,8 @@ from oscine.plans.base import rounded, table
 
 def _copper(spark, sf_dir):
     """Shapes of the nets: id, net, layer, ax, ay, bx, by, half."""
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
+    # both tables are dealt by net, which all that follows goes by
+    lines = table(spark, sf_dir, "lineitem").repartition("l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(
         F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"), F.min("l_quantity").cast("long").alias("q"), F.max("l_returnflag").alias("f")
     )
     ax, ay = (F.col("l_linenumber") + F.col("p") % 2) * 2.0, F.col("s") % 3 * 1.5
@@ -21,7 +22,7 @@ def _copper(spark, sf_dir):
     )
     both = F.array(F.lit("F.Cu"), F.lit("B.Cu"))
     vias = tracks.where("f = 'R'").select((F.col("id") + 1).alias("id"), "net", F.col("bx").alias("x"), F.col("by").alias("y"), F.lit(0.6).alias("size"), both.alias("layers"))
-    pads = table(spark, sf_dir, "orders").select((-F.col("o_orderkey") - 1).alias("id"), F.col("o_orderkey").alias("net"), F.lit(4.0).alias("x"), (F.col("o_custkey") % 3 * 1.5).alias("y"), F.lit(1.0).alias("width"), F.lit(2.5).alias("height"), F.array(F.lit("F.Cu")).alias("layers"))
+    pads = table(spark, sf_dir, "orders").repartition("o_orderkey").select((-F.col("o_orderkey") - 1).alias("id"), F.col("o_orderkey").alias("net"), F.lit(4.0).alias("x"), (F.col("o_custkey") % 3 * 1.5).alias("y"), F.lit(1.0).alias("width"), F.lit(2.5).alias("height"), F.array(F.lit("F.Cu")).alias("layers"))
     return copper.shapes(tracks.drop("f"), vias, pads)
 
 

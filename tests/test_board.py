@@ -186,3 +186,14 @@ def test_pairs_are_dealt(spark, shapes):
     points = df.select("id", "net", "ax", "ay")
     pairs = relational.near_pairs(points, points, ["net"], "ax", "ay", 1.0)
     assert "SortMergeJoin" in _plan(pairs) and "Broadcast" not in _plan(pairs)
+
+
+def test_small_nets_are_dealt_once(spark, shapes, monkeypatch):
+    few = shapes[:120] + [(5000, None, "F", 0.0, 0.0, 1.0, 0.0, 0.1), (5001, None, "F", 0.0, 0.0, 1.0, 0.0, 0.1), (5002, 8, "F", None, 0.0, 1.0, 0.0, 0.1), (5003, 8, "F", 1.0, 0.0, 2.0, 0.0, 0.1)]
+    df = spark.createDataFrame(few, SHAPES).repartition("net")
+    found = copper.islands(df, touching=True)
+    got = {(r.id, r.net, r.island) for r in found.collect()}
+    assert {(5000, None, 5000), (5001, None, 5001), (5003, 8, 5002)} <= got
+    assert "Join" not in _plan(found)
+    monkeypatch.setattr(copper, "WHOLE", 0)
+    assert {(r.id, r.net, r.island) for r in copper.islands(df, touching=True).collect()} == got
