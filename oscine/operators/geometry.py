@@ -140,11 +140,13 @@ def near_shapes(left: DataFrame, right: DataFrame, keys: list[str], reach: float
 
 
 def contained(points: DataFrame, areas: DataFrame, keys: list[str], cell: float, point: str = "id", area: str = "area") -> DataFrame:
-    """point and area of the points (x, y) that are inside an area (corners) of equal keys, met by cells of the areas' boxes."""
+    """point and area of the points (x, y) that are inside an area (corners) of equal keys, met by cells of the areas' boxes. Of areas
+    that are alike one meets the points, and its points are all of theirs."""
     corners = F.col("corners")
     xs, ys = F.col("corners.x"), F.col("corners.y")
     box = F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)
-    inside = areas.where(F.size("corners") > 2).select(*keys, area, "corners")
+    whole = areas.where(F.size("corners") > 2).select(*keys, area, "corners")
     a = _in_cells(points.select(*keys, point, "x", "y"), (F.col("x"), F.col("y"), F.col("x"), F.col("y")), cell, ("__i", "__j"))
-    b = _in_cells(inside, box, cell, ("__k", "__l"))
-    return _meet(a, b, keys, None).where(in_polygon(F.col("x"), F.col("y"), corners)).select(*keys, point, area)
+    b = _in_cells(whole.select(*keys, "corners").distinct(), box, cell, ("__k", "__l"))
+    inside = _meet(a, b, keys, None).where(in_polygon(F.col("x"), F.col("y"), corners)).select(*keys, point, "corners")
+    return inside.join(whole, [*keys, "corners"]).select(*keys, point, area)

@@ -177,6 +177,16 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_alike_areas(spark):
+    square, other = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)], [(0.0, 0.0), (4.0, 0.0), (0.0, 4.0)]
+    areas = spark.createDataFrame([(k, "F" if k % 2 else "B", square if k % 3 else other) for k in range(60)] + [(1, "F", other)], "area long, layer string, corners array<struct<x:double,y:double>>")
+    points = spark.createDataFrame([(7, "F", 3.0, 3.0), (8, "F", 1.0, 1.0), (9, "B", 9.0, 9.0)], "id long, layer string, x double, y double")
+    found = geometry.contained(points, areas, ["layer"], 2.0)
+    want = sorted([(7, k) for k in range(60) if k % 2 and k % 3] + [(8, k) for k in range(60) if k % 2] + [(8, 1)])
+    assert sorted((r.id, r.area) for r in found.collect()) == want
+    assert "keys=[layer" in _plan(found)  # a shape meets the points once
+
+
 def test_pairs_are_dealt(spark, shapes):
     from oscine.operators import relational
 
