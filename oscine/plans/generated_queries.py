@@ -121,6 +121,23 @@ def signed_rank(spark, sf_dir):
     return rounded(learning.wilcoxon(apart, ["channel"], "d"), "p", "effect")
 
 
+def _in_slices(spark: SparkSession, source: DataFrame, build, time: str, slices: int = 4) -> DataFrame:
+    """Runs a stream over a table, stretch of time by stretch, and gives the rows that it appended. A stretch is written by as many tasks
+    as it takes, and the stream comes to its end before the next is there: the order in which files are finished, which the
+    source goes by, then makes no row late."""
+    root = scratch.folder(spark, "stream")
+    at = F.unix_micros(time)
+    cuts = source.agg(F.percentile_approx(at, F.array(*[F.lit(k / slices) for k in range(1, slices)]), 1000).alias("c")).first()["c"] or []
+    bounds = sorted(set(cuts))
+    for lo, hi in zip([None, *bounds], [*bounds, None], strict=True):
+        inside = (F.lit(True) if lo is None else at > lo) & (F.lit(True) if hi is None else at <= hi)
+        source.where(inside | at.isNull() if lo is None else inside).write.mode("append").parquet(f"{root}/in")
+        out = build(spark.readStream.schema(source.schema).parquet(f"{root}/in"))
+        writer = out.writeStream.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).outputMode("append")
+        writer.format("parquet").option("path", f"{root}/out").start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{root}/out")
+
+
 def _streamed(spark: SparkSession, source: DataFrame, build, mode: str, in_order: str | None = None) -> DataFrame:
     """Runs a stream over a table to its end, and gives the rows that it wrote."""
     root = scratch.folder(spark, "stream")
@@ -147,8 +164,8 @@ def _streamed(spark: SparkSession, source: DataFrame, build, mode: str, in_order
 
 
 def streaming_rms(spark, sf_dir):
-    rows = samples(spark, sf_dir).select("channel", F.col("ts").cast("timestamp").alias("ts"), "uv").repartitionByRange(6, "ts")
-    found = _streamed(spark, rows, lambda s: detector.windowed_rms(s, ["channel"], "ts", "uv"), "append")
+    rows = samples(spark, sf_dir).select("channel", F.col("ts").cast("timestamp").alias("ts"), "uv")
+    found = _in_slices(spark, rows, lambda s: detector.windowed_rms(s, ["channel"], "ts", "uv"), "ts")
     day = F.datediff(F.col("start").cast("date"), F.lit(START).cast("date")).cast("long")
     return rounded(found.select("channel", day.alias("day"), "n", "rms"), "rms")
 

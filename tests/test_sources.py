@@ -304,3 +304,19 @@ def test_rhd_in_splits(spark, tmp_path, splits):
     want = write("a.rhd", 2, 5, b"") | write("b.rhd", 3, 4, b"\n" * 7) | write("c.rhd", 2, 3, b"\0" * (size - 1)) | write("d.rhd", 1, 0, b"")
     found = rhd.read(spark, str(tmp_path)).collect()
     assert {(r.source.rsplit("/", 1)[1], r.channel, r.block_idx, r.start_idx, tuple(r.uv)) for r in found} == want and len(found) == len(want)
+
+
+def test_stretches_of_a_stream_come_in_order(spark, tmp_path, monkeypatch):
+    import json
+
+    from oscine.plans import generated_queries as G
+
+    monkeypatch.setattr(G.scratch, "folder", lambda spark, name: str(tmp_path / name))
+    G.streaming_rms(spark, "/root/testdata/sf0.001")
+    last = None
+    for log in sorted((tmp_path / "stream/state/sources/0").glob("[0-9]*"), key=lambda f: int(f.name)):
+        paths = [json.loads(line)["path"] for line in log.read_text().splitlines()[1:]]
+        first, end = spark.read.parquet(*paths).selectExpr("min(ts)", "max(ts)").first()
+        assert last is None or first > last
+        last = end
+    assert log.name == "3"
