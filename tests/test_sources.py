@@ -320,3 +320,20 @@ def test_stretches_of_a_stream_come_in_order(spark, tmp_path, monkeypatch):
         assert last is None or first > last
         last = end
     assert log.name == "3"
+
+
+def test_spans_are_few_bytes():
+    import numpy as np
+
+    from oscine.streaming import detector
+
+    rng = np.random.default_rng(3)
+    for scale in (50, 5_000, 10**7, 10**11):
+        spans, plain = detector._unpacked(b""), []
+        for _ in range(4):
+            numbers = rng.integers(-scale, scale, 300)
+            plain, _ = detector.merged(plain, numbers)
+            spans = detector._unpacked(detector._packed(detector._joined(spans, numbers)))
+            assert spans.tolist() == plain
+    assert len(detector._packed(np.arange(20_000, dtype=np.int64).reshape(-1, 2) * 7)) < 21_000
+    assert len(detector._unpacked(detector._packed(np.zeros((0, 2), np.int64)))) == 0
