@@ -18,24 +18,35 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 TREE = "first long, last long, depth int, parent long, head string"
 
 
-def elements(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def elements(data: bytes, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each element, in order: the byte at which it begins, the one behind its end, its depth from 0, and the number of its
-    parent among them, -1 for none."""
+    parent among them, -1 for none. starts: where texts begin, if data is many of them one after the other."""
     text = np.frombuffer(data, np.uint8)
+    starts = np.zeros(1, np.int64) if starts is None else starts
+    sizes = np.diff(np.append(starts, len(text)))
+    own = np.repeat(np.arange(len(starts)), sizes)
+    places = np.arange(len(text))
     slash = text == 92
-    # a backslash counts if an even number stands before it
-    run = np.arange(len(text)) - np.maximum.accumulate(np.where(slash, -1, np.arange(len(text)))) if len(text) else np.zeros(0, int)
+    # a backslash counts if an even number stands before it in the text
+    run = places - np.maximum(np.maximum.accumulate(np.where(slash, -1, places)), starts[own] - 1) if len(text) else np.zeros(0, int)
     escaped = np.zeros(len(text), bool)
     escaped[1:] = run[:-1] % 2 == 1
-    quoted = np.cumsum((text == 34) & ~escaped) % 2 == 1
+    escaped[starts[sizes > 0]] = False
+
+    def summed(steps: np.ndarray) -> np.ndarray:
+        """Running sums, from each text's start on."""
+        total = np.append(0, np.cumsum(steps))
+        return total[1:] - total[starts[own]]
+
+    quoted = summed((text == 34) & ~escaped) % 2 == 1
     step = np.where(quoted, 0, (text == 40).astype(np.int64) - (text == 41))
-    after = np.cumsum(step)
+    after = summed(step)
     at = np.flatnonzero(step)
     depth = np.where(step[at] > 0, after[at] - 1, after[at])
-    order = np.lexsort((at, depth))
-    opens = step[at[order]] > 0
-    pair = np.flatnonzero(opens[:-1] & ~opens[1:] & (depth[order][:-1] == depth[order][1:]))
-    begin, end, level = at[order[pair]], at[order[pair + 1]] + 1, depth[order[pair]]
+    order = np.lexsort((at, depth, own[at]))
+    opens, level, of = step[at[order]] > 0, depth[order], own[at[order]]
+    pair = np.flatnonzero(opens[:-1] & ~opens[1:] & (level[:-1] == level[1:]) & (of[:-1] == of[1:]))
+    begin, end, level = at[order[pair]], at[order[pair + 1]] + 1, level[pair]
     place = np.argsort(begin)
     begin, end, level = begin[place], end[place], level[place]
     parent = np.full(len(begin), -1)
@@ -80,14 +91,21 @@ def tree(texts: DataFrame, source: str, text: str) -> DataFrame:
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, value in enumerate(batch.column(1).to_pylist()):
-                data = (value or "").encode()
-                begin, end, depth, parent = elements(data)
-                above = np.where(parent >= 0, begin[np.maximum(parent, 0)], -1) if len(begin) else parent
+            each = [(value or "").encode() for value in batch.column(1).to_pylist()]
+            ends = np.cumsum([len(e) for e in each], dtype=np.int64)
+            lo = 0
+            while lo < len(each):  # texts of a few megabytes at once
+                base = int(ends[lo - 1]) if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(ends, base + (4 << 20), "right")))
+                data, starts = b"".join(each[lo:hi]), np.append(base, ends[lo : hi - 1]) - base
+                begin, end, depth, parent = elements(data, starts)
+                of = np.searchsorted(starts, begin, "right") - 1
+                above = np.where(parent >= 0, begin[np.maximum(parent, 0)] - starts[of], -1) if len(begin) else parent
                 yield pa.record_batch({
-                    source: batch.column(0).take(pa.array([k] * len(begin), pa.int64())), "first": pa.array(begin, pa.int64()), "last": pa.array(end, pa.int64()), "depth": pa.array(depth, pa.int32()),
+                    source: batch.column(0).take(pa.array(of + lo, pa.int64())), "first": pa.array(begin - starts[of], pa.int64()), "last": pa.array(end - starts[of], pa.int64()), "depth": pa.array(depth, pa.int32()),
                     "parent": pa.array(above, pa.int64(), mask=above < 0), "head": pa.array(heads(data, begin, end), pa.string()),
                 })
+                lo = hi
 
     kind = texts.schema[source].dataType.simpleString()
     return texts.select(source, text).mapInArrow(parsed, f"{source} {kind}, {TREE}")

@@ -96,3 +96,17 @@ def test_schematic_checks(spark, name):
         spark.createDataFrame([("FB1", "2", "+3V3"), ("FB1", "1", "VDD"), ("U1", "N17", "REF")], pad), spark.createDataFrame([("U1", "M15", "+3V3")], pad),
     )
     assert {(r.check, r.ref, r.pin) for r in found.select(F.col("check"), "ref", "pin").collect()} == want
+
+
+def test_many_texts_at_once():
+    import numpy as np
+
+    texts = ["", '(a "(b" (c))', "(open (x)", '"half (q', "(a (b) (c (d)))", "tail\\", '"(y)" (z)', ")(w)", "", "((p))", "(é (ß))"]
+    data = [t.encode() for t in texts]
+    starts = np.cumsum([0] + [len(d) for d in data[:-1]])
+    got = [tuple(r) for r in np.column_stack(brackets.elements(b"".join(data), starts)).tolist()]
+    want = []
+    for d, at in zip(data, starts.tolist()):
+        n = len(want)
+        want += [(a + at, b + at, depth, -1 if p < 0 else p + n) for a, b, depth, p in np.column_stack(brackets.elements(d)).tolist()]
+    assert got == want and len(want) > 12
