@@ -64,6 +64,16 @@ def confusion(pairs: DataFrame, truth: str, said: str, labels: list) -> DataFram
     return F.broadcast(grid).join(counts, [truth, said], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
+def exact_mean(value: str) -> Column:
+    """The mean of doubles summed up as the decimals they are written as, so that it is the same in any order of the rows and a mean
+    at a limit isn't beyond it. Where a number of the group doesn't fit such a decimal (infinite, not a number, very large or very
+    small), the plain mean."""
+    x = F.col(value)
+    written = x.try_cast("decimal(38,18)")
+    fit = F.count_if(~written.cast("double").eqNullSafe(x)) == 0
+    return F.coalesce(F.when(fit, F.try_avg(written).cast("double")), F.avg(x))
+
+
 def latency_summary(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
     """n, mean, standard deviation of the population, and exact quartiles by interpolation, of finite values."""
     x = F.col(value)

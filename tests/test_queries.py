@@ -6,6 +6,7 @@ import re
 
 import pytest
 
+from oscine.operators import statistics
 from oscine.plans import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -50,6 +51,22 @@ def test_contract():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_contract_rules_at_the_limit(spark, tmp_path):
+    cents = [9, 1, 7, 4, 0, 0, 2, 10, 9, 7, 5, 5, 0, 4, 7, 3, 6, 8, 8, 10, 1, 3, 9, 8, 2]  # a mean of 0.0512; added in this order as doubles, more
+    series = {1: cents, 2: sorted(cents), 3: [*cents[:-1], 3], 4: [*cents, None], 5: [*cents, math.nan], 6: [None]}
+    rows = [(k, None if c is None else c / 100, "N", 50.0) for k, v in series.items() for c in v]
+    spark.createDataFrame(rows, "l_suppkey long, l_discount double, l_returnflag string, l_quantity double").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = catalog.queries()["contract_rules"](spark, str(tmp_path))
+    assert {r.l_suppkey for r in found.where("rule = 'discount'").collect()} == {3, 5}
+
+
+def test_exact_mean(spark):
+    series = {1: [1e30, 1.0], 2: [1e-25, 3e-25], 3: [math.inf, 1.0], 4: [None, None], 5: [0.1, 0.2, None], 6: [-0.1, 0.1]}
+    rows = spark.createDataFrame([(k, x) for k, v in series.items() for x in v], "k int, x double")
+    found = {r.k: r.m for r in rows.groupBy("k").agg(statistics.exact_mean("x").alias("m")).collect()}
+    assert found == {1: 5e29, 2: pytest.approx(2e-25, rel=1e-12), 3: math.inf, 4: None, 5: 0.15, 6: 0.0}
+
+
 def test_report_blocks_all(spark, tmp_path):
     texts = ["Alpha one.\nplain\nBeta two.\ntail", "low first\nGamma.\n", "", "no head", None, "Delta.\nEpsilon.", "Zeta"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
