@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from oscine.sources import byteranges
 SIZE, CHANNELS, MAGIC, VERSION = 256, 64, 0xA55A, 1
 SYNC = MAGIC.to_bytes(2, "big")
 FIELDS = {"magic": (0, 2), "version": (2, 1), "status_raw": (3, 1), "frame_id": (4, 4), "timestamp": (8, 4), "channel_count": (12, 2), "rate_code": (14, 2)}
-AUX_AT, DIAGNOSTICS_AT, RESERVED_AT, RESERVED_SIZE, CRC_AT = 144, 150, 166, 88, 254
+CODES_AT, AUX_AT, DIAGNOSTICS_AT, RESERVED_AT, RESERVED_SIZE, CRC_AT = 16, 144, 150, 166, 88, 254
 DIAGNOSTICS = ("fifo_fill", "drop_count", "stall_count", "spi_err_count")
 DEFAULT_RATE = 20_000
 RATES = {1: 20_000, 2: 30_000, 3: 25_000}
@@ -27,41 +28,58 @@ RATES = {1: 20_000, 2: 30_000, 3: 25_000}
 _CRC = np.arange(256, dtype=np.int64) << 8
 for _ in range(8):
     _CRC = np.where(_CRC & 0x8000, (_CRC << 1) ^ 0x1021, _CRC << 1) & 0xFFFF
+_CRC = _CRC.astype(np.uint16)
 
 
 def crc_of(records: np.ndarray) -> np.ndarray:
     """CRC-16/CCITT of each row of a table of bytes, all rows at once."""
-    crc = np.full(len(records), 0xFFFF, np.int64)
-    for column in records.T.astype(np.int64):
-        crc = (crc << 8 & 0xFF00) ^ _CRC[crc >> 8 ^ column]
+    crc = np.full(len(records), 0xFFFF, np.uint16)
+    for column in np.ascontiguousarray(records.T):
+        crc = crc << 8 ^ _CRC[crc >> 8 ^ column]
     return crc
 
 
+def _bytes(column: pa.Array, size: int) -> np.ndarray:
+    """A table of the bytes of values that are all of one size."""
+    fixed = column.cast(pa.binary(size))
+    return np.frombuffer(fixed.buffers()[1] or b"", np.uint8, len(fixed) * size, fixed.offset * size).reshape(len(fixed), size)
+
+
+def _whole(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Which values are records by their size, and these as a table of bytes."""
+    fits = pc.fill_null(pc.equal(pc.binary_length(column), SIZE), False)
+    return fits.to_numpy(zero_copy_only=False), _bytes(column.filter(fits), SIZE)
+
+
 def frame_crc(raw: Column) -> Column:
     """CRC of the first 254 bytes of binary records; null for records of another size."""
 
     def check(column: pa.Array) -> pa.Array:
-        values = column.to_pylist()
-        whole = [i for i, v in enumerate(values) if v is not None and len(v) == SIZE]
-        out: list = [None] * len(values)
-        table = np.frombuffer(b"".join(values[i] for i in whole), np.uint8).reshape(len(whole), SIZE)
-        for i, c in zip(whole, crc_of(table[:, :CRC_AT]), strict=True):
-            out[i] = int(c)
-        return pa.array(out, pa.int32())
+        fits, records = _whole(column)
+        out = np.zeros(len(column), np.int32)
+        out[fits] = crc_of(records[:, :CRC_AT])
+        return pa.array(out, mask=~fits)
 
     return F.arrow_udf(check, "int")(raw)
 
 
+def codes_of(raw: Column) -> Column:
+    """The signed codes of binary records; null for records of another size."""
+
+    def split(column: pa.Array) -> pa.Array:
+        fits, records = _whole(column)
+        codes = np.ascontiguousarray(records[:, CODES_AT:AUX_AT]).view(">i2").astype(np.int16)
+        ends = np.concatenate([[0], np.cumsum(fits * CHANNELS)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(codes.ravel()), mask=pa.array(~fits))
+
+    return F.arrow_udf(split, "array<short>")(raw)
+
+
 def number(raw: Column, at: int, size: int) -> Column:
     """An unsigned big-endian number in a binary column."""
     return F.conv(F.hex(F.substring(raw, at + 1, size)), 16, 10).cast("long")
 
 
-def signed(raw: Column, at: int) -> Column:
-    value = number(raw, at, 2)
-    return F.when(value >= 32768, value - 65536).otherwise(value).cast("short")
-
-
 def decode(records: DataFrame, raw: str = "raw", strict: bool = False) -> DataFrame:
     """Adds the fields of each record. strict: only records of the right sync word, version, checksum and clean reserved bits,
     so that what follows (gaps, drops) doesn't see the others."""
@@ -71,7 +89,7 @@ def decode(records: DataFrame, raw: str = "raw", strict: bool = False) -> DataFr
     df = df.withColumns(
         {
             "status": F.struct(*[v.alias(k) for k, v in bits.items() if k != "reserved_clean"]),
-            "adc": F.array(*[signed(r, 16 + 2 * c) for c in range(CHANNELS)]),
+            "adc": codes_of(r),
             "aux": F.array(*[number(r, AUX_AT + 2 * c, 2).cast("int") for c in range(3)]),
             "diag": F.struct(*[number(r, DIAGNOSTICS_AT + 4 * i, 4).alias(n) for i, n in enumerate(DIAGNOSTICS)]),
             "crc_received": number(r, CRC_AT, 2).cast("int"), "crc_computed": frame_crc(r),
@@ -131,12 +149,25 @@ def build(rows: DataFrame, frame_id: str = "frame_id", timestamp: str = "timesta
     def field(value: Column, digits: int) -> Column:
         return F.lpad(F.hex(value.cast("long")), digits, "0")
 
-    codes = F.array_join(F.transform(F.col(adc), lambda x: F.lpad(F.hex(F.pmod(x.cast("long"), F.lit(65536))), 4, "0")), "")
-    codes = F.rpad(codes, CHANNELS * 4, "0")
+    def joined(head: pa.Array, codes: pa.Array) -> pa.Array:
+        there, flat = np.asarray(codes.is_valid()), codes.flatten()
+        known = np.asarray(flat.is_valid())
+        row = np.repeat(np.arange(len(codes)), pc.list_value_length(codes).fill_null(0).to_numpy())[known]
+        n = np.bincount(row, minlength=len(codes))
+        place = np.arange(len(row)) - (np.cumsum(n) - n)[row]
+        values = flat.drop_null().to_numpy()[place < CHANNELS] & 0xFFFF
+        grid = np.zeros((len(codes), CHANNELS), ">u2")
+        grid[row[place < CHANNELS], place[place < CHANNELS]] = values
+        out = np.zeros((len(codes), SIZE), np.uint8)
+        out[:, :CODES_AT] = _bytes(head.fill_null(bytes(CODES_AT)), CODES_AT)
+        out[:, CODES_AT:AUX_AT] = grid.view(np.uint8)
+        out[:, CRC_AT:] = crc_of(out[:, :CRC_AT]).astype(">u2")[:, None].view(np.uint8)
+        records = pa.FixedSizeBinaryArray.from_buffers(pa.binary(SIZE), len(out), [None, pa.py_buffer(out)]).cast(pa.binary())
+        return pc.if_else(pa.array(there & np.asarray(head.is_valid())), records, None)
+
     head = F.concat(F.lit(f"{MAGIC:04X}{VERSION:02X}{status:02X}"), field(F.col(frame_id), 8), field(F.col(timestamp), 8), field(F.lit(CHANNELS), 4), F.lit("0001"))
-    body = F.concat(head, codes, F.lit("0" * 2 * (CRC_AT - AUX_AT)))
-    unsigned = rows.withColumn("__raw", F.unhex(F.concat(body, F.lit("0000"))))
-    return unsigned.withColumn("raw", F.unhex(F.concat(F.hex(F.substring("__raw", 1, CRC_AT)), field(frame_crc(F.col("__raw")), 4)))).drop("__raw")
+    record = F.arrow_udf(joined, "binary").asNondeterministic()  # so that a filter or a check behind it doesn't build it again
+    return rows.withColumn("raw", record(F.unhex(head), F.col(adc).cast("array<long>")))
 
 
 def cut(content: bytes) -> tuple[list[bytes], bytes]:

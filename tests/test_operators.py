@@ -3,6 +3,7 @@
 import math
 import random
 import struct
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -36,6 +37,24 @@ def test_crc_known_value(spark):
     assert spark.range(1).select(S.crc16(F.lit(b"123456789"), 9)).first()[0] == 0x29B1
 
 
+def test_crc_memory():
+    records = np.zeros((10_000, 254), np.uint8)
+    tracemalloc.start()
+    assert len(set(frames.crc_of(records).tolist())) == 1
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 2 * records.nbytes
+
+
+def test_odd_codes(spark):
+    series = {1: [], 2: None, 3: [1, None, -2], 4: list(range(70)), 5: [-1, 65536, 70000, -(2**31)]}
+    built = frames.build(spark.createDataFrame([(k, k, v) for k, v in series.items()], "frame_id long, timestamp long, adc array<int>"))
+    found = {r.frame_id: (r.crc_valid, r.adc) for r in frames.decode(built.select("raw")).collect()}
+    want = {1: [], 3: [1, -2], 4: list(range(64)), 5: [-1, 0, 4464, 0]}
+    assert found == {k: (True, v + [0] * (64 - len(v))) for k, v in want.items()}
+    assert [r.raw for r in built.where("frame_id = 2").collect()] == [None]
+
+
 def test_frames(spark, tmp_path):
     rows = spark.createDataFrame([(i, i * 50, [(-1) ** c * c * i for c in range(64)]) for i in (0, 1, 2, 5, 6)], "frame_id long, timestamp long, adc array<int>")
     raw = [bytes(r.raw) for r in frames.build(rows).orderBy("frame_id").collect()]
