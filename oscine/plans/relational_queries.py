@@ -179,7 +179,7 @@ def drc_histogram(spark, sf_dir):
 
 def contract_rules(spark, sf_dir):
     """A violation for each rule that a supplier's deliveries break."""
-    stats = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"), T.exact_mean("l_discount").alias("discount"), F.avg((F.col("l_returnflag") == "R").cast("double")).alias("returned"), F.max("l_quantity").alias("largest"))
+    stats = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"), T.exact_mean("l_discount").alias("discount"), F.avg(F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0)).alias("returned"), F.max("l_quantity").alias("largest"))
     rules = [("few_lines", "WARN", F.col("n") < 580), ("discount", "FAIL", F.col("discount") > 0.0512), ("returned", "FAIL", F.col("returned") > 0.35), ("largest", "WARN", F.col("largest") < 50)]
     return V.violations(stats, ["l_suppkey"], rules)
 

@@ -60,6 +60,17 @@ def test_contract_rules_at_the_limit(spark, tmp_path):
     assert {r.l_suppkey for r in found.where("rule = 'discount'").collect()} == {3, 5}
 
 
+def test_contract_rules_without_a_flag(spark, tmp_path):
+    rows = [(k, 0.05, flag, 50.0) for k, flags in {1: ["R", None, None], 2: ["R", "R", None], 3: [None]}.items() for flag in flags]
+    spark.createDataFrame(rows, "l_suppkey long, l_discount double, l_returnflag string, l_quantity double").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = catalog.queries()["contract_rules"](spark, str(tmp_path))
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert sorted(map(tuple, found.collect())) == sorted(con.execute(catalog.oracle_sql()["contract_rules"]).fetchall())
+    assert {r.l_suppkey for r in found.where("rule = 'returned'").collect()} == {2}
+
+
 def test_exact_mean(spark):
     series = {1: [1e30, 1.0], 2: [1e-25, 3e-25], 3: [math.inf, 1.0], 4: [None, None], 5: [0.1, 0.2, None], 6: [-0.1, 0.1]}
     rows = spark.createDataFrame([(k, x) for k, v in series.items() for x in v], "k int, x double")
