@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from oscine.llm import common as C
 
 BATCH_BYTES, BUCKET_BYTES, SHARD_BYTES, SLICE_BYTES = 4 << 20, 24 << 20, 6 << 20, 1 << 20
+#: Bytes of all texts up to which batches and shards have these sizes, and how many times as large they become at most.
+GROWS_FROM, GROWS_TO = 1 << 30, 4
 FREQUENT = 4096
 CHUNK_UNITS = 1 << 17
 _STEP, _PLACE = 1 << 21, C.U64((1 << 22) - 1)
@@ -61,6 +63,13 @@ def gram_units(total: int, length: int, bits_each: float, least: int) -> int:
     return int(min(length // 2 + 1, max(least, math.ceil((math.log2(max(total, 2)) + 7) / bits_each))))
 
 
+def parts(total: int) -> tuple[int, int, int]:
+    """Numbers of batches, buckets and shards. Each batch sends a packet to each shard: both grow with the root of the input, so that
+    packets don't become smaller and more for each byte as long as memory allows it."""
+    times = min(GROWS_TO, max(1.0, math.sqrt(total / GROWS_FROM)))
+    return C.parts(total, int(BATCH_BYTES * times)), C.parts(total, BUCKET_BYTES), C.parts(total, int(SHARD_BYTES * times))
+
+
 def _least_of(keys: np.ndarray, width: int) -> np.ndarray:
     """Least key of every width keys in a row."""
     have, out = 1, keys
@@ -74,19 +83,24 @@ def _least_of(keys: np.ndarray, width: int) -> np.ndarray:
 
 def segments(codes: np.ndarray, first: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First window, number of windows and anchor hash of each segment."""
-    n, owner, out = len(codes) - length + 1, C.owners(first), []
+    n, out = len(codes) - length + 1, []
     for lo in range(0, max(n, 0), _STEP):
         hi = min(n, lo + _STEP)
         grams = C.gram_hashes(codes[lo : hi + length - 1], k)
         keys = (grams & ~_PLACE) | np.arange(len(grams), dtype=C.U64)
         least = _least_of(keys, length - k + 1)
-        at = np.flatnonzero(owner[lo:hi] == owner[lo + length - 1 : hi + length - 1])
-        place = (least[at] & _PLACE).astype(np.int64)
-        new = np.ones(len(at), bool)
-        new[1:] = (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)
-        begin = np.flatnonzero(new)
+        least &= _PLACE
+        ends = first[(first > lo) & (first < hi + length - 1)]
+        whole = np.ones(hi - lo, bool)  # windows that no text ends in
+        from_ = np.maximum(ends - length + 1, lo)
+        whole[_spread(from_ - lo, np.minimum(ends, hi) - from_)] = False
+        edge = np.ones(hi - lo, bool)
+        edge[1:] = (least[1:] != least[:-1]) | (whole[1:] != whole[:-1])
+        begin = np.flatnonzero(edge)
+        count = np.diff(np.append(begin, hi - lo))
+        begin, count = begin[whole[begin]], count[whole[begin]]
         # the least of many hashes are small numbers; spread anew, they deal out evenly
-        out.append((lo + at[begin], np.diff(np.append(begin, len(at))), C.mix(grams[place[begin]] + C.U64(1))))
+        out.append((lo + begin, count, C.mix(grams[least[begin].astype(np.int64)] + C.U64(1))))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, C.U64)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -115,9 +129,10 @@ def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(start - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def find(rule: Rule, column: pa.ChunkedArray, frequent: np.ndarray, wanted: Callable[[np.ndarray], np.ndarray] | None = None) -> Found:
+def find(rule: Rule, column: pa.ChunkedArray, frequent: np.ndarray, wanted: Callable[[np.ndarray], np.ndarray] | None = None, contents: bool = True) -> Found:
     """The segments of a batch's texts; of frequent anchors (upper 48 bits, in order), the single windows. wanted: which to
-    keep, by the upper 48 bits of the anchors that aren't frequent."""
+    keep, by the upper 48 bits of the anchors that aren't frequent. contents: else c stays 0, which takes less; then no anchor
+    may be frequent."""
     out, before = [], 0
     for lo, _, buffer, offsets in C.text_slices(column, SLICE_BYTES):
         codes, first = rule.units(buffer, offsets)
@@ -127,9 +142,11 @@ def find(rule: Rule, column: pa.ChunkedArray, frequent: np.ndarray, wanted: Call
         single = _spread(start[often], windows[often])
         start, windows = np.concatenate([start[keep], single]), np.concatenate([windows[keep], np.ones(len(single), np.int64)])
         end = start + windows + rule.length - 1
-        other, c = C.span_pairs(codes, start, end, 1)
-        c ^= other  # equal if both are
-        h = np.concatenate([h[keep], C.mix(other[len(c) - len(single) :])])
+        h, c = h[keep], np.zeros(len(start), C.U64)
+        if contents:
+            other, c = C.span_pairs(codes, start, end, 1)
+            c ^= other  # equal if both are
+            h = np.concatenate([h, C.mix(other[len(c) - len(single) :])])
         owner = np.searchsorted(first, start, "right") - 1
         source = codes if rule.words else buffer
         out.append(Found(owner + lo, start - first[owner], windows, h, c, start + before, source))
@@ -170,7 +187,7 @@ def _ids(table: pa.Table) -> np.ndarray:
 
 def _count(rule: Rule, buckets: int):
     def count(key: tuple, table: pa.Table) -> pa.Table:
-        found = find(rule, table.column("text"), np.zeros(0, C.U64))
+        found = find(rule, table.column("text"), np.zeros(0, C.U64), contents=False)
         h48 = found.h >> C.U64(16)
         if rule.in_order:
             ids, times = np.unique(h48, return_counts=True)
@@ -256,25 +273,27 @@ def _judge(rule: Rule):
         ends = np.cumsum(windows.astype(np.int64) + rule.length - 1)
         begins = ends - windows - rule.length + 1
         order, new = _group(h, c, place, start)
-        group = np.zeros(len(h), np.int64)
-        group[order] = np.cumsum(new) - 1
         first = order[new]  # one of each distinct segment, the earliest
-        runs: list[list[np.ndarray]] = [[] for _ in counts]
+        edges = np.append(np.flatnonzero(new), len(order))
         row = np.repeat(np.arange(len(counts)), counts)
-        members = np.argsort(group, kind="stable")
-        member_edges = np.searchsorted(group[members], np.arange(len(first) + 1))
-        sizes = np.cumsum(windows[first].astype(np.int64) + rule.length)
-        lo = 0
-        while lo < len(first):
+        # windows of one segment differ, as the anchor stands elsewhere in each: an anchor with one distinct segment needs no index
+        apart = h[first[1:]] != h[first[:-1]]
+        alone = np.append(True, apart) & np.append(apart, True)
+        rep, mine = np.repeat(first, np.diff(edges)), order
+        earlier = place[rep] < place[mine]
+        if rule.in_order:
+            earlier |= (place[rep] == place[mine]) & (start[rep] < start[mine])
+        whole = mine[earlier & np.repeat(alone, np.diff(edges))]
+        told = [(whole, np.zeros(len(whole), np.int64), windows[whole].astype(np.int64))]
+        mixed = np.flatnonzero(~alone)
+        sizes, lo = np.cumsum(windows[first[mixed]].astype(np.int64) + rule.length), 0
+        while lo < len(mixed):
             # whole anchors, up to a bounded number of units
             hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + CHUNK_UNITS)))
-            while hi < len(first) and h[first[hi]] == h[first[hi - 1]]:
+            while hi < len(mixed) and h[first[mixed[hi]]] == h[first[mixed[hi - 1]]]:
                 hi += 1
-            at = first[lo:hi]
-            own = member_edges[lo], member_edges[hi]
-            lo_, lo = lo, hi
-            if own[1] - own[0] == 1:
-                continue
+            own, lo = mixed[lo:hi], hi
+            at = first[own]
             many = windows[at].astype(np.int64)
             length = many + rule.length - 1
             codes = units[_spread(begins[at], length)]
@@ -289,10 +308,10 @@ def _judge(rule: Rule):
             earliest[rank] = rank[head][np.cumsum(head) - 1]
             best_place, best_start = w_place[earliest], w_start[earliest]
             # each batch's copy of a segment against the earliest place of each window
-            copies = members[own[0] : own[1]]
-            which = group[copies] - lo_
+            copies = order[_spread(edges[own], edges[own + 1] - edges[own])]
+            which = np.repeat(np.arange(len(own)), edges[own + 1] - edges[own])
             count = many[which]
-            w = _spread(np.concatenate([[0], np.cumsum(many)])[which], count)
+            w = _spread(offsets[which] - which * (rule.length - 1), count)
             copy = np.repeat(np.arange(len(copies)), count)
             inner = _spread(np.zeros(len(copies), np.int64), count)
             mine = place[copies][copy]
@@ -300,20 +319,17 @@ def _judge(rule: Rule):
             if rule.in_order:
                 earlier |= (best_place[w] == mine) & (best_start[w] < start[copies][copy] + inner)
             hit = np.flatnonzero(earlier)
-            if not len(hit):
-                continue
-            new = np.ones(len(hit), bool)
-            new[1:] = (copy[hit][1:] != copy[hit][:-1]) | (inner[hit][1:] != inner[hit][:-1] + 1)
-            begin = np.flatnonzero(new)
-            out = np.empty(len(begin), _RUN)
-            source = copies[copy[hit[begin]]]
-            out["h"], out["c"], out["lo"] = h[source], c[source], inner[hit[begin]]
-            out["hi"] = out["lo"] + np.diff(np.append(begin, len(hit)))
-            by_row = np.argsort(row[source], kind="stable")
-            edges = np.searchsorted(row[source][by_row], np.arange(len(counts) + 1))
-            for r in np.unique(row[source]):
-                runs[r].append(out[by_row[edges[r] : edges[r + 1]]])
-        data = [np.concatenate(x).tobytes() if x else b"" for x in runs]
+            fresh = np.ones(len(hit), bool)
+            fresh[1:] = (copy[hit][1:] != copy[hit][:-1]) | (inner[hit][1:] != inner[hit][:-1] + 1)
+            begin = np.flatnonzero(fresh)
+            low = inner[hit[begin]]
+            told.append((copies[copy[hit[begin]]], low, low + np.diff(np.append(begin, len(hit)))))
+        source, low, high = map(np.concatenate, zip(*told, strict=True))
+        by_row = np.argsort(row[source], kind="stable")
+        source = source[by_row]
+        runs = np.empty(len(source), _RUN)
+        runs["h"], runs["c"], runs["lo"], runs["hi"] = h[source], c[source], low[by_row], high[by_row]
+        data = [x.tobytes() for x in np.split(runs, np.searchsorted(row[source], np.arange(1, len(counts))))]
         return pa.table({"batch": table.column("batch"), "data": pa.array(data, pa.binary()), "frequent": table.column("frequent")})
 
     return judge
@@ -373,8 +389,7 @@ def marked(docs: DataFrame, make: Callable[[int], Rule], finish: Callable[[pa.Ta
     each text, and gives the rows of the result, which have the given schema."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     total = C.text_bytes(rows)
-    rule, batches = make(total), C.parts(total, BATCH_BYTES)
-    buckets, shards = C.parts(total, BUCKET_BYTES), C.parts(total, SHARD_BYTES)
+    rule, (batches, buckets, shards) = make(total), parts(total)
     rows = rows.withColumns({"place": F.coalesce("doc_id", F.lit(-(1 << 63))), "batch": F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(batches)).cast("int")})
     dealt = rows.repartitionById(batches, "batch")
     by_batch = dealt.groupBy("batch")

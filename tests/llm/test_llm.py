@@ -102,6 +102,41 @@ def test_suffix_dedup_frequent_anchors(docs, rows, monkeypatch):
     assert _got(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == _suffix_plain(rows, 20)
 
 
+@pytest.mark.parametrize(("changed", "indexed"), [(False, 0), (True, 4)])
+def test_index_is_asked_for_different_segments_only(changed, indexed):
+    """Shards of two batches: whole copies are told without the index; of a text changed at one place only the segments there go to it."""
+    from oscine.llm import anchors
+
+    given, base, length = [], suffix_dedup.rule(10_000), 50
+
+    def classes(data, offsets, length):
+        given.append(len(offsets) - 1)
+        return suffix_dedup.equal_windows(data, offsets, length)
+
+    rule = anchors.Rule(base.length, base.words, base.in_order, classes, base.k)
+    text = random.Random(4).randbytes(1500).hex()
+    texts = {7: text, 3: text[:1500] + "x" * changed + text[1500 + changed :]}
+    batches = [pa.table({"doc_id": [i], "place": [i], "text": [t]}) for i, t in texts.items()]
+    counted = pa.concat_tables([anchors._count(rule, 1)((pa.scalar(k),), b) for k, b in enumerate(batches)])
+    again = anchors._again(counted)
+    own = [again.filter(pa.compute.equal(again["batch"], k)) for k in range(2)]
+    sent = pa.concat_tables([anchors._send(rule, 1)((pa.scalar(k),), b, own[k]) for k, b in enumerate(batches)])
+    told = anchors._judge(rule)(sent)
+    spans = [anchors.covered_units(rule, b, np.frombuffer(told["data"][k].as_buffer(), anchors._RUN), np.zeros(0, np.uint64))[0] for k, b in enumerate(batches)]
+    gone = [anchors.union_mask(x, 3000) if len(x) else np.zeros(3000, bool) for x in spans]
+    assert not gone[1].any() and not (~gone[0][np.arange(3000) != 1500]).any() and gone[0][1500] != changed
+    assert sum(given) <= indexed
+
+
+def test_packets_of_batches_for_shards():
+    """From one batch to one shard goes a packet; six times the text has six times the packets, not 36 times, until memory ends that."""
+    from oscine.llm import anchors
+
+    packets = {gb: np.prod(anchors.parts(gb << 30)[::2]) for gb in (1, 6, 10, 16)}
+    assert packets[6] <= 6.3 * packets[1] and packets[16] <= 16.5 * packets[1]
+    assert anchors.parts(100 << 20)[::2] == (25, 17)
+
+
 def test_substring_dedup(docs, rows, empty):
     length = 20
     first, out = {}, Counter()
