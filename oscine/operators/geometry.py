@@ -40,11 +40,13 @@ def parallel_overlap(ax: Column, ay: Column, bx: Column, by: Column, cx: Column,
     """How long two segments run side by side: the length that the shadow of c to d on the line a to b shares with a to b; 0 if
     they aren't parallel. tolerance: sine of the angle that counts as none."""
     ux, uy, vx, vy = bx - ax, by - ay, dx - cx, dy - cy
-    length = F.hypot(ux, uy)
-    parallel = (length > 0) & (F.hypot(vx, vy) > 0) & (F.abs(ux * vy - uy * vx) <= tolerance * length * F.hypot(vx, vy))
-    first, last = (((x - ax) * ux + (y - ay) * uy) / F.nullif(length, F.lit(0.0)) for x, y in ((cx, cy), (dx, dy)))
+    length, turn = F.hypot(ux, uy), F.abs(ux * vy - uy * vx)
+    # roots are taken of what may be parallel only: no length is more than the sum of its sides
+    may_be = turn <= 2 * tolerance * (F.abs(ux) + F.abs(uy)) * (F.abs(vx) + F.abs(vy))
+    parallel = (length > 0) & (F.hypot(vx, vy) > 0) & (turn <= tolerance * length * F.hypot(vx, vy))
+    first, last = (F.try_divide((x - ax) * ux + (y - ay) * uy, length) for x, y in ((cx, cy), (dx, dy)))
     shared = F.least(length, F.greatest(first, last)) - F.greatest(F.lit(0.0), F.least(first, last))
-    return F.when(parallel & (shared > 0), shared).otherwise(0.0)
+    return F.when(may_be & parallel & (shared > 0), shared).otherwise(0.0)
 
 
 def in_polygon(x: Column, y: Column, corners: Column) -> Column:
@@ -124,19 +126,23 @@ def near_shapes(left: DataFrame, right: DataFrame, keys: list[str], reach: float
     """Pairs of shapes of equal keys whose edges are at most reach apart: id, id_r, gap (0 or less where they touch), and how long
     they run side by side. In a join with itself each pair comes once, the smaller id left. unlike: a column, such as the
     net, in which the two must differ."""
-    names = [id, *ENDS, "half", *([unlike] if unlike else [])]
+    names, box = [id, *ENDS, "half", *([unlike] if unlike else [])], ["__x0", "__y0", "__x1", "__y1"]
 
     def dealt(df: DataFrame, more: Column, cells: tuple[str, str]) -> DataFrame:
-        box = (F.least("ax", "bx") - more, F.least("ay", "by") - more, F.greatest("ax", "bx") + more, F.greatest("ay", "by") + more)
-        return _in_cells(settled(df.select(*keys, *names)), box, cell, cells)
+        sides = (F.least("ax", "bx") - more, F.least("ay", "by") - more, F.greatest("ax", "bx") + more, F.greatest("ay", "by") + more)
+        boxed = settled(df.select(*keys, *names)).withColumns(dict(zip(box, sides, strict=True)))
+        return _in_cells(boxed, tuple(F.col(c) for c in box), cell, cells)
 
     a = dealt(left, F.col("half"), ("__i", "__j"))
-    b = dealt(right, F.col("half") + (reach + 1e-6), ("__k", "__l")).withColumnsRenamed({c: f"{c}_r" for c in names})
+    b = dealt(right, F.col("half") + (reach + 1e-6), ("__k", "__l")).withColumnsRenamed({c: f"{c}_r" for c in [*names, *box]})
     both = _meet(a, b, keys, unlike)
     if left is right:
         both = both.where(F.col(id) < F.col(f"{id}_r"))
-    found = both.where(boxes_near(reach)).where(gap() <= reach)
-    return found.select(*keys, id, f"{id}_r", gap(aside=True).alias("gap"), parallel_overlap(*_ends(), *_ends("_r")).alias("side_by_side"))
+    for low, high in (("__x0", "__x1"), ("__y0", "__y1")):
+        both = both.where((F.col(low) <= F.col(f"{high}_r")) & (F.col(f"{low}_r") <= F.col(high)))
+    # what comes out of explode is worked out once; an expression that is filtered by and returned, twice
+    found = both.select(*keys, *names, *[f"{c}_r" for c in names], F.explode(F.array(gap())).alias("gap")).where(F.col("gap") <= reach)
+    return found.select(*keys, id, f"{id}_r", "gap", parallel_overlap(*_ends(), *_ends("_r")).alias("side_by_side"))
 
 
 def contained(points: DataFrame, areas: DataFrame, keys: list[str], cell: float, point: str = "id", area: str = "area") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oscine.operators import windowing as W
@@ -40,3 +40,16 @@ DAILY_SQL = f"{SAMPLES_SQL}, daily AS (SELECT channel, day, count(*) AS n, sqrt(
 def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     """Rounds columns, and turns a negative zero into zero."""
     return df.withColumns({x: F.round(F.col(x), digits) + F.lit(0.0) for x in names})
+
+
+def quickly_rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    """What rounded gives, for very many rows: round writes each number out as a decimal; here only those near the middle between
+    two results, large ones and those that aren't numbers are left to it."""
+
+    def quick(x: Column) -> Column:
+        scaled = F.abs(x) * 10.0**digits + 0.5
+        whole = F.floor(scaled)
+        sure = (F.abs(x) < 10.0 ** (11 - digits)) & (scaled - whole > 0.001) & (scaled - whole < 0.999)
+        return F.when(sure, F.signum(x) * (whole / 10.0**digits)).otherwise(F.round(x, digits)) + F.lit(0.0)
+
+    return df.withColumns({x: quick(F.col(x)) for x in names})

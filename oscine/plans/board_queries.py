@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from oscine.operators import copper, geometry
-from oscine.plans.base import rounded, table
+from oscine.plans.base import quickly_rounded, rounded, table
 
 
 def _copper(spark, sf_dir):
@@ -55,7 +55,7 @@ def _tracks(spark, sf_dir):
 def track_clearance(spark, sf_dir):
     """Tracks of different nets on one layer that are closer than allowed, and how long they run side by side."""
     tracks = _tracks(spark, sf_dir)
-    return rounded(geometry.near_shapes(tracks, tracks, ["layer"], 0.2, 4.0, unlike="net"), "gap", "side_by_side")
+    return quickly_rounded(geometry.near_shapes(tracks, tracks, ["layer"], 0.2, 4.0, unlike="net"), "gap", "side_by_side")
 
 
 def keepout_vias(spark, sf_dir):

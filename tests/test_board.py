@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from oscine.operators import copper, geometry, graph
+from oscine.plans import base
 
 
 class Union:
@@ -187,6 +188,22 @@ def test_alike_areas(spark):
     assert "keys=[layer" in _plan(found)  # a shape meets the points once
 
 
+def test_gap_is_worked_out_once(spark, shapes):
+    df = spark.createDataFrame(shapes, SHAPES)
+    plan = geometry.near_shapes(df, df, ["layer"], 0.25, 3.0, unlike="net")._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("SIGNUM" in line for line in plan.splitlines()) == 1
+    assert sum("HYPOT" in line for line in plan.splitlines()) == 1  # not for pairs that aren't parallel, ahead of the result
+
+
+def test_quickly_rounded(spark):
+    rng = random.Random(8)
+    values = [0.0, -0.0, None, math.nan, math.inf, -math.inf, 1e300, -1e11, 99999.9999995, 100000.0000005, 0.0000005, -0.0000005, 0.1234565, -0.1234565, 2.5e-7, 5e-324]
+    values += [rng.uniform(-10, 10) for _ in range(2000)] + [rng.randrange(-(10**7), 10**7) / 1e6 + rng.choice([0, 5e-7, -5e-7, 4.9999e-7, 1e-16]) for _ in range(2000)] + [math.sqrt(k / 100) - 0.1 for k in range(1000)]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, x double")
+    quick, plain = ([(r.k, repr(r.x)) for r in base.__dict__[f](df, "x").orderBy("k").collect()] for f in ("quickly_rounded", "rounded"))
+    assert quick == plain
+
+
 def test_pairs_are_dealt(spark, shapes):
     from oscine.operators import relational
 
